@@ -141,7 +141,9 @@ def full_nodes(leaves: DataFrame, total: int) -> DataFrame:
         ]))
         nodes = grouped.select(F.inline(listed))
         found = nodes if found is None else found.unionByName(nodes)
-        level = grouped.filter(F.size(f"l{FAN_IN_LEVELS}") > 0).select(
+        # A whole block is told by its leaf count: a filter on a computed level would be pushed
+        # through all ten of them.
+        level = grouped.filter(F.size("l0") == block).select(
             "i", F.get(F.col(f"l{FAN_IN_LEVELS}"), F.lit(0)).alias("h")
         )
         base += FAN_IN_LEVELS

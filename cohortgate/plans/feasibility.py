@@ -124,6 +124,10 @@ class Evaluation:
         filled = joined.withColumns({
             **{n: F.when(accepted, F.coalesce(n, zero)) for n in numbers},
             "ancestry_suppressed": F.when(accepted, F.coalesce("ancestry_suppressed", F.lit(False))),
+            "ancestry_breakdown": F.when(
+                accepted & ~F.coalesce("ancestry_suppressed", F.lit(False)),
+                F.coalesce("ancestry_breakdown", F.array().cast("array<struct<stratum:string,n:bigint>>")),
+            ),
         })
         exposes = F.lit(False)
         for i in range(len(scenarios) - 1):

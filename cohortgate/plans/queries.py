@@ -365,8 +365,9 @@ def duplicate_keys(spark, sf_dir):
 @query
 def unmatched_left(spark, sf_dir):
     return checks.unmatched_left(
-        dv.participants(spark, sf_dir), dv.genotypes(spark, sf_dir), ["participant_id"]
-    ).select("participant_id")
+        dv.table(spark, sf_dir, "documents").select("doc_id", "lang", "source"),
+        dv.table(spark, sf_dir, "labels"), ["doc_id"],
+    )
 
 
 def _variants(spark, sf_dir) -> DataFrame:
