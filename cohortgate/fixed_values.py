@@ -46,7 +46,6 @@ MIN_ALLOWED_CELL = 5
 MAX_COUNT = 1_000_000_000
 MAX_CELLS = 16
 MAX_SUBJECT_VARIANTS = 16
-MAX_POSITION = 1_000_000_000_000
 MAX_ALLELE_LENGTH = 64
 RELEASE_FIELDS = [
     "study_id", "cpra", "client_total", "breakdown_suppressed", "reported_cells",

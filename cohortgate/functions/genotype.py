@@ -17,8 +17,8 @@ def cpra_of(chrom: Column, pos: Column, ref: Column, alt: Column) -> Column:
     return F.concat_ws(":", chrom, pos.cast("string"), ref, alt)
 
 
-def _shared(left: Column, right: Column, cut) -> Column:
-    """Bases shared at one end, leaving at least one base on either allele."""
+def shared_end(left: Column, right: Column, cut) -> Column:
+    """Bases two alleles share at one end, leaving at least one base on either."""
     limit = F.least(F.length(left), F.length(right)) - 1
     return F.when(
         limit >= 1,
@@ -26,33 +26,23 @@ def _shared(left: Column, right: Column, cut) -> Column:
     ).otherwise(0)
 
 
-def trimmed_alleles(pos: Column, ref: Column, alt: Column) -> Column:
-    """Struct (pos, ref, alt): the shared suffix goes first, then the shared prefix moves pos."""
-    upper_ref, upper_alt = F.upper(ref), F.upper(alt)
-    suffix = _shared(upper_ref, upper_alt, F.right)
-    short_ref = F.left(upper_ref, F.length(upper_ref) - suffix)
-    short_alt = F.left(upper_alt, F.length(upper_alt) - suffix)
-    prefix = _shared(short_ref, short_alt, F.left)
-    return F.struct(
-        (pos.cast("long") + prefix).alias("pos"),
-        F.right(short_ref, F.length(short_ref) - prefix).alias("ref"),
-        F.right(short_alt, F.length(short_alt) - prefix).alias("alt"),
-    )
-
-
 def allele_pair(ref: Column, alt: Column) -> Column:
     """The two alleles in alphabetical order, as one string."""
     return F.concat(F.least(ref, alt), F.greatest(ref, alt))
 
 
 def gt_code(gt: Column) -> Column:
-    """VCF GT text: -1 when any allele is missing, else the sum of allele indexes."""
+    """VCF GT text: -1 when any allele is missing, else the sum of allele indexes.
+
+    The usual biallelic texts are read off directly; only other texts are taken apart.
+    """
     alleles = F.split(gt, r"[/|]")
     total = F.aggregate(
         alleles, F.lit(0), lambda acc, allele: acc + F.coalesce(allele.try_cast("int"), F.lit(0))
     )
     missing = F.exists(alleles, lambda allele: allele.try_cast("int").isNull())
-    return F.when(F.coalesce(missing, F.lit(True)), -1).otherwise(total).cast("double")
+    general = F.when(F.coalesce(missing, F.lit(True)), -1).otherwise(total).cast("double")
+    return F.coalesce(gt_text_code(F.replace(gt, F.lit("|"), F.lit("/"))), general)
 
 
 def gt_text_code(gt: Column) -> Column:

@@ -42,21 +42,30 @@ def count_cells(classified: DataFrame, keys: list[str] = EVALUATION_KEY) -> Data
     return classified.groupBy(*keys).agg(*cell_aggregates())
 
 
+def staged_evidence(stored: DataFrame) -> DataFrame:
+    """Classified rows read back from text storage: flags as booleans again, so that
+    :func:`project_cells` can run over them. Missing source flags fall back to membership."""
+    return stored.withColumns({
+        "array_source_allowed": coerce.projection_bool(F.col("array_source_allowed"), F.col("on_array")),
+        "imputed_source_allowed": coerce.projection_bool(
+            F.col("imputed_source_allowed"), F.col("on_imputed")
+        ),
+        "annotation_reliable": coerce.projection_bool(F.col("annotation_reliable"), True),
+        "consent_ok": coerce.holds(F.col("consent_status") == "consented"),
+    })
+
+
 def projection(policy: AnalysisPolicy, scenario: Scenario) -> dict[str, Column]:
     """``included`` and ``high`` recomputed from retained evidence under other thresholds."""
     info = F.col("variant_info")
     array_ok = (
-        coerce.projection_bool(F.col("array_source_allowed"), F.col("on_array"))
-        & coerce.projection_bool(F.col("annotation_reliable"), True)
-        & coerce.holds(F.col("array_gt_code") != MISSING_GT)
+        F.col("array_source_allowed") & F.col("annotation_reliable") & F.col("has_array_gt")
         & coerce.holds(F.col("array_call_rate") >= scenario.value("array_call_rate_min", policy))
         & coerce.holds(F.col("array_gq") >= scenario.value("array_gq_min", policy))
     )
     imputed_ok = (
-        coerce.projection_bool(F.col("imputed_source_allowed"), F.col("on_imputed"))
-        & coerce.projection_bool(F.col("annotation_reliable"), True)
+        F.col("imputed_source_allowed") & F.col("annotation_reliable") & F.col("has_imputed_dosage")
         & coerce.holds(info >= scenario.value("imputed_dr2_min", policy))
-        & F.col("imputed_dosage").isNotNull()
         & coerce.holds(F.col("imputed_max_gp") >= scenario.value("imputed_max_gp_min", policy))
     )
     by_array = F.col("array_alt") & array_ok
@@ -219,7 +228,7 @@ def batch_union(classified: DataFrame, members: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("distinct_variants"),
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("ordinal", "cpra"))), lambda x: x["cpra"]
+                F.sort_array(F.collect_list(F.struct("ordinal", "cpra"))), lambda x: x["cpra"]
             ),
             "+",
         ).alias("subject"),

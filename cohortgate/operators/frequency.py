@@ -82,7 +82,7 @@ def frequency_strata(
     ))).filter(F.col("stratum").isNotNull()).distinct()
     # Every stratum the cohort has appears for every evaluation: a handful of labels, held as one
     # array value and exploded, so an evaluation without a callable sample still gets its row.
-    labels = kinds.agg(F.array_sort(F.collect_list(F.struct("stratum_kind", "stratum"))))
+    labels = kinds.agg(F.sort_array(F.collect_list(F.struct("stratum_kind", "stratum"))))
     grid = evaluations.filter(F.col("chrom").isin(AUTOSOMES)).select(
         *EVALUATION_KEY, F.inline(labels.scalar())
     )

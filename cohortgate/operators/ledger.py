@@ -63,7 +63,7 @@ def hash_root(leaves: DataFrame, total: int) -> DataFrame:
         lone = remaining <= block
         grouped = level.groupBy(F.floor(F.col("i") / block).alias("i")).agg(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("i", "h"))), lambda node: node["h"]
+                F.sort_array(F.collect_list(F.struct("i", "h"))), lambda node: node["h"]
             ).alias("nodes")
         )
         level = grouped.select("i", _folded(F.col("nodes"), lone).alias("h"))
@@ -129,7 +129,7 @@ def full_nodes(leaves: DataFrame, total: int) -> DataFrame:
     while remaining > 0:
         grouped = level.groupBy(F.floor(F.col("i") / block).alias("i")).agg(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("i", "h"))), lambda node: node["h"]
+                F.sort_array(F.collect_list(F.struct("i", "h"))), lambda node: node["h"]
             ).alias("l0")
         )
         for step in range(1, FAN_IN_LEVELS + 1):
@@ -170,7 +170,7 @@ def parent_roots(leaves: DataFrame, total: int) -> DataFrame:
     looked_up = left.join(nodes, ["level", "idx"]).select("p", "level", F.col("hash").alias("left"))
     walked = (
         needed.select("p", "level").join(looked_up, ["p", "level"], "left")
-        .groupBy("p").agg(F.array_sort(F.collect_list(F.struct("level", "left"))).alias("path"))
+        .groupBy("p").agg(F.sort_array(F.collect_list(F.struct("level", "left"))).alias("path"))
     )
     last = leaves.select((F.col("seq") + 1).alias("p"), F.col("leaf").alias("last"))
     joined = prefixes.join(last, "p").join(walked, "p", "left")

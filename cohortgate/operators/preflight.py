@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortgate.fixed_values import AF_AMBIGUITY_BAND, PALINDROMES
-from cohortgate.functions.genotype import allele_pair, cpra_of, trimmed_alleles
+from cohortgate.functions.genotype import allele_pair, cpra_of, shared_end
 
 
 def strand_of(observed: Column, panel: Column) -> Column:
@@ -26,19 +26,36 @@ def _shown(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("None"))
 
 
+def trim_alleles(variants: DataFrame) -> DataFrame:
+    """Add n_pos, n_ref, n_alt and normalized_cpra: the shared suffix goes first, then the shared
+    prefix, which moves the position.
+
+    Each step is a column of its own, so a shared length is found once per row and not again
+    wherever it is used.
+    """
+    suffix = variants.withColumn(
+        "_suffix", shared_end(F.upper("ref"), F.upper("alt"), F.right)
+    ).withColumns({
+        "_ref": F.left(F.upper("ref"), F.length("ref") - F.col("_suffix")),
+        "_alt": F.left(F.upper("alt"), F.length("alt") - F.col("_suffix")),
+    })
+    prefix = suffix.withColumn("_prefix", shared_end(F.col("_ref"), F.col("_alt"), F.left))
+    return prefix.withColumns({
+        "n_pos": F.col("pos").cast("long") + F.col("_prefix"),
+        "n_ref": F.right("_ref", F.length("_ref") - F.col("_prefix")),
+        "n_alt": F.right("_alt", F.length("_alt") - F.col("_prefix")),
+    }).withColumn(
+        "normalized_cpra", cpra_of(F.col("chrom"), F.col("n_pos"), F.col("n_ref"), F.col("n_alt"))
+    ).drop("_suffix", "_ref", "_alt", "_prefix")
+
+
 def with_preflight(matched: DataFrame, bases: DataFrame, panel_maf: DataFrame) -> DataFrame:
     """Add the pre-flight record and ``preflight_reject``.
 
     ``bases`` is (build, chrom, pos, base), ``panel_maf`` is (cpra, panel_maf). Both may be as
     large as a genome: they are joined by key and broadcast only when their size allows it.
     """
-    trimmed = matched.withColumn("_n", trimmed_alleles(F.col("pos"), F.col("ref"), F.col("alt")))
-    trimmed = trimmed.withColumns({
-        "n_pos": F.col("_n.pos"), "n_ref": F.col("_n.ref"), "n_alt": F.col("_n.alt"),
-    }).drop("_n")
-    trimmed = trimmed.withColumn(
-        "normalized_cpra", cpra_of(F.col("chrom"), F.col("n_pos"), F.col("n_ref"), F.col("n_alt"))
-    )
+    trimmed = trim_alleles(matched)
 
     def bases_of(build: str, name: str) -> DataFrame:
         return bases.filter(F.col("build") == build).select(
@@ -56,6 +73,21 @@ def with_preflight(matched: DataFrame, bases: DataFrame, panel_maf: DataFrame) -
     palindrome = allele_pair(F.col("n_ref"), F.col("n_alt")).isin(PALINDROMES)
     strand = F.when(palindrome, strand_of(F.col("observed_maf"), F.col("panel_maf"))).otherwise("n/a")
 
+    return joined.withColumns({
+        "preflight_reject": F.when(on38, F.lit(None).cast("string"))
+        .when(on37, "build_mismatch_grch37")
+        .when(F.col("base38").isNotNull(), "reference_mismatch"),
+        "build_resolved": F.when(on38, "GRCh38").otherwise(F.col("build")),
+        "ref_matched": on38,
+        "is_palindromic": palindrome,
+        "strand": strand,
+        "ambiguous": strand == "unresolved",
+    }).drop("base38", "base37")
+
+
+def caveats() -> Column:
+    """The pre-flight record in words: trimming, build and strand notes that apply."""
+    palindrome, strand = F.col("is_palindromic"), F.col("strand")
     locus = F.concat_ws(":", F.col("chrom"), F.col("n_pos").cast("string"))
     trimmed_note = F.when(
         F.col("normalized_cpra") != F.col("cpra"),
@@ -65,7 +97,7 @@ def with_preflight(matched: DataFrame, bases: DataFrame, panel_maf: DataFrame) -
         ),
     )
     build_note = F.when(
-        on38,
+        F.col("ref_matched"),
         F.concat(
             F.lit("Client request is a CPRA ("), locus,
             F.lit(":...) with no explicit genome build; GRCh38 confirmed by REF-to-reference match (REF '"),
@@ -103,14 +135,4 @@ def with_preflight(matched: DataFrame, bases: DataFrame, panel_maf: DataFrame) -
             F.lit(" concords with the reference panel "), frequencies[1], F.lit(")."),
         ),
     )
-    return joined.withColumns({
-        "preflight_reject": F.when(on38, F.lit(None).cast("string"))
-        .when(on37, "build_mismatch_grch37")
-        .when(F.col("base38").isNotNull(), "reference_mismatch"),
-        "build_resolved": F.when(on38, "GRCh38").otherwise(F.col("build")),
-        "ref_matched": on38,
-        "is_palindromic": palindrome,
-        "strand": strand,
-        "ambiguous": strand == "unresolved",
-        "caveats": F.array_compact(F.array(trimmed_note, build_note, strand_note)),
-    }).drop("base38", "base37")
+    return F.array_compact(F.array(trimmed_note, build_note, strand_note))

@@ -28,8 +28,8 @@ IMPUTED_ABSENT = (
 
 def contig_length(chrom: Column) -> Column:
     """Length of a known contig, else null. A 25-entry literal map, so no join."""
-    entries = [F.lit(part) for pair in CONTIG_LENGTHS.items() for part in pair]
-    return F.try_element_at(F.create_map(*entries), chrom)
+    entries = ", ".join(f"'{name}', {length}L" for name, length in CONTIG_LENGTHS.items())
+    return F.try_element_at(F.expr(f"map({entries})"), chrom)
 
 
 def with_violations(requests: DataFrame, policy: AnalysisPolicy) -> DataFrame:
@@ -61,12 +61,18 @@ def first_or_null(codes: Column) -> Column:
 
 
 def batch_headers(requests: DataFrame) -> DataFrame:
-    """One row per batch: size, and the study and purpose of its first member."""
-    return requests.groupBy("batch_id").agg(
+    """One row per batch: size, and the study and purpose of its first member.
+
+    Resolved requests also tell whether any member was rejected, which rejects the batch.
+    """
+    summed = [
         F.count(F.lit(1)).alias("members"),
         F.min_by("study_id", "ordinal").alias("study_id"),
         F.min_by(F.coalesce("purpose", F.lit("")), F.col("ordinal")).alias("purpose"),
-    )
+    ]
+    if "status" in requests.columns:
+        summed.append(F.bool_or(F.col("status") == "rejected").alias("rejected"))
+    return requests.groupBy("batch_id").agg(*summed)
 
 
 def overlay_identifiability(manifest: DataFrame, listed: DataFrame) -> DataFrame:

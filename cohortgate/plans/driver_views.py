@@ -150,13 +150,13 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _cells(spark, sf_dir).withColumn("cpra", cpra_of)
     calls = cells.selectExpr(
         "participant_id", "cpra",
-        f"""inline(filter(array(
-            CASE WHEN (k + v) % 5 <> 0 THEN struct('array' AS source, CAST(gt AS DOUBLE) AS gt_code,
-                q AS gq, 1e0 - dmin / 2e0 AS call_rate, {missing} AS dosage, {missing} AS max_gp) END,
+        f"""inline(array(
+            struct(IF((k + v) % 5 <> 0, 'array', NULL) AS source, CAST(gt AS DOUBLE) AS gt_code,
+                q AS gq, 1e0 - dmin / 2e0 AS call_rate, {missing} AS dosage, {missing} AS max_gp),
             struct('imputed' AS source, {missing} AS gt_code, {missing} AS gq,
                 {missing} AS call_rate, {DOSAGE} AS dosage, 1e0 - tmin * 2e0 AS max_gp)
-        ), x -> x IS NOT NULL))""",
-    )
+        ))""",
+    ).filter(F.col("source").isNotNull())
     return calls.select(*schemas.GENOTYPES.fieldNames())
 
 

@@ -14,7 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortgate.functions import disclosure as dc
-from cohortgate.operators import counts, disclosure, evidence, preflight, requests, results
+from cohortgate.operators import (
+    counts,
+    disclosure,
+    evidence,
+    preflight,
+    requests,
+    results,
+    sizing,
+)
 from cohortgate.operators.evidence import EVALUATION_KEY
 from cohortgate.policy import AnalysisPolicy
 
@@ -56,20 +64,35 @@ class Evaluation:
 
     @cached_property
     def resolved(self) -> DataFrame:
-        return resolve(self.inputs, self.policy)
+        """Requests with their checks. Up to ten thousand are held as a literal table, so the many
+        later uses do not run the request joins again; more stay distributed."""
+        return sizing.held(resolve(self.inputs, self.policy))[0]
 
     @cached_property
+    def _evaluations(self) -> tuple[DataFrame, bool]:
+        return sizing.held(evidence.evaluations_of(self.resolved))
+
+    @property
     def evaluations(self) -> DataFrame:
-        return evidence.evaluations_of(self.resolved)
+        """Distinct evaluations, held when few: the scan is then filtered by their values and
+        their join is a broadcast of known size."""
+        return self._evaluations[0]
 
     @cached_property
     def subjects(self) -> DataFrame:
-        return evidence.subjects_of(self.inputs.participants, self.inputs.sample_qc)
+        people, quality = self.inputs.participants, self.inputs.sample_qc
+        return sizing.broadcast_within(evidence.subjects_of(people, quality), people, quality)
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        evaluations, small = self._evaluations
+        return evidence.candidate_evidence(
+            self.inputs.genotypes, self.subjects, evaluations, small
+        )
 
     @cached_property
     def gated(self) -> DataFrame:
-        rows = evidence.candidate_evidence(self.inputs.genotypes, self.subjects, self.evaluations)
-        return evidence.with_gates(rows, self.policy)
+        return evidence.with_gates(self.candidates, self.policy)
 
     @cached_property
     def classified(self) -> DataFrame:
@@ -102,7 +125,7 @@ class Evaluation:
         folded = by_stratum.groupBy(*EVALUATION_KEY).agg(
             *[F.sum(name).alias(name) for name in [*sums, *moves]],
             F.bool_or(dc.small_cell(F.col("total"), m, base)).alias("ancestry_suppressed"),
-            F.array_sort(F.collect_list(F.when(
+            F.sort_array(F.collect_list(F.when(
                 F.col("total") > 0,
                 F.struct("stratum", dc.rounded(F.col("total"), base).alias("n")),
             ))).alias("_strata"),
@@ -113,22 +136,34 @@ class Evaluation:
         ).drop("_strata")
 
     def results(self) -> DataFrame:
-        """One row per request. Rejected requests keep null counts and their reason."""
+        """One row per request: counts, tokens and shown cells.
+
+        Rejected requests keep null counts and their reason.
+        """
         policy = self.policy
         accepted = F.col("status") == "accepted"
+        suppressed = F.coalesce("ancestry_suppressed", F.lit(False))
         joined = self.resolved.join(self.summary(), EVALUATION_KEY, "left")
         zero = F.lit(0).cast("long")
-        scenarios = disclosure.sensitivity_scenarios(policy)
-        numbers = ["high_confidence", "conditional", "total", "excluded", "flagged"]
-        numbers += [f"t{i}" for i in range(len(scenarios))]
+        steps = [f"t{i}" for i in range(len(disclosure.sensitivity_scenarios(policy)))]
+        numbers = ["high_confidence", "conditional", "total", "excluded", "flagged", *steps]
         filled = joined.withColumns({
             **{n: F.when(accepted, F.coalesce(n, zero)) for n in numbers},
-            "ancestry_suppressed": F.when(accepted, F.coalesce("ancestry_suppressed", F.lit(False))),
+            "ancestry_suppressed": F.when(accepted, suppressed),
             "ancestry_breakdown": F.when(
-                accepted & ~F.coalesce("ancestry_suppressed", F.lit(False)),
+                accepted & ~suppressed,
                 F.coalesce("ancestry_breakdown", F.array().cast("array<struct<stratum:string,n:bigint>>")),
             ),
         })
+        return disclosure.control_cells(filled, policy).withColumn(
+            "client_total", F.when(accepted, F.col("client_total"))
+        )
+
+    def reports(self) -> DataFrame:
+        """Result rows with their sensitivity table, cells array and texts."""
+        policy = self.policy
+        accepted = F.col("status") == "accepted"
+        scenarios = disclosure.sensitivity_scenarios(policy)
         exposes = F.lit(False)
         for i in range(len(scenarios) - 1):
             move = F.abs(F.col(f"t{i}") - F.col(f"t{i + 1}"))
@@ -141,12 +176,10 @@ class Evaluation:
             )
             for i, s in enumerate(scenarios)
         ])
-        controlled = disclosure.control_cells(filled, policy).withColumns({
-            "client_total": F.when(accepted, F.col("client_total")),
+        with_caveats = self.results().withColumn("caveats", preflight.caveats())
+        return with_caveats.withColumns({
             "sensitivity_suppressed": F.when(accepted, exposes),
             "sensitivity": F.when(accepted & ~exposes, tokens),
-        }).drop(*[f"t{i}" for i in range(len(scenarios))])
-        return controlled.withColumns({
             "reported_cells": disclosure.reported_cells(
                 F.col("breakdown_suppressed"), F.col("shown_high"), F.col("shown_conditional")
             ),
@@ -158,6 +191,9 @@ class Evaluation:
     def accepted_results(self) -> DataFrame:
         return self.results().filter(F.col("status") == "accepted")
 
+    def accepted_reports(self) -> DataFrame:
+        return self.reports().filter(F.col("status") == "accepted")
+
     def batches(self) -> DataFrame:
         """Batch rows: union and overlap, and the union's token.
 
@@ -165,11 +201,8 @@ class Evaluation:
         """
         policy = self.policy
         heads = requests.batch_headers(self.resolved)
-        failed = self.resolved.groupBy("batch_id").agg(
-            F.bool_or(F.col("status") == "rejected").alias("rejected")
-        )
         union = counts.batch_union(self.classified, self.members)
-        joined = heads.join(failed, "batch_id").join(union, "batch_id", "left")
+        joined = heads.join(union, "batch_id", "left")
         ok = ~F.col("rejected")
         m, base = policy.sdc_min_cell, policy.sdc_round_to
         return joined.select(

@@ -64,7 +64,7 @@ def client_totals(spark, sf_dir):
 
 @query
 def result_rows(spark, sf_dir):
-    return evaluation(spark, sf_dir).results().select(
+    return evaluation(spark, sf_dir).reports().select(
         "request_id", "total", "high_confidence", "conditional", "excluded", "flagged",
         "ancestry_suppressed",
         F.array_join(F.transform(
@@ -77,9 +77,7 @@ def result_rows(spark, sf_dir):
 
 @query
 def candidate_table(spark, sf_dir):
-    run = evaluation(spark, sf_dir)
-    rows = evidence.candidate_evidence(run.inputs.genotypes, run.subjects, run.evaluations)
-    return rows.select(
+    return evaluation(spark, sf_dir).candidates.select(
         *EVALUATION_KEY, "participant_id", "pseudo_id", "consent_status", "sex", "ancestry_stub",
         *evidence.EVIDENCE_COLUMNS, "sex_check_ok", "kinship_ok",
     )
@@ -297,28 +295,27 @@ def position_sample(spark, sf_dir):
 
 @query
 def allele_trim(spark, sf_dir):
-    wide = dv.wide_requests(spark, sf_dir).withColumn(
-        "n", genotype.trimmed_alleles(F.col("pos"), F.col("ref"), F.col("alt"))
+    return preflight.trim_alleles(dv.wide_requests(spark, sf_dir)).select(
+        "request_id", "cpra", F.col("n_pos").alias("pos"), F.col("n_ref").alias("ref"),
+        F.col("n_alt").alias("alt"),
     )
-    return wide.select("request_id", "cpra", "n.pos", "n.ref", "n.alt")
 
 
 @query
 def build_and_strand(spark, sf_dir):
     wide = dv.wide_manifest(spark, sf_dir)
-    trimmed = wide.withColumn("n", genotype.trimmed_alleles(F.col("pos"), F.col("ref"), F.col("alt")))
+    trimmed = preflight.trim_alleles(wide)
     bases = trimmed.filter("k % 7 <> 0").selectExpr(
-        "k AS p_partkey", "chrom", "n.pos AS pos", "n.ref AS n_ref"
+        "chrom", "n_pos AS pos", "k AS p_partkey", "n_ref"
     ).selectExpr("chrom", "pos", *[f"{sql} AS {name}" for name, sql in dv.WIDE_BASES.items()])
     panel = trimmed.filter("k % 4 <> 0").select(
-        genotype.cpra_of(F.col("chrom"), F.col("n.pos"), F.col("n.ref"), F.col("n.alt")).alias("cpra"),
-        (F.col("k") * 37 % 997 / 1000).alias("panel_maf"),
+        F.col("normalized_cpra").alias("cpra"), (F.col("k") * 37 % 997 / 1000).alias("panel_maf")
     )
-    asked = dv.wide_requests(spark, sf_dir)
-    matched = requests.match_manifest(asked, wide)
+    matched = requests.match_manifest(dv.wide_requests(spark, sf_dir), wide)
     return preflight.with_preflight(matched, bases, panel).select(
         "request_id", "cpra", "normalized_cpra", "build_resolved", "ref_matched", "is_palindromic",
-        "strand", "ambiguous", "preflight_reject", joined("caveats"),
+        "strand", "ambiguous", "preflight_reject",
+        F.array_join(preflight.caveats(), "|").alias("caveats"),
     )
 
 
@@ -452,7 +449,7 @@ def recruitment_funnel(spark, sf_dir):
 
 @query
 def portfolio(spark, sf_dir):
-    return results.portfolio(evaluation(spark, sf_dir).accepted_results(), POLICY)
+    return results.portfolio(evaluation(spark, sf_dir).accepted_reports(), POLICY)
 
 
 def _cells_text(cells: Column) -> Column:
@@ -463,7 +460,7 @@ def _cells_text(cells: Column) -> Column:
 
 @query
 def factsheet(spark, sf_dir):
-    sheet = results.factsheet(evaluation(spark, sf_dir).accepted_results(), POLICY)
+    sheet = results.factsheet(evaluation(spark, sf_dir).accepted_reports(), POLICY)
     return sheet.withColumns({
         "reported_cells": _cells_text(F.col("reported_cells")),
         "assumptions": F.size("assumptions").cast("long"),
@@ -500,12 +497,12 @@ def disclosure_view(spark, sf_dir):
 
 @query
 def feasibility_notes(spark, sf_dir):
-    return notes.request_notes(evaluation(spark, sf_dir).accepted_results(), POLICY, DEPLOYMENT)
+    return notes.request_notes(evaluation(spark, sf_dir).accepted_reports(), POLICY, DEPLOYMENT)
 
 
 @query
 def markdown_reports(spark, sf_dir):
-    accepted = evaluation(spark, sf_dir).accepted_results()
+    accepted = evaluation(spark, sf_dir).accepted_reports()
     return accepted.select("request_id", notes.markdown_report(POLICY).alias("note"))
 
 

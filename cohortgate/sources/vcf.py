@@ -90,7 +90,8 @@ def _subfield(name: str) -> Column:
     """The part of a call that FORMAT places under ``name``."""
     keys = F.split("format", ":")
     place = F.array_position(keys, F.lit(name)).cast("int")
-    return F.when(place > 0, F.get(F.split("call", ":"), place - 1))
+    part = F.when(place > 0, F.get(F.split("call", ":"), place - 1))
+    return F.when(F.col("format") == name, F.col("call")).otherwise(part)
 
 
 def parse_array(lines: DataFrame, cpras: DataFrame | None, allow_full_scan: bool = False) -> DataFrame:
@@ -251,7 +252,7 @@ def sample_blocks(samples: DataFrame, per_block: int = SAMPLES_PER_BLOCK) -> Dat
     blocked = distinct.withColumn(
         "block", F.pmod(F.xxhash64("participant_id"), F.greatest(size, F.lit(1))).cast("int")
     )
-    listed = blocked.groupBy("block").agg(F.array_sort(F.collect_list("participant_id")).alias("names"))
+    listed = blocked.groupBy("block").agg(F.sort_array(F.collect_list("participant_id")).alias("names"))
     return listed.select(
         "block", F.size("names").alias("block_size"), F.posexplode("names").alias("place", "participant_id")
     )
@@ -289,7 +290,7 @@ def call_lines(
     grouped = (
         calls.join(blocks, "participant_id")
         .groupBy("block", "block_size", "cpra", "chrom", "pos", "ref", "alt")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "call"))).alias("calls"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "call"))).alias("calls"))
     )
     head = F.concat_ws(
         "\t", "chrom", F.col("pos").cast("string"), "cpra", "ref", "alt",
@@ -304,7 +305,7 @@ def call_lines(
 def header_lines(blocks: DataFrame) -> DataFrame:
     """(block, value): the ``#CHROM`` line of each sample block."""
     return blocks.groupBy("block").agg(
-        F.array_sort(F.collect_list(F.struct("place", "participant_id"))).alias("names")
+        F.sort_array(F.collect_list(F.struct("place", "participant_id"))).alias("names")
     ).select(
         "block",
         F.concat(
