@@ -47,10 +47,13 @@ def _typed(name: str, kind: str) -> Column:
     return column.alias(name)
 
 
-def _parquet(spark: SparkSession, path: str, schema: StructType, name: str) -> DataFrame:
-    """Parquet, cut to the declared columns (only these reach the scan)."""
+def _parquet(
+    spark: SparkSession, path: str, schema: StructType, name: str, partition: str | None = None
+) -> DataFrame:
+    """Parquet, cut to the declared columns (only these reach the scan) and a partition column."""
     df = require_columns(spark.read.parquet(path), schema, name)
-    return df.select(*[
+    kept = [F.col(partition).cast("string")] if partition in df.columns else []
+    return df.select(*kept, *[
         coerce.number(F.col(f.name).cast("double")).alias(f.name)
         if f.dataType.typeName() == "double" else F.col(f.name).cast(f.dataType)
         for f in schema.fields
@@ -89,7 +92,7 @@ def read_participants(spark: SparkSession, path: str) -> DataFrame:
 def read_genotypes(spark: SparkSession, path: str) -> DataFrame:
     """Long genotype table. Stored by :func:`write_genotypes`, a locus filter prunes partitions
     by chrom and row groups by cpra."""
-    return _parquet(spark, path, schemas.GENOTYPES, "genotype_slice")
+    return _parquet(spark, path, schemas.GENOTYPES, "genotype_slice", partition="chrom")
 
 
 def read_sample_qc(spark: SparkSession, path: str) -> DataFrame:

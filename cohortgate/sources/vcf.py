@@ -149,7 +149,10 @@ def significant(number: Column, digits: int = 6) -> Column:
     cut = F.lit(None).cast("string")
     for n in range(digits + 6):
         cut = F.when(places == n, F.format_string(f"%.{n}f", number)).otherwise(cut)
-    return F.when(cut.contains("."), F.regexp_replace(F.regexp_replace(cut, "0+$", ""), r"\.$", "")).otherwise(cut)
+    short = F.when(
+        cut.contains("."), F.regexp_replace(F.regexp_replace(cut, "0+$", ""), r"\.$", "")
+    ).otherwise(cut)
+    return F.when(number.isNotNull(), short)
 
 
 def parse_summary(lines: DataFrame, cpras: DataFrame | None, allow_full_scan: bool = False) -> DataFrame:

@@ -1,0 +1,93 @@
+from __future__ import annotations
+
+import hashlib
+import json
+
+import cohorts
+import pytest
+from pyspark.sql import functions as F
+
+from cohortgate.functions import digest
+from cohortgate.operators import identifiers, ledger
+from cohortgate.plans.driver_views import DEPLOYMENT
+
+
+def plain_root(leaves: list[str]) -> str:
+    if not leaves:
+        return hashlib.sha256(b"\x01").hexdigest()
+    level = list(leaves)
+    while len(level) > 1:
+        level += level[-1:] if len(level) % 2 else []
+        level = [
+            hashlib.sha256(b"\x01" + bytes.fromhex(a) + bytes.fromhex(b)).hexdigest()
+            for a, b in zip(level[::2], level[1::2], strict=True)
+        ]
+    return level[0]
+
+
+def leaf_table(spark, n):
+    leaves = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
+    return leaves, cohorts.table(spark, list(enumerate(leaves)), "seq bigint, leaf string")
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 1024, 1025, 2500, 3073])
+def test_root_equals_pairwise_hashing(spark, n):
+    leaves, frame = leaf_table(spark, n)
+    assert ledger.hash_root(frame, n).collect()[0]["root"] == plain_root(leaves)
+
+
+@pytest.mark.parametrize("n", [1, 2, 37, 1100])
+def test_parent_roots_equal_prefix_roots(spark, n):
+    leaves, frame = leaf_table(spark, n)
+    rows = {r["seq"]: r["parent_root"] for r in ledger.parent_roots(frame, n).collect()}
+    assert sorted(rows) == list(range(n))
+    for seq in {0, 1, 2, 3, 5, 30, 36, 512, 1023, 1024, 1025, n - 1} & set(rows):
+        assert rows[seq] == plain_root(leaves[:seq])
+
+
+def test_event_leaf_is_canonical_json(spark):
+    event = {"b": "é \U0001f600", "a": {"z": "1", "y": "2"}}
+    frame = cohorts.table(
+        spark, [(0, event["b"], list(event["a"].items()))], "seq bigint, b string, a map<string,string>"
+    )
+    text = json.dumps(event, sort_keys=True, separators=(",", ":"))
+    assert frame.select(ledger.event_json(frame).alias("t")).collect()[0]["t"] == text
+    leaf = ledger.event_leaves(frame, ledger.event_json(frame)).collect()[0]["leaf"]
+    assert leaf == hashlib.sha256(b"\x00" + text.encode()).hexdigest()
+
+
+def test_broken_chain_is_found(spark):
+    leaves, frame = leaf_table(spark, 9)
+    events = ledger.parent_roots(frame, 9).withColumn(
+        "parent_root", F.when(F.col("seq") == 4, "0" * 64).otherwise(F.col("parent_root"))
+    )
+    assert [r["seq"] for r in ledger.broken_chain(events, frame, 9).collect()] == [4]
+    assert ledger.verify_root(frame, 9, plain_root(leaves)).collect()[0]["verified"]
+    assert ledger.lost_or_changed(frame, frame.filter("seq < 8")).count() == 1
+
+
+def test_run_id_text(spark):
+    payload = {"study_id": 'S "1"', "cpra": cohorts.CPRA, "config_sha256": "ab", "input_sha256": {"y": "2", "x": "1"}}
+    expected = "RUN-" + hashlib.sha256(json.dumps(payload, sort_keys=True).encode()).hexdigest()[:12]
+    got = spark.range(1).select(digest.run_id(
+        F.lit(payload["study_id"]), F.lit(payload["cpra"]), F.lit("ab"),
+        F.create_map(F.lit("y"), F.lit("2"), F.lit("x"), F.lit("1")),
+    ).alias("r")).collect()[0]["r"]
+    assert got == expected
+
+
+def test_identifier_scan(spark):
+    cases = {
+        '{"a":{"Participant_ID":1}}': True,
+        '{"a":["x PSU-00ABCD y"]}': True,
+        '{"a":"P1234"}': True,
+        '{"a":"call 123 456 7890"}': True,
+        '{"input_sha256":{"f":"PSU-00ABCD"},"git_commit":"1234567890"}': False,
+        '{"note":"the \\"pseudo_id\\": column"}': False,
+        '{"a":"APSU-00ABCD"}': False,
+        '{"a":"éP1234"}': False,
+        '{"a":1}': False,
+    }
+    frame = cohorts.table(spark, [(t,) for t in cases], "t string")
+    rows = frame.select("t", identifiers.has_forbidden_content(F.col("t"), DEPLOYMENT).alias("hit")).collect()
+    assert {r["t"]: r["hit"] for r in rows} == cases
