@@ -171,8 +171,10 @@ def gate_pass_counts(
     called = gated.groupBy(*EVALUATION_KEY).agg(
         *[F.count_if(F.col(gate)).alias(gate) for gate in CALL_GATES]
     )
-    totals = participant_totals(subjects)
-    n = totals.select("n_participants").scalar()
+    # One subquery gives all cohort-wide counts.
+    totals = participant_totals(subjects).select(
+        F.struct("n_participants", *[f"all_{gate}" for gate in PARTICIPANT_GATES])
+    ).scalar()
     per_evaluation = evaluations.select(
         *EVALUATION_KEY,
         F.col("variant_on_array").alias("on_array"),
@@ -181,9 +183,10 @@ def gate_pass_counts(
         F.col("use_array").alias("array_source_allowed"),
         F.col("use_imputed").alias("imputed_source_allowed"),
         coerce.holds(F.col("variant_info") >= policy.imputed_dr2_min).alias("dr2_ok"),
-    ).join(called, EVALUATION_KEY, "left").withColumn("total_rows", n)
-    for gate in PARTICIPANT_GATES:
-        per_evaluation = per_evaluation.withColumn(gate, totals.select(f"all_{gate}").scalar())
+    ).join(called, EVALUATION_KEY, "left").withColumn("_totals", totals).withColumns({
+        "total_rows": F.col("_totals.n_participants"),
+        **{gate: F.col(f"_totals.all_{gate}") for gate in PARTICIPANT_GATES},
+    })
     counted = [
         F.struct(
             F.lit(gate).alias("gate"),

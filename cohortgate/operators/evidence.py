@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from cohortgate.fixed_values import GATES, HET_DOSAGE_UPPER, INTERNAL_COLUMNS, MISSING_GT
 from cohortgate.functions import coerce
-from cohortgate.operators import sizing
 from cohortgate.policy import AnalysisPolicy
 
 EVALUATION_KEY = ["cpra", "requested_source", "carrier_definition"]
@@ -69,35 +68,36 @@ def pivot_calls(genotypes: DataFrame) -> DataFrame:
 FILTER_VALUES = 1_000
 
 
-def requested_calls(genotypes: DataFrame, evaluations: DataFrame, small: bool) -> DataFrame:
+def requested_calls(
+    genotypes: DataFrame, evaluations: DataFrame, cpras: list[str] | None
+) -> DataFrame:
     """Genotype rows of the requested variants, cut at the scan.
 
-    A small evaluation table gives literal filters: on ``chrom`` where the table is partitioned by
+    A short list of variants gives literal filters: on ``chrom`` where the table is partitioned by
     it, and on ``cpra``, which reach the Parquet scan. Otherwise it is a semi-join.
     """
-    if small:
-        cpras = sizing.values_of(evaluations, "cpra", FILTER_VALUES)
-        if cpras is not None:
-            if "chrom" in genotypes.columns:
-                genotypes = genotypes.filter(F.col("chrom").isin(sorted({c.split(":")[0] for c in cpras})))
-            return genotypes.filter(F.col("cpra").isin(cpras))
+    if cpras is not None and len(cpras) <= FILTER_VALUES:
+        if "chrom" in genotypes.columns:
+            genotypes = genotypes.filter(F.col("chrom").isin(sorted({c.split(":")[0] for c in cpras})))
+        return genotypes.filter(F.col("cpra").isin(cpras))
     wanted = evaluations.select("cpra").distinct()
-    return genotypes.join(F.broadcast(wanted) if small else wanted, "cpra", "left_semi")
+    return genotypes.join(wanted if cpras is None else F.broadcast(wanted), "cpra", "left_semi")
 
 
 def candidate_evidence(
-    genotypes: DataFrame, subjects: DataFrame, evaluations: DataFrame, small: bool = False
+    genotypes: DataFrame, subjects: DataFrame, evaluations: DataFrame, cpras: list[str] | None = None
 ) -> DataFrame:
     """Participants with any call, per evaluation.
 
     The scan starts from the genotypes and is cut to the requested variants before the first
     shuffle; participants without a call never enter, which keeps the row count at the number of
     calls and not at requests times participants. :mod:`counts` adds them back to gate totals.
-    ``small`` says that the evaluations passed a size check and may be broadcast.
+    ``cpras`` lists the variants of an evaluation table that passed a size check and may be
+    broadcast; without it the joins are left to Catalyst.
     """
-    calls = pivot_calls(requested_calls(genotypes, evaluations, small))
+    calls = pivot_calls(requested_calls(genotypes, evaluations, cpras))
     return calls.join(subjects, "participant_id").join(
-        F.broadcast(evaluations) if small else evaluations, "cpra"
+        evaluations if cpras is None else F.broadcast(evaluations), "cpra"
     )
 
 

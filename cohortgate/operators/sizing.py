@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,20 +33,25 @@ def broadcast_within(df: DataFrame, *bounding: DataFrame) -> DataFrame:
     return F.broadcast(df) if size is not None and size <= BROADCAST_BYTES else df
 
 
-def held(df: DataFrame, limit: int = HELD_ROWS) -> tuple[DataFrame, bool]:
-    """A small result as a literal table, and whether it was small enough.
+def held(df: DataFrame, limit: int = HELD_ROWS) -> tuple[DataFrame, pa.Table | None]:
+    """A small result as a literal table with its rows, or the result untouched and no rows.
 
     At most ``limit`` + 1 rows reach the driver. Within the limit the table's rows become part of
-    the plan: its size is known to the optimizer and its values can be pushed into a scan. Beyond
-    it the distributed result is given back untouched.
+    the plan: its size is known to the optimizer and its values can be pushed into a scan.
     """
     rows = df.limit(limit + 1).toArrow()
     if rows.num_rows > limit:
-        return df, False
-    return df.sparkSession.createDataFrame(rows, StructType(df.schema.fields)), True
+        return df, None
+    return literal(df.sparkSession, rows, df.schema), rows
 
 
-def values_of(df: DataFrame, column: str, limit: int = HELD_ROWS) -> list | None:
-    """Distinct values of a held table's column for a scan filter; null when there are too many."""
-    rows = df.select(column).distinct().limit(limit + 1).toArrow()
-    return rows.column(0).to_pylist() if rows.num_rows <= limit else None
+def literal(spark: SparkSession, rows: pa.Table, schema: StructType) -> DataFrame:
+    return spark.createDataFrame(rows, StructType(schema.fields))
+
+
+def distinct_rows(rows: pa.Table, columns: list[str], keys: list[str]) -> pa.Table:
+    """One row per key of a held table."""
+    seen = {}
+    for row in rows.select(columns).to_pylist():
+        seen.setdefault(tuple(row[key] for key in keys), row)
+    return pa.Table.from_pylist(list(seen.values()), schema=rows.select(columns).schema)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,19 +65,30 @@ class Evaluation:
     policy: AnalysisPolicy
 
     @cached_property
+    def _resolved(self) -> tuple[DataFrame, pa.Table | None]:
+        return sizing.held(resolve(self.inputs, self.policy))
+
+    @property
     def resolved(self) -> DataFrame:
         """Requests with their checks. Up to ten thousand are held as a literal table, so the many
         later uses do not run the request joins again; more stay distributed."""
-        return sizing.held(resolve(self.inputs, self.policy))[0]
+        return self._resolved[0]
 
     @cached_property
-    def _evaluations(self) -> tuple[DataFrame, bool]:
-        return sizing.held(evidence.evaluations_of(self.resolved))
+    def _evaluations(self) -> tuple[DataFrame, list[str] | None]:
+        distributed = evidence.evaluations_of(self.resolved)
+        rows = self._resolved[1]
+        if rows is None:
+            return distributed, None
+        accepted = rows.filter(pc.equal(rows["status"], "accepted"))
+        distinct = sizing.distinct_rows(accepted, evidence.EVALUATION_COLUMNS, EVALUATION_KEY)
+        held = sizing.literal(distributed.sparkSession, distinct, distributed.schema)
+        return held, sorted(set(distinct["cpra"].to_pylist()))
 
     @property
     def evaluations(self) -> DataFrame:
-        """Distinct evaluations, held when few: the scan is then filtered by their values and
-        their join is a broadcast of known size."""
+        """Distinct evaluations, held when the requests are: the scan is then filtered by their
+        variants and their join is a broadcast of known size."""
         return self._evaluations[0]
 
     @cached_property
@@ -85,9 +98,9 @@ class Evaluation:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        evaluations, small = self._evaluations
+        evaluations, cpras = self._evaluations
         return evidence.candidate_evidence(
-            self.inputs.genotypes, self.subjects, evaluations, small
+            self.inputs.genotypes, self.subjects, evaluations, cpras
         )
 
     @cached_property

@@ -128,7 +128,7 @@ def test_distributed_path_equals_held_path(spark, monkeypatch):
     from cohortgate.operators import sizing
 
     held = cohorts.tiny(spark).results().select("request_id", "total", "client_total").collect()
-    monkeypatch.setattr(sizing, "held", lambda df, limit=0: (df, False))
+    monkeypatch.setattr(sizing, "held", lambda df, limit=0: (df, None))
     assert cohorts.tiny(spark).results().select("request_id", "total", "client_total").collect() == held
 
 
