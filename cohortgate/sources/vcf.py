@@ -392,29 +392,36 @@ def locus_order(df: DataFrame) -> DataFrame:
 
 
 def write_pvcf(
-    headers: DataFrame, data: DataFrame, meta: list[str], path: str, mode: str = "errorifexists"
+    headers: DataFrame, data: DataFrame, meta: list[str], path: str, mode: str = "errorifexists",
+    region_bases: int | None = None,
 ) -> None:
-    """One gzip text file per sample block, under ``block=N`` directories.
+    """Gzip text files, one per sample block and region, under ``block=N/region=R`` directories.
 
-    A block is hashed to one task, which writes the meta lines, the header and then the variants
-    in locus order.
+    Without ``region_bases`` a block is one file. With it a file holds that many positions of one
+    contig, so a whole-genome export spreads over many tasks; every file repeats the header.
     """
-    first = headers.select(
-        "block", F.lit(0).alias("part"), F.lit(0).alias("rank"),
+    region = F.lit("all") if region_bases is None else F.concat_ws(
+        "-", "chrom", F.floor(F.col("pos") / region_bases).cast("string")
+    )
+    placed = data.withColumn("region", region)
+    heads = headers.join(placed.select("block", "region").distinct(), "block")
+    place = ["block", "region"]
+    first = heads.select(
+        *place, F.lit(0).alias("part"), F.lit(0).alias("rank"),
         F.posexplode(F.array(*[F.lit(line) for line in meta])).alias("pos", "value"),
-    ).select("block", "part", "rank", F.col("pos").cast("long"), F.lit("").alias("cpra"), "value")
-    second = headers.select(
-        "block", F.lit(1).alias("part"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("pos"),
+    ).select(*place, "part", "rank", F.col("pos").cast("long"), F.lit("").alias("cpra"), "value")
+    second = heads.select(
+        *place, F.lit(1).alias("part"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("pos"),
         F.lit("").alias("cpra"), "value",
     )
-    third = data.select(
-        "block", F.lit(2).alias("part"), chrom_rank(F.col("chrom")).alias("rank"),
+    third = placed.select(
+        *place, F.lit(2).alias("part"), chrom_rank(F.col("chrom")).alias("rank"),
         F.col("pos").cast("long").alias("pos"), "cpra", "value",
     )
     rows = first.unionByName(second).unionByName(third)
     (
-        rows.repartition("block").sortWithinPartitions("block", "part", "rank", "pos", "cpra")
-        .select("block", "value").write.mode(mode).partitionBy("block")
+        rows.repartition(*place).sortWithinPartitions(*place, "part", "rank", "pos", "cpra")
+        .select(*place, "value").write.mode(mode).partitionBy(*place)
         .option("compression", "gzip").text(path)
     )
 
