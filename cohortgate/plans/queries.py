@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortgate.functions import digest, genotype
-from cohortgate.functions import disclosure as dc
 from cohortgate.operators import (
     catalogue,
     checks,
@@ -880,7 +879,3 @@ def sample_list_export(spark, sf_dir):
 @query
 def kinship_pairs(spark, sf_dir):
     return vcf.kinship_pairs(dv.sample_qc(spark, sf_dir))
-
-
-def released_text(token: Column) -> Column:
-    return dc.released_count(token, POLICY.sdc_min_cell)

@@ -16,7 +16,7 @@ from cohortgate.functions.genotype import chrom_rank, cpra_part, gt_code, gt_tex
 from cohortgate.operators.catalogue import region_of
 from cohortgate.operators.frequency import array_allele_frequency
 from cohortgate.sources.durable import durable
-from cohortgate.sources.tables import array_rows, imputed_rows, read_sample_qc
+from cohortgate.sources.tables import array_rows, imputed_rows
 
 FIXED_COLUMNS = 9
 SITE_COLUMNS = ["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"]

@@ -91,3 +91,41 @@ def test_identifier_scan(spark):
     frame = cohorts.table(spark, [(t,) for t in cases], "t string")
     rows = frame.select("t", identifiers.has_forbidden_content(F.col("t"), DEPLOYMENT).alias("hit")).collect()
     assert {r["t"]: r["hit"] for r in rows} == cases
+
+
+def test_run_events_append_and_verify(spark, tmp_path):
+    """Two appended runs: the second one's parent root is the root of the first."""
+    from cohortgate.operators import finalize
+    from cohortgate.sources import tables
+
+    ddl = (
+        "request_id string, cpra string, timestamp string, config_sha256 string, "
+        "input_sha256 map<string,string>, output_sha256 map<string,string>, sdc map<string,string>, "
+        "airlock map<string,string>"
+    )
+    path = f"{tmp_path}/ledger"
+    for seq in range(2):
+        ledger_now = tables.read_ledger(spark, path)
+        leaves = ledger.event_leaves(ledger_now, ledger.event_json(ledger_now))
+        parent = ledger.hash_root(leaves, seq).collect()[0]["root"]
+        runs = spark.createDataFrame(
+            [(f"R{seq}", cohorts.CPRA, "2026-01-01T00:00:00+00:00", "ab", {"x": "1"}, {"y": "2"},
+              {"client_total": "<10"}, None)], ddl,
+        )
+        event = ledger.run_events(runs, F.lit(seq), F.lit(parent), "unknown")
+        tables.append_json_lines(event, path)
+    stored = tables.read_ledger(spark, path)
+    leaves = ledger.event_leaves(stored, ledger.event_json(stored))
+    assert ledger.broken_chain(stored, leaves, 2).count() == 0
+    assert ledger.sequence_faults(stored).collect()[0]["dense"]
+    scan = stored.select(
+        identifiers.has_forbidden_content(ledger.event_json(stored), DEPLOYMENT).alias("hit")
+    )
+    assert not any(r["hit"] for r in scan.collect())
+    files = tables.file_digests(spark, path)
+    assert files.filter("path like '%.json'").count() >= 2
+    note = finalize.notifications(
+        spark.createDataFrame([("S", cohorts.CPRA, "RUN-1")], "study_id string, cpra string, run_id string"),
+        "sent_to_epi",
+    ).collect()[0]
+    assert note["workflow_state"] == "sent_to_epi" and note["received_timestamp"].endswith("+00:00")
