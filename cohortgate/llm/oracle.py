@@ -70,6 +70,29 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN c USING (text_sha256)
 """
 
+ORACLE["op8_sketch_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (
+  SELECT md5(string_agg(g, chr(10) ORDER BY g)) AS k, doc_id FROM s GROUP BY doc_id
+), r AS (SELECT k, min(doc_id) AS rep FROM k GROUP BY k),
+rs AS (SELECT s.doc_id, s.g FROM s JOIN r ON s.doc_id = r.rep),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM rs a JOIN rs b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c(id, low) AS (
+  SELECT rep, rep FROM r UNION SELECT e.b, c.low FROM c JOIN e ON e.a = c.id AND c.low < e.b
+), m AS (SELECT id, min(low) AS low FROM c GROUP BY id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.low, w.doc_id) AS component_id, coalesce(m.low, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN r ON k.k = r.k LEFT JOIN m ON m.id = r.rep
+"""
+
 ORACLE["op9_source_mixing"] = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents

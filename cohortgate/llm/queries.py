@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortgate.llm import bitslice, digests, language, mixing, packing, secrets, toxicity, urlrules
+from cohortgate.llm import bitslice, digests, language, minhash, mixing, packing, secrets, toxicity, urlrules
 from cohortgate.llm.tables import holdout
 
 
@@ -64,6 +64,10 @@ def op7_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op8_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = F.col("__mix")
     taken = (mix["copies"] * mix["size"]).cast("long").alias("taken")
@@ -80,6 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bit_sliced_top_k, op2_cross_parsing_language, op3_boosted_toxicity, op4_wildcard_url_filter,
-        op5_blob_ledger_secrets, op7_digest_index_dedup, op9_source_mixing, op10_best_fit_packing,
+        op5_blob_ledger_secrets, op7_digest_index_dedup, op8_sketch_near_dedup, op9_source_mixing, op10_best_fit_packing,
     )
 }
