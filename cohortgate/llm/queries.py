@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortgate.llm import bitslice, digests, language, minhash, mixing, packing, secrets, toxicity, urlrules
+from cohortgate.llm import bitslice, digests, language, minhash, mixing, packing, parsing, secrets, toxicity, urlrules
 from cohortgate.llm.tables import holdout
 
 
@@ -60,6 +60,12 @@ def op5_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, spans)
 
 
+def op6_parsed_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = parsing.without_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, run: n + run["stop"] - run["begin"])
+    return left.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_digest_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.deduplicated(table(spark, sf_dir, "documents"))
 
@@ -84,6 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bit_sliced_top_k, op2_cross_parsing_language, op3_boosted_toxicity, op4_wildcard_url_filter,
-        op5_blob_ledger_secrets, op7_digest_index_dedup, op8_sketch_near_dedup, op9_source_mixing, op10_best_fit_packing,
+        op5_blob_ledger_secrets, op6_parsed_substring_dedup, op7_digest_index_dedup, op8_sketch_near_dedup, op9_source_mixing, op10_best_fit_packing,
     )
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortgate.llm import digests, language, mixing, packing
+from cohortgate.llm import digests, language, minhash, mixing, packing
 from cohortgate.llm.tables import holdout, kept
 
 
@@ -22,6 +22,11 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return digests.survivors(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at a similarity of 0.8 or more."""
+    return minhash.survivors(docs, k=5, percent=80)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources at their target weights; a document may stand several times."""
     return mixing.mixed(docs)
@@ -36,6 +41,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language", identified),
     ("exact copies", without_copies),
+    ("near copies", without_near_copies),
     ("mixture", mixed),
     ("packing", packed),
 ]
