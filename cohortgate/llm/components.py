@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortgate.llm.tables import kept
+from cohortgate.llm.tables import TASK_ROWS, kept
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,15 +20,17 @@ def components(links: DataFrame) -> DataFrame:
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     state = _state(edges)
+    rows = 2 * state[0]
+    edges = edges.coalesce(1 + rows // TASK_ROWS)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least", rows)
         large = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u")
-        large = kept(large.select(F.col("w").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = kept(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = kept(large.select(F.col("w").alias("u"), F.col("m").alias("v")).distinct(), "large", rows)
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")), "least", rows)
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = kept(small, "edges")
+        edges = kept(small, "edges", rows)
         now = _state(edges)
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

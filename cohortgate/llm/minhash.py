@@ -117,11 +117,11 @@ def _by_root(crowd: DataFrame, roots: DataFrame) -> DataFrame:
     return labelled.withColumn("root", F.coalesce("root", "set_key"))
 
 
-def _hub_pairs(crowd: DataFrame, turn: int, percent: int) -> DataFrame:
+def _hub_pairs(crowd: DataFrame, turn: int, percent: int, most: int) -> DataFrame:
     """Pairs of each group's hub of this turn with the members of other components."""
     order = F.xxhash64("set_key", F.lit(turn))
     hubs = crowd.groupBy("band").agg(F.min(F.struct(order.alias("order"), "set_key", "n", "root")).alias("hub"))
-    met = crowd.join(kept(hubs, "hubs"), "band").filter((F.col("root") != F.col("hub.root")) & _fits(F.col("n"), F.col("hub.n"), percent))
+    met = crowd.join(kept(hubs, "hubs", most), "band").filter((F.col("root") != F.col("hub.root")) & _fits(F.col("n"), F.col("hub.n"), percent))
     return met.select(F.greatest("hub.set_key", "set_key").alias("a"), F.least("hub.set_key", "set_key").alias("b")).distinct()
 
 
@@ -133,10 +133,10 @@ def _all_pairs(crowd: DataFrame, percent: int) -> DataFrame:
     return rest.filter(apart).select("a", "b").distinct()
 
 
-def _open_groups(crowd: DataFrame) -> DataFrame:
+def _open_groups(crowd: DataFrame, most: int) -> DataFrame:
     """Members of the groups in which more than one component is left; written once."""
     open_bands = crowd.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    return kept(crowd.join(kept(open_bands.select("band"), "open-bands"), "band"), "open-groups")
+    return kept(crowd.join(kept(open_bands.select("band"), "open-bands", most), "band"), "open-groups", most)
 
 
 def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -150,24 +150,26 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
         "sets",
     )
     members = sets.select(F.explode("bands").alias("band"), "set_key", "n")
-    crowded = kept(members.groupBy("band").count().filter("count > 1").select("band"), "crowded")
-    crowd = kept(members.join(crowded, "band"), "crowd").withColumn("root", F.col("set_key"))
+    most = BANDS * sets.count()
+    crowded = kept(members.groupBy("band").count().filter("count > 1").select("band"), "crowded", most)
+    crowd = kept(members.join(crowded, "band"), "crowd", most).withColumn("root", F.col("set_key"))
+    most = crowd.count()
     wanted = sets.join(crowd.select("set_key").distinct(), "set_key", "left_semi").select(F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash"), "set_key")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("hash"))
     texts = docs.select("doc_id", "text").join(wanted, same).select("set_key", "text")
     repeated = signed.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count()
     texts = kept(texts.dropDuplicates(["set_key"]) if repeated else texts, "texts")
 
-    met = kept(_hub_pairs(crowd, 0, percent), "pairs")
+    met = kept(_hub_pairs(crowd, 0, percent, most), "pairs", most)
     links = confirmed(met, texts, k, percent)
     roots = components(links)
     for turn in range(1, HUB_ROUNDS + 2):
-        crowd = _open_groups(_by_root(crowd.drop("root"), roots))
+        crowd = _open_groups(_by_root(crowd.drop("root"), roots), most)
         size = crowd.groupBy("band").count().agg(F.sum("count").alias("rows"), F.sum(F.col("count") * F.col("count")).alias("squares")).first()
         if not size.rows:
             break
         last = turn > HUB_ROUNDS or size.squares <= FEW * size.rows
-        pairs = _all_pairs(crowd, percent) if last else _hub_pairs(crowd, turn, percent)
+        pairs = _all_pairs(crowd, percent) if last else _hub_pairs(crowd, turn, percent, most)
         pairs = kept(pairs.join(met, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             found = confirmed(pairs, texts, k, percent)
@@ -177,15 +179,16 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
                 roots = components(links)
         if last:
             break
-    rooted = kept(_by_root(sets.select("set_key", "low_id"), roots), "rooted")
-    lowest = kept(rooted.groupBy("root").agg(F.min("low_id").alias("component_id")), "lowest")
-    return signed, kept(rooted.join(lowest, "root").select("set_key", "component_id"), "near-components")
+    count = sets.count()
+    rooted = kept(_by_root(sets.select("set_key", "low_id"), roots), "rooted", count)
+    lowest = kept(rooted.groupBy("root").agg(F.min("low_id").alias("component_id")), "lowest", count)
+    return signed, kept(rooted.join(lowest, "root").select("set_key", "component_id"), "near-components", count)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
     signed, found = linked(docs, k, percent)
-    rows = kept(signed.groupBy("doc_id", "n_shingles", "set_key").count(), "near-rows")
+    rows = kept(signed.groupBy("doc_id", "n_shingles", "set_key").count(), "near-rows", signed.count())
     joined = rows.join(found, "set_key", "left").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     stays = F.col("doc_id").eqNullSafe(component) & (F.col("turn") == 1)
@@ -198,7 +201,7 @@ def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = signed.select("doc_id", "text_hash", "n_shingles", "set_key").join(found, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     stay = rows.filter(F.col("doc_id").eqNullSafe(component)).groupBy("doc_id", "text_hash").count()
-    stay = kept(stay.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "count"), "near-kept")
+    stay = kept(stay.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "count"), "near-kept", signed.count())
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__hash"))
     out = docs.join(stay.drop("count"), same, "left_semi")
     return out.dropDuplicates(["doc_id", "text"]) if stay.filter("count > 1").limit(1).count() else out

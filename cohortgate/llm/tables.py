@@ -14,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes up to which a table whose size was counted may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
 
+#: Narrow rows that one task writes where a bound of the rows is known.
+TASK_ROWS = 100_000
+
 _local_folder: list[str] = []
 
 
@@ -30,9 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_folder[0]
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
+def kept(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage, survives lost executors.
+
+    ``rows`` is a known bound of narrow rows; a table that is small by it is written by as few
+    tasks, whatever the number of shuffle partitions.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(1 + rows // TASK_ROWS)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
