@@ -52,13 +52,17 @@ RELEASE_FIELDS = [
     "min_cell", "round_to",
 ]
 
-# Review and hand-off vocabulary.
-CHECKPOINTS = ["intake", "pre_epi_handoff", "epi_return", "pre_airlock", "escalation"]
-CHECKPOINT_DECISIONS = ["pass", "query", "block"]
-WORKFLOW_STATES = [
-    "received", "genotype_running", "sent_to_epi", "awaiting_epi_return",
-    "final_governance_review", "airlock_pending", "released",
-]
+# File classes, and the files of each kind of run in writing order.
+INTERNAL_CLASS, EXPORT_CLASS = "INTERNAL-TRE-ONLY", "AIRLOCK-EXPORT-CANDIDATE"
+EXPORTED_FILE = "release.json"
+RUN_FILES = {
+    "run": [
+        "internal_carrier_table.parquet", "handoff_to_epi.csv", "frequency_control_view.json",
+        "feasibility_summary.txt", "release.json",
+    ],
+    "final": ["feasibility_summary.txt", "final_feasibility_summary.txt", "release.json"],
+    "batch": ["batch_release_candidate.json", "batch_feasibility_summary.txt", "release.json"],
+}
 
 # Identifier scan.
 FORBIDDEN_KEYS = ["participant_id", "pseudo_id", "nhs_number", "date_of_birth"]

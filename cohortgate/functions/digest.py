@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ascii_escaped(json_text: Column) -> Column:
@@ -23,15 +24,38 @@ def ascii_escaped(json_text: Column) -> Column:
     return F.when(json_text.rlike(r"[^\x00-\x7F]"), escaped).otherwise(json_text)
 
 
-def sorted_map(column: Column) -> Column:
-    """A map with its entries in key order, so that its JSON text is stable."""
-    return F.map_from_entries(F.array_sort(F.map_entries(column)))
+def in_key_order(column: Column, kind: T.DataType) -> Column:
+    """The column with the fields of structs and the entries of maps in key order, at all levels."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda field: field.name)
+        ordered = F.struct(*[in_key_order(column[f.name], f.dataType).alias(f.name) for f in fields])
+        return F.when(column.isNotNull(), ordered)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda item: in_key_order(item, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(
+            F.map_entries(column),
+            lambda entry: F.struct(entry["key"].alias("key"), in_key_order(entry["value"], kind.valueType).alias("value")),
+        )
+        return F.map_from_entries(F.array_sort(entries, lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)))
+    return column
+
+
+def canonical_json(fields: dict[str, tuple[Column, T.DataType]], optional: tuple[str, ...] = ()) -> Column:
+    """Compact JSON with keys in order at all levels, ASCII only. Null fields are kept as null,
+    but an ``optional`` one is left out."""
+
+    def text(names: list[str]) -> Column:
+        ordered = F.struct(*[in_key_order(*fields[name]).alias(name) for name in sorted(names)])
+        return F.to_json(ordered, {"ignoreNullFields": "false"})
 
+    def without_nulls(names: list[str], left: list[str]) -> Column:
+        if not left:
+            return text(names)
+        fewer = [name for name in names if name != left[0]]
+        return F.when(fields[left[0]][0].isNull(), without_nulls(fewer, left[1:])).otherwise(without_nulls(names, left[1:]))
 
-def canonical_json(fields: dict[str, Column]) -> Column:
-    """Compact JSON with keys in alphabetical order, ASCII only. Null fields are kept as null."""
-    ordered = F.struct(*[fields[name].alias(name) for name in sorted(fields)])
-    return ascii_escaped(F.to_json(ordered, {"ignoreNullFields": "false"}))
+    return ascii_escaped(without_nulls(list(fields), [name for name in optional if name in fields]))
 
 
 def sha256_text(column: Column) -> Column:

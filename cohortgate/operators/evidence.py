@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortgate.fixed_values import GATES, HET_DOSAGE_UPPER, INTERNAL_COLUMNS, MISSING_GT
 from cohortgate.functions import coerce
+from cohortgate.functions.numbers import decimal_text
 from cohortgate.policy import AnalysisPolicy
 
 EVALUATION_KEY = ["cpra", "requested_source", "carrier_definition"]
@@ -195,7 +196,7 @@ def epi_handoff(classified: DataFrame) -> DataFrame:
     moderate = F.when(
         F.col("confidence") == "conditional",
         F.concat(
-            F.lit("imputed-supported, DR2="), F.col("variant_info").cast("string"),
+            F.lit("imputed-supported, DR2="), decimal_text(F.col("variant_info")),
             F.lit(" (moderate)"),
         ),
     )

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from cohortgate.fixed_values import DIGEST_KEYS, FORBIDDEN_KEYS
 from cohortgate.policy import Deployment
 
-# One JSON string token, with the colon behind it when the token is a key.
-_STRING_TOKEN = r'"(?:[^"\\]|\\.)*"(?:\s*:)?'
+# One JSON token: a string, with the colon behind it when it is a key, a bracket, or a bare value.
+_TOKEN = r'"[^"\\]*+(?:(?s:\\.)[^"\\]*+)*+"(?:\s*:)?|[{}\[\]]|[^\s"{}\[\],:]+'
 
 
 def value_patterns(deployment: Deployment) -> dict[str, str]:
@@ -44,36 +44,44 @@ def identifier_hits(text: Column, deployment: Deployment) -> dict[str, Column]:
     }
 
 
-def json_keys(json_text: Column) -> Column:
-    """Every key at any depth, lower case. Strings are consumed whole, so a value holding quotes
-    and colons is not mistaken for a key."""
-    tokens = F.regexp_extract_all(json_text, F.lit(_STRING_TOKEN), F.lit(0))
-    keys = F.filter(tokens, lambda token: token.endswith(":"))
-    return F.transform(keys, lambda token: F.lower(token))
+def _text_of(body: Column) -> Column:
+    """The text that a JSON string token (with its quotes) stands for."""
+    decoded = F.get(F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", {"allowUnescapedControlChars": "true"}), F.lit(0))
+    bare = F.substring(body, F.lit(2), F.length(body) - 2)
+    return F.when(body.contains("\\"), F.coalesce(decoded, bare)).otherwise(bare)
 
 
-def json_texts(json_text: Column) -> Column:
-    """Every string value outside the digest fields, joined by line breaks."""
-    names = "|".join(DIGEST_KEYS)
-    digest = (
-        rf'"(?:{names})"\s*:\s*(?:"(?:[^"\\]|\\.)*"|\{{[^{{}}]*\}}|\[[^\[\]]*\])'
-    )
-    plain = F.regexp_replace(json_text, digest, '"_":""')
-    tokens = F.regexp_extract_all(plain, F.lit(_STRING_TOKEN), F.lit(0))
-    return F.array_join(F.filter(tokens, lambda token: ~token.endswith(":")), "\n")
-
-
-def has_forbidden_key(json_text: Column) -> Column:
-    keys = json_keys(json_text)
-    found = F.lit(False)
-    for name in FORBIDDEN_KEYS:
-        found = found | F.array_join(keys, " ").contains(name)
-    return found
+def has_forbidden_content(json_text: Column, deployment: Deployment) -> Column:
+    """A forbidden key anywhere, or an identifier-shaped value outside the digest fields.
 
+    Keys and values are decoded before they are matched, so an escape cannot hide one. The tokens
+    are walked once with the nesting depth; all that a digest field holds, at any depth, is free
+    of value checks but not of key checks.
+    """
 
-def has_forbidden_content(json_text: Column, deployment: Deployment) -> Column:
-    """A forbidden key anywhere, or an identifier-shaped value outside the digest fields."""
-    return F.coalesce(
-        has_forbidden_key(json_text) | has_identifier_text(json_texts(json_text), deployment),
-        F.lit(False),
+    def step(state: Column, token: Column) -> Column:
+        is_text, is_key = token.startswith('"'), token.startswith('"') & token.endswith(":")
+        text = _text_of(F.when(is_key, F.regexp_replace(token, r"\s*:$", "")).otherwise(token))
+        opens, closes = token.isin("{", "["), token.isin("}", "]")
+        depth = state["depth"] + opens.cast("int") - closes.cast("int")
+        skipping = state["skip"] >= 0
+        skip = F.when(skipping & closes & (depth == state["skip"]), -1).when(
+            ~skipping & state["digest"] & opens, state["depth"]
+        ).otherwise(state["skip"])
+        name = F.lower(text)
+        bad_key = F.lit(False)
+        for key in FORBIDDEN_KEYS:
+            bad_key = bad_key | name.contains(key)
+        bad_value = ~skipping & ~state["digest"] & has_identifier_text(text, deployment)
+        found = F.when(is_key, bad_key).when(is_text, bad_value).otherwise(False)
+        return F.struct(
+            depth.alias("depth"), skip.alias("skip"),
+            F.coalesce(~skipping & is_key & text.isin(DIGEST_KEYS), F.lit(False)).alias("digest"),
+            (state["hit"] | F.coalesce(found, F.lit(False))).alias("hit"),
+        )
+
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(-1).alias("skip"), F.lit(False).alias("digest"), F.lit(False).alias("hit")
     )
+    tokens = F.regexp_extract_all(json_text, F.lit(_TOKEN), F.lit(0))
+    return F.coalesce(F.aggregate(tokens, start, step, lambda state: state["hit"]), F.lit(False))

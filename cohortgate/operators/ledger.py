@@ -5,22 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortgate.functions.digest import canonical_json, leaf_hash, node_hash, sorted_map
+from cohortgate.functions.digest import canonical_json, leaf_hash, node_hash
 
 FAN_IN_LEVELS = 10
+# Event fields that are left out when null.
+OPTIONAL_FIELDS = ("airlock",)
 
 
 def event_json(events: DataFrame) -> Column:
     """Canonical JSON of an event row; ``seq`` orders the ledger and is not part of the event."""
-    fields = {}
-    for field in events.schema.fields:
-        if field.name == "seq":
-            continue
-        column = F.col(field.name)
-        fields[field.name] = (
-            sorted_map(column) if field.dataType.typeName() == "map" else column
-        )
-    return canonical_json(fields)
+    fields = {f.name: (F.col(f.name), f.dataType) for f in events.schema.fields if f.name != "seq"}
+    return canonical_json(fields, OPTIONAL_FIELDS)
 
 
 def event_leaves(events: DataFrame, json_text: Column) -> DataFrame:
@@ -49,6 +44,14 @@ def _folded(nodes: Column, lone: bool) -> Column:
     )
 
 
+def _dense(nodes: Column, first: Column, total: int) -> Column:
+    """Hashes of a block's nodes; a gap, a repeat or a missing node stops the job."""
+    fault = F.raise_error(F.lit("ledger positions are not 0, 1, 2 ... without gaps or repeats")).cast("string")
+    hashes = F.transform(nodes, lambda node, j: F.when(node["i"] == first + j, node["h"]).otherwise(fault))
+    full = F.size(nodes) == F.least(F.lit(2 ** FAN_IN_LEVELS), F.lit(total) - first)
+    return F.when(full, hashes).otherwise(F.array(fault))
+
+
 def hash_root(leaves: DataFrame, total: int) -> DataFrame:
     """One row ``root`` over ``total`` ordered leaves (seq, leaf).
 
@@ -62,11 +65,9 @@ def hash_root(leaves: DataFrame, total: int) -> DataFrame:
     while remaining > 1:
         lone = remaining <= block
         grouped = level.groupBy(F.floor(F.col("i") / block).alias("i")).agg(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("i", "h"))), lambda node: node["h"]
-            ).alias("nodes")
+            F.sort_array(F.collect_list(F.struct("i", "h"))).alias("nodes")
         )
-        level = grouped.select("i", _folded(F.col("nodes"), lone).alias("h"))
+        level = grouped.select("i", _folded(_dense(F.col("nodes"), F.col("i") * block, remaining), lone).alias("h"))
         remaining = -(-remaining // block)
     if total == 0:
         return leaves.sparkSession.range(1).select(

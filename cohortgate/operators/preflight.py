@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortgate.fixed_values import AF_AMBIGUITY_BAND, PALINDROMES
 from cohortgate.functions.genotype import allele_pair, cpra_of, shared_end
+from cohortgate.functions.numbers import decimal_text
 
 
 def strand_of(observed: Column, panel: Column) -> Column:
@@ -23,7 +24,7 @@ def strand_of(observed: Column, panel: Column) -> Column:
 
 
 def _shown(value: Column) -> Column:
-    return F.coalesce(value.cast("string"), F.lit("None"))
+    return F.coalesce(decimal_text(value), F.lit("None"))
 
 
 def trim_alleles(variants: DataFrame) -> DataFrame:

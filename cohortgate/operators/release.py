@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from cohortgate.fixed_values import (
     APPROVED_CELL_LABELS,
     CONTIG_LENGTHS,
+    EXPORT_CLASS,
+    EXPORTED_FILE,
+    INTERNAL_CLASS,
     MAX_ALLELE_LENGTH,
     MAX_CELLS,
     MAX_COUNT,
     MAX_SUBJECT_VARIANTS,
     MIN_ALLOWED_CELL,
     RELEASE_FIELDS,
+    RUN_FILES,
 )
 from cohortgate.functions.coerce import holds
 from cohortgate.operators.checks import unexpected_fields
@@ -390,40 +394,21 @@ def manifest_rules(files: DataFrame, keys: list[str]) -> DataFrame:
     })
 
 
-# The artefacts of each kind of run and what may leave.
-_INTERNAL, _EXPORT = "INTERNAL-TRE-ONLY", "AIRLOCK-EXPORT-CANDIDATE"
-EXPORT_FILES = {
-    "run": [
-        ("internal_carrier_table.parquet", _INTERNAL, False, False,
-         "participant-level provenance; recontact operations only"),
-        ("handoff_to_epi.csv", _INTERNAL, False, True, "pseudonymised hand-off for eligibility review"),
-        ("frequency_control_view.json", _INTERNAL, False, True, "per-stratum frequency control"),
-        ("feasibility_summary.txt", _INTERNAL, False, True, "analyst note"),
-        ("release.json", _EXPORT, True, True, "canonical aggregate payload"),
-    ],
-    "final": [
-        ("feasibility_summary.txt", _INTERNAL, False, True, "preliminary note, superseded"),
-        ("final_feasibility_summary.txt", _INTERNAL, False, True, "final analyst note"),
-        ("release.json", _EXPORT, True, True, "canonical final payload"),
-    ],
-    "batch": [
-        ("batch_release_candidate.json", _INTERNAL, False, True, "aggregate release object"),
-        ("batch_feasibility_summary.txt", _INTERNAL, False, True, "batch analyst note"),
-        ("release.json", _EXPORT, True, True, "canonical batch payload"),
-    ],
-}
-
-
-def export_files(runs: DataFrame) -> DataFrame:
-    """File descriptors of each run; ``runs`` carries ``kind`` (run, final or batch)."""
-    columns = ["file", "classification", "export_to_client", "human_readable", "reason"]
-    listed = None
-    for kind, rows in EXPORT_FILES.items():
-        array = F.array(*[
-            F.struct(*[F.lit(value).alias(name) for name, value in zip(columns, row, strict=True)])
-            for row in rows
-        ])
-        listed = F.when(F.col("kind") == kind, array) if listed is None else listed.when(
-            F.col("kind") == kind, array
-        )
-    return runs.select("*", F.inline(listed))
+def export_files(runs: DataFrame, deployment: Deployment | None = None) -> DataFrame:
+    """File descriptors of each run; ``runs`` carries ``kind`` (run, final or batch).
+
+    Only the payload may leave. Columnar files are not readable by a person; why a file is
+    classed as it is, is a matter of the deployment.
+    """
+    notes = (deployment or Deployment()).file_notes
+    names = F.create_map(*[
+        part for kind, files in RUN_FILES.items() for part in (F.lit(kind), F.array(*map(F.lit, files)))
+    ])
+    listed = runs.select("*", F.explode(names[F.col("kind")]).alias("file"))
+    leaves = F.col("file") == EXPORTED_FILE
+    return listed.withColumns({
+        "classification": F.when(leaves, EXPORT_CLASS).otherwise(INTERNAL_CLASS),
+        "export_to_client": leaves,
+        "human_readable": ~F.col("file").endswith(".parquet"),
+        "reason": F.when(leaves, notes[0]).otherwise(notes[1]),
+    })

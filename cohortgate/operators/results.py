@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortgate.functions import disclosure as dc
+from cohortgate.functions.numbers import decimal_text
 from cohortgate.policy import AnalysisPolicy
 
 INDEL_CAVEAT = (
@@ -39,7 +40,7 @@ def assumptions(policy: AnalysisPolicy) -> Column:
 
 def dr2_limitation(policy: AnalysisPolicy) -> Column:
     info = F.col("variant_info")
-    shown = info.cast("string")
+    shown = decimal_text(info)
     tier = F.when(info >= policy.imputed_dr2_high_confidence, "high").otherwise("moderate")
     return (
         F.when(

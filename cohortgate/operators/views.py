@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortgate.functions.numbers import decimal_text
+
 from cohortgate.operators.checks import forbid_identifiers
 from cohortgate.operators.evidence import EVALUATION_KEY
 
@@ -61,7 +63,7 @@ def source_decisions(results: DataFrame) -> DataFrame:
     def row(name: str, value):
         return F.struct(F.lit(name).alias("check"), value.cast("string").alias("value"))
 
-    dr2 = F.when(F.col("variant_on_imputed"), F.col("variant_info").cast("string")).otherwise("not used")
+    dr2 = F.when(F.col("variant_on_imputed"), decimal_text(F.col("variant_info"))).otherwise("not used")
     return results.select("request_id", F.inline(F.array(
         row("Requested source", F.col("requested_source")),
         row("Variant on array", F.col("variant_on_array")),

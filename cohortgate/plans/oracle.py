@@ -6,6 +6,7 @@ written here a second time, in SQL.
 
 from __future__ import annotations
 
+from cohortgate.fixed_values import DIGEST_KEYS, FORBIDDEN_KEYS
 from cohortgate.fixed_values import (
     AUTOSOMES,
     CONTIG_LENGTHS,
@@ -672,7 +673,14 @@ oracle("identifier_scan_documents", f"""SELECT * FROM (SELECT doc_id, {hits(_PSE
     {hits(EMAIL)} AS email FROM documents) x WHERE pseudo_id + participant_id + health_number + email > 0""")
 oracle("identifier_scan_conversations", f"""SELECT role, count(*) AS turns, count(*) FILTER (WHERE regexp_matches(text, {lit(_PSEUDO)}) OR regexp_matches(text, {lit(_PERSON)})
     OR regexp_matches(text, {lit(_NUMBER)})) AS with_identifier, count(*) FILTER (WHERE regexp_matches(text, {lit(EMAIL)})) AS with_email FROM conversations GROUP BY role""")
-oracle("identifier_scan_events", "SELECT event_id, event_type FROM events WHERE event_id % 97 = 0 OR event_id % 89 = 0")
+cte("o_json", r"""SELECT event_id, event_type, concat('{"event_id":', event_id, ',"props":', props, CASE WHEN event_id % 97 = 0 THEN ',"nested":[{"Participant_ID_hash":1}]'
+    WHEN event_id % 89 = 0 THEN ',"note":"seen PSU-00AB12 today"' WHEN event_id % 83 = 0 THEN ',"input_sha256":{"a":{"b":["PSU-00AB12"]},"c":"P000000001"}'
+    WHEN event_id % 79 = 0 THEN ',"note":"seen\nPSU-00AB12"' WHEN event_id % 73 = 0 THEN ',"note":"id\tP000000001"' WHEN event_id % 71 = 0 THEN ',"note":"\u0050SU-00AB12"'
+    WHEN event_id % 67 = 0 THEN ',"git_commit":[{"participant\u005fid":1}]' ELSE ',"text":"a \"pseudo_id\": quoted"' END, '}') AS j FROM events""")
+oracle("identifier_scan_events", f"""SELECT DISTINCT event_id, event_type FROM (SELECT event_id, event_type, t.key, t.fullkey, t.type, json_extract_string(t.atom, '$') AS text
+    FROM o_json, json_tree(o_json.j) t) n WHERE regexp_matches(lower(key), '{"|".join(FORBIDDEN_KEYS)}')
+    OR (type = 'VARCHAR' AND NOT regexp_matches(fullkey, '[.]"?({"|".join(DIGEST_KEYS)})"?([.[]|$)')
+      AND (regexp_matches(text, {lit(_PSEUDO)}) OR regexp_matches(text, {lit(_PERSON)}) OR regexp_matches(text, {lit(_NUMBER)})))""", "o_json")
 cte("o_leaves", """SELECT event_id AS seq, sha256(concat(chr(0), '{"event_type":"', event_type, '","id":', event_id, ',"props":', to_json(props), ',"user_id":', user_id, '}')) AS leaf FROM events""")
 oracle("event_leaves", "SELECT * FROM o_leaves", "o_leaves")
 ORACLE["event_root"] = f"""WITH RECURSIVE o_leaves AS ({CTES['o_leaves'].split('--deps:')[0]}),
@@ -719,7 +727,7 @@ oracle("vcf_manifest", """SELECT coalesce(s.cpra, a.cpra) AS cpra, coalesce(s.ch
     s.imputed_maf, s.dosage_r2, coalesce(s.annotation, 'from_array_pvcf') AS annotation FROM o_summary_rows s FULL JOIN o_array_rows a ON s.cpra = a.cpra""", "o_summary_rows", "o_array_rows")
 oracle("sample_qc_export", """SELECT participant_id, 'BATCH_DEMO_A01' AS genotyping_batch, 'v2' AS manifest_version, CASE WHEN sex = 'F' THEN 'F' ELSE 'M' END AS estimated_genetic_sex,
     array_call_rate AS call_rate, het_rate, sex_check_pass, ancestry_pc1, ancestry_pc2, kinship_flag FROM v_sample_qc q LEFT JOIN v_participants p USING (participant_id)""", "v_sample_qc", "v_participants")
-oracle("sample_list_export", """SELECT participant_id, concat_ws(' ', participant_id, participant_id, '0', CASE WHEN coalesce(sex, 'M') = 'M' THEN '1' ELSE '2' END) AS value
-    FROM (SELECT DISTINCT participant_id FROM v_genotype WHERE source = 'array') g LEFT JOIN v_participants p USING (participant_id)""", "v_genotype", "v_participants")
+oracle("sample_list_export", """SELECT participant_id, concat_ws(' ', participant_id, participant_id, '0', CASE WHEN NOT coalesce(known, false) OR coalesce(sex = 'M', false) THEN '1' ELSE '2' END) AS value
+    FROM (SELECT DISTINCT participant_id FROM v_genotype WHERE source = 'array') g LEFT JOIN (SELECT *, true AS known FROM v_participants) p USING (participant_id)""", "v_genotype", "v_participants")
 oracle("kinship_pairs", """SELECT id1, id2 FROM (SELECT min(participant_id) AS id1, max(participant_id) AS id2, count(*) AS n FROM
     (SELECT participant_id, (row_number() OVER (ORDER BY participant_id) - 1) // 2 AS pair FROM v_sample_qc WHERE kinship_flag) r GROUP BY pair) x WHERE n = 2""", "v_sample_qc")

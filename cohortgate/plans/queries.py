@@ -724,7 +724,11 @@ def _event_json() -> Column:
         F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"props":'), F.col("props"),
         F.when(F.col("event_id") % 97 == 0, F.lit(',"nested":[{"Participant_ID_hash":1}]'))
         .when(F.col("event_id") % 89 == 0, F.lit(',"note":"seen PSU-00AB12 today"'))
-        .when(F.col("event_id") % 83 == 0, F.lit(',"input_sha256":{"a":"PSU-00AB12"}'))
+        .when(F.col("event_id") % 83 == 0, F.lit(',"input_sha256":{"a":{"b":["PSU-00AB12"]},"c":"P000000001"}'))
+        .when(F.col("event_id") % 79 == 0, F.lit(r',"note":"seen\nPSU-00AB12"'))
+        .when(F.col("event_id") % 73 == 0, F.lit(r',"note":"id\tP000000001"'))
+        .when(F.col("event_id") % 71 == 0, F.lit(r',"note":"\u0050SU-00AB12"'))
+        .when(F.col("event_id") % 67 == 0, F.lit(r',"git_commit":[{"participant\u005fid":1}]'))
         .otherwise(F.lit(',"text":"a \\"pseudo_id\\": quoted"')),
         F.lit("}"),
     )

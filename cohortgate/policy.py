@@ -108,6 +108,8 @@ class Deployment:
     policy_schema: str = "aggregate-release-policy/v1"
     participant_prefix: str = "P"
     pseudo_prefix: str = "PSU-"
+    #: Why a run's file may leave, and why one may not.
+    file_notes: tuple[str, str] = ("release payload without row-level data", "stays inside: working file of the run")
 
 
 def policy_violations(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from cohortgate import schemas
 from cohortgate.fixed_values import GQ_SENTINEL
 from cohortgate.functions import coerce
 from cohortgate.functions.genotype import chrom_rank, cpra_part, gt_code, gt_text
+from cohortgate.functions.numbers import decimal_text, significant
 from cohortgate.operators.catalogue import region_of
 from cohortgate.operators.frequency import array_allele_frequency
 from cohortgate.sources.durable import durable
@@ -140,21 +141,6 @@ def combined_genotypes(
     )
 
 
-def significant(number: Column, digits: int = 6) -> Column:
-    """Shortest text of a number at six significant digits, for values from 0.0001 to a million."""
-    scale = F.greatest(
-        F.lit(0), F.lit(digits - 1) - F.floor(F.log10(F.abs(F.nullif(number, F.lit(0.0))))).cast("int")
-    )
-    places = F.coalesce(scale, F.lit(0))
-    cut = F.lit(None).cast("string")
-    for n in range(digits + 6):
-        cut = F.when(places == n, F.format_string(f"%.{n}f", number)).otherwise(cut)
-    short = F.when(
-        cut.contains("."), F.regexp_replace(F.regexp_replace(cut, "0+$", ""), r"\.$", "")
-    ).otherwise(cut)
-    return F.when(number.isNotNull(), short)
-
-
 def parse_summary(lines: DataFrame, cpras: DataFrame | None, allow_full_scan: bool = False) -> DataFrame:
     """Summary-statistics lines as manifest columns; DR2, AF and PROP_TYPED kept as numbers."""
     sites = site_lines(lines, cpras, allow_full_scan)
@@ -280,7 +266,8 @@ def _filled(calls: Column, size: Column, absent: str) -> Column:
     closing = F.when(
         tail > 0, F.concat(F.lit("\t"), F.rtrim(gap(tail), F.lit("\t")))
     ).otherwise("")
-    return F.concat(F.array_join(F.transform(calls, piece), "\t"), closing)
+    filled = F.concat(F.array_join(F.transform(calls, piece), "\t"), closing)
+    return F.when(F.size(calls) == 0, F.rtrim(gap(size), F.lit("\t"))).otherwise(filled)
 
 
 def call_lines(
@@ -292,9 +279,17 @@ def call_lines(
     """
     grouped = (
         calls.join(blocks, "participant_id")
-        .groupBy("block", "block_size", "cpra", "chrom", "pos", "ref", "alt")
+        .groupBy("block", "cpra", "chrom", "pos", "ref", "alt")
         .agg(F.sort_array(F.collect_list(F.struct("place", "call"))).alias("calls"))
     )
+    # One row per line to be written: a block without a call for a variant has its line too.
+    sizes = blocks.select("block", "block_size").distinct()
+    count = F.lit(sizes.agg(F.max("block")).scalar())
+    variants = calls.select("cpra", "chrom", "pos", "ref", "alt").distinct()
+    lines = variants.withColumn("block", F.explode(F.sequence(F.lit(0), count))).join(sizes, "block")
+    grouped = lines.join(grouped, ["block", "cpra", "chrom", "pos", "ref", "alt"], "left").withColumn(
+        "calls", F.coalesce("calls", F.array().cast("array<struct<place:int,call:string>>"))
+    )
     head = F.concat_ws(
         "\t", "chrom", F.col("pos").cast("string"), "cpra", "ref", "alt",
         F.lit("."), F.lit("."), F.lit("."), F.lit(format_text),
@@ -332,7 +327,7 @@ def probability_triplet(dosage: Column, max_gp: Column) -> Column:
     rest_at = F.when(best == 1, 0).otherwise(1)
     top, rest = F.bround(max_gp, 3), F.bround(F.lit(1.0) - max_gp, 3)
     entries = [
-        F.when(best == i, top).when(rest_at == i, rest).otherwise(0.0).cast("string") for i in range(3)
+        decimal_text(F.when(best == i, top).when(rest_at == i, rest).otherwise(0.0)) for i in range(3)
     ]
     return F.concat_ws(",", *entries)
 
@@ -355,7 +350,7 @@ def summary_export(manifest: DataFrame) -> DataFrame:
         return F.when(blank, ".").otherwise(F.col(name))
 
     af = text("imputed_maf")
-    raf = F.when(af == ".", ".").otherwise(F.bround(F.lit(1.0) - af.try_cast("double"), 4).cast("string"))
+    raf = F.when(af == ".", ".").otherwise(decimal_text(F.bround(F.lit(1.0) - af.try_cast("double"), 4)))
     typed = F.when(coerce.manifest_flag(F.col("on_array")), "1.0").otherwise("0.0")
     info = F.concat(
         F.lit("DR2="), text("dosage_r2"), F.lit(";AF="), af, F.lit(";RAF="), raf,
@@ -446,8 +441,10 @@ def sample_list_export(genotypes: DataFrame, participants: DataFrame, source: st
     The two fixed head lines are ``ID_1 ID_2 missing sex`` and ``0 0 0 D``.
     """
     have = genotypes.filter(F.col("source") == source).select("participant_id").distinct()
-    sexed = have.join(participants.select("participant_id", "sex"), "participant_id", "left")
-    code = F.when(F.coalesce("sex", F.lit("M")) == "M", "1").otherwise("2")
+    known = participants.select("participant_id", "sex", F.lit(True).alias("known"))
+    sexed = have.join(known, "participant_id", "left")
+    male = F.col("known").isNull() | F.coalesce(F.col("sex") == "M", F.lit(False))
+    code = F.when(male, "1").otherwise("2")
     return sexed.select(
         "participant_id",
         F.concat_ws(" ", "participant_id", "participant_id", F.lit("0"), code).alias("value"),

@@ -8,7 +8,7 @@ from cohortgate.plans.feasibility import Evaluation, Inputs
 from cohortgate.policy import AnalysisPolicy
 from cohortgate.sources.tables import reference_tables, small_table
 
-CPRA = "10:119669928:C:G"
+CPRA = "4:71400210:C:G"
 REQUEST_SCHEMA = (
     "request_id string, batch_id string, ordinal bigint, study_id string, cpra string, chrom string, "
     "pos bigint, ref string, alt string, build string, carrier_definition string, "

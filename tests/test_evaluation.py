@@ -133,7 +133,7 @@ def test_distributed_path_equals_held_path(spark, monkeypatch):
 
 
 def test_two_variant_union(spark):
-    other = "22:28725099:A:G"
+    other = "19:41200518:A:G"
     names = [f"P{i}" for i in range(6)]
     calls = [cohorts.array_call(n, 1) for n in names[:3]] + [
         cohorts.array_call(n, 1, cpra=other) for n in names[1:4]

@@ -7,7 +7,7 @@ import cohorts
 import pytest
 from pyspark.sql import functions as F
 
-from cohortgate.functions import digest
+from cohortgate.functions import digest, numbers
 from cohortgate.operators import identifiers, ledger
 from cohortgate.plans.driver_views import DEPLOYMENT
 
@@ -56,6 +56,34 @@ def test_event_leaf_is_canonical_json(spark):
     assert leaf == hashlib.sha256(b"\x00" + text.encode()).hexdigest()
 
 
+def test_canonical_json_at_all_levels(spark):
+    ddl = "seq bigint, b struct<z:int,a:array<struct<y:string,x:int>>>, m map<string,struct<q:int,p:int>>, airlock map<string,string>"
+    rows = [
+        (0, (1, [("u", 2), None]), {"k": (1, 2), "c": (3, None)}, None),
+        (1, None, None, {"z": "1", "b": "2"}),
+    ]
+    frame = spark.createDataFrame(rows, ddl)
+    got = [json.loads(r["t"]) for r in frame.orderBy("seq").select(ledger.event_json(frame).alias("t")).collect()]
+    texts = [r["t"] for r in frame.orderBy("seq").select(ledger.event_json(frame).alias("t")).collect()]
+    assert "airlock" not in got[0] and got[1]["airlock"] == {"b": "2", "z": "1"} and got[1]["b"] is None
+    assert texts == [json.dumps(g, sort_keys=True, separators=(",", ":")) for g in got]
+
+
+@pytest.mark.parametrize("seqs", [[0, 1, 3], [0, 1, 1, 2], [0, 1]])
+def test_root_refuses_gaps_and_repeats(spark, seqs):
+    frame = spark.createDataFrame([(s, "00" * 32) for s in seqs], "seq bigint, leaf string")
+    with pytest.raises(Exception, match="without gaps or repeats"):
+        ledger.hash_root(frame, 3).collect()
+
+
+def test_number_texts(spark):
+    values = [0.0005, 0.9995, 1e-5, 2e-6, 5e-7, 1e-7, 1e-9, 0.5, 1.0, 0.0, -0.25, 1234567.0, 1e6, 123456.0, 2.5e7, 1e15, 1e16, 1.5e300, 0.1 + 0.2, 100.0, -3e-8]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "i int, v double")
+    rows = frame.select("v", numbers.decimal_text(F.col("v")).alias("d"), numbers.significant(F.col("v")).alias("s")).orderBy("i").collect()
+    assert [(r["d"], r["s"]) for r in rows[:-1]] == [(repr(v), f"{v:.6g}") for v in values]
+    assert (rows[-1]["d"], rows[-1]["s"]) == (None, None)
+
+
 def test_broken_chain_is_found(spark):
     leaves, frame = leaf_table(spark, 9)
     events = ledger.parent_roots(frame, 9).withColumn(
@@ -87,6 +115,17 @@ def test_identifier_scan(spark):
         '{"a":"APSU-00ABCD"}': False,
         '{"a":"éP1234"}': False,
         '{"a":1}': False,
+        r'{"a":"seen\nPSU-00AB12"}': True,
+        r'{"a":"id\tP000000001"}': True,
+        r'{"a":"\u0050SU-00AB12"}': True,
+        r'{"participant\u005fid":1}': True,
+        r'{"a":"tail\\"}': False,
+        '{"input_sha256":{"f":{"g":["PSU-00ABCD",{"h":"P1234"}]}},"b":"x"}': False,
+        '{"input_sha256":{"f":{"g":["PSU-00ABCD"]}},"b":"P1234"}': True,
+        '{"input_sha256":[["PSU-00ABCD"]],"output_sha256":"P1234"}': False,
+        '{"input_sha256":{"pseudo_id":1}}': True,
+        '["P1234"]': True,
+        '{"a":"' + "x" * 20_000 + ' P1234"}': True,
     }
     frame = cohorts.table(spark, [(t,) for t in cases], "t string")
     rows = frame.select("t", identifiers.has_forbidden_content(F.col("t"), DEPLOYMENT).alias("hit")).collect()

@@ -81,8 +81,8 @@ def test_build_and_strand_verdicts(spark):
 
 
 VARIANTS = [
-    ("del", "22:28695868:AG:A"), ("snv", "22:28725099:A:G"), ("b1", "17:43044295:G:A"),
-    ("b2", "13:32316461:C:T"), ("p2", "16:23614412:G:A"), ("atm", "11:108236123:C:T"),
+    ("del", "19:41100402:AG:A"), ("snv", "19:41200518:A:G"), ("b1", "12:56000604:G:A"),
+    ("b2", "9:77300711:C:T"), ("p2", "14:88100803:G:A"), ("atm", "20:30500905:C:T"),
 ]
 GENES = [("CHEK2", ["del", "snv"]), ("BRCA1", ["b1"]), ("BRCA2", ["b2"]), ("PALB2", ["p2"]), ("ATM", ["atm"])]
 
