@@ -731,3 +731,43 @@ oracle("sample_list_export", """SELECT participant_id, concat_ws(' ', participan
     FROM (SELECT DISTINCT participant_id FROM v_genotype WHERE source = 'array') g LEFT JOIN (SELECT *, true AS known FROM v_participants) p USING (participant_id)""", "v_genotype", "v_participants")
 oracle("kinship_pairs", """SELECT id1, id2 FROM (SELECT min(participant_id) AS id1, max(participant_id) AS id2, count(*) AS n FROM
     (SELECT participant_id, (row_number() OVER (ORDER BY participant_id) - 1) // 2 AS pair FROM v_sample_qc WHERE kinship_flag) r GROUP BY pair) x WHERE n = 2""", "v_sample_qc")
+
+# --- files read back, number texts, run events ------------------------------------------------
+
+oracle("participants_read", "SELECT * FROM v_participants", "v_participants")
+oracle("sample_qc_read", "SELECT participant_id, array_call_rate, het_rate, CAST(sex_check_pass AS VARCHAR) AS sex_check_pass, ancestry_pc1, ancestry_pc2, CAST(kinship_flag AS VARCHAR) AS kinship_flag FROM v_sample_qc", "v_sample_qc")
+for _name in ("requests_read", "requests_read_json"):
+    oracle(_name, "SELECT study_id, cpra, chrom, CAST(pos AS VARCHAR) AS pos, ref, alt, build, carrier_definition, requested_source, purpose FROM v_requests", "v_requests")
+cte("v_sites", f"SELECT *, concat_ws(':', chrom, CAST(pos AS VARCHAR), ref, alt) AS cpra FROM ({sel(dv.WIDE_SITES, 'part')}) s")
+oracle("manifest_read", "SELECT cpra, chrom, CAST(pos AS VARCHAR) AS pos, on_array, array_maf, nullif(dosage_r2, '') AS dosage_r2, inaccurate_annotation FROM v_sites", "v_sites")
+oracle("identifiability_read", "SELECT cpra, on_array, on_imputed, 'TRUE' AS annotation_reliable, 'r1' AS source_release, concat('row ', CAST(k AS VARCHAR)) AS evidence FROM v_sites", "v_sites")
+oracle("genotypes_read", "SELECT split_part(cpra, ':', 1) AS chrom, participant_id, cpra, source, gt_code, gq, call_rate, dosage, max_gp FROM v_genotype WHERE split_part(cpra, ':', 1) IN ('4', 'X')", "v_genotype")
+oracle("number_texts", "SELECT l_orderkey, l_linenumber, format('{:.6g}', (CAST(l_extendedprice AS DOUBLE) + 1e0 / 3e0) * 1e-5 * ([" + ", ".join(f"1e{e}" for e in range(-9, 9))
+       + "])[CAST(l_orderkey % 18 + 1 AS INT)]) AS six_digits, CAST(CAST(l_partkey AS DOUBLE) / 1e6 AS VARCHAR) AS shortest FROM lineitem")
+cte("o_run_leaves", """SELECT ordinal AS seq, sha256(concat(chr(0), '{"actor_type":"workflow"', CASE WHEN ordinal % 3 = 0 THEN concat(',"airlock":{"payload":"', request_id, '"}') ELSE '' END,
+    ',"config_sha256":"c0ffee","cpra":"', cpra, '","git_commit":"unknown","input_sha256":{"a":"1","z":"', study_id, '"},"output_sha256":{"release.json":"', request_id,
+    '"},"parent_root":"","request_id":"', request_id, '","sdc":{"client_total":"<10"},"timestamp":"2026-01-01T00:00:00+00:00"}')) AS leaf FROM v_requests""", "v_requests")
+oracle("run_event_leaves", "SELECT seq, leaf FROM o_run_leaves", "o_run_leaves")
+
+
+def _prefix_roots(leaves: str) -> str:
+    """Roots of all prefixes: nodes of every level, then one walk upward for each prefix."""
+    return f"""RECURSIVE levels(depth, nodes) AS (
+  SELECT 0, list(leaf ORDER BY seq) FROM {leaves}
+  UNION ALL SELECT depth + 1, list_transform(range(1, len(nodes), 2), lambda i: sha256(unhex(concat('01', nodes[i], nodes[i + 1])))) FROM levels WHERE len(nodes) > 1
+), walk(p, depth, below, acc) AS (
+  SELECT seq + 1, 0, seq + 1, leaf FROM {leaves} WHERE seq + 1 < (SELECT count(*) FROM {leaves})
+  UNION ALL SELECT p, w.depth + 1, (below + 1) // 2, sha256(unhex(concat('01', CASE WHEN below % 2 = 0 THEN l.nodes[below - 1] ELSE acc END, acc)))
+  FROM walk w JOIN levels l ON l.depth = w.depth WHERE below > 1
+), done AS (SELECT p AS seq, acc AS parent_root FROM walk WHERE below = 1 UNION ALL SELECT 0, sha256(unhex('01')))
+"""
+
+
+def _with_prefix_roots(body: str, leaves: str) -> str:
+    first = with_ctes("", leaves).removeprefix("WITH ").strip()
+    return f"WITH {_prefix_roots(leaves).replace('RECURSIVE ', f'RECURSIVE {first}, ', 1)} {body}"
+
+
+ORACLE["event_parent_roots"] = _with_prefix_roots("SELECT seq, parent_root FROM done", "o_leaves")
+ORACLE["run_event_parent_roots"] = _with_prefix_roots("SELECT seq, parent_root FROM done", "o_run_leaves")
+ORACLE["broken_chain"] = _with_prefix_roots("SELECT seq, repeat('0', 64) AS parent_root FROM done WHERE seq % 11 = 4", "o_run_leaves")
