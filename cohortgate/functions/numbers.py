@@ -45,7 +45,8 @@ def decimal_text(number: Column) -> Column:
 
 def significant(number: Column, digits: int = 6) -> Column:
     """Text at ``digits`` significant digits without trailing zeros, with an exponent below 0.0001
-    and from 10 ** digits on. Null and NaN give null."""
+    and from 10 ** digits on. Null and NaN give null. A number whose shortest decimal form ends in
+    a 5 just behind the last kept digit is rounded up, whatever its binary form."""
     rounded = F.format_string(f"%.{digits - 1}e", F.abs(number.cast("double")))
     e = F.split_part(rounded, F.lit("e"), F.lit(2)).try_cast("int")
     kept = _stripped(F.regexp_replace(F.split_part(rounded, F.lit("e"), F.lit(1)), r"\.", ""))

@@ -75,14 +75,16 @@ def requested_calls(
     """Genotype rows of the requested variants, cut at the scan.
 
     A short list of variants gives literal filters: on ``chrom`` where the table is partitioned by
-    it, and on ``cpra``, which reach the Parquet scan. Otherwise it is a semi-join.
+    it, and on ``cpra``, which reach the Parquet scan. Otherwise it is a semi-join on both.
     """
     if cpras is not None and len(cpras) <= FILTER_VALUES:
         if "chrom" in genotypes.columns:
             genotypes = genotypes.filter(F.col("chrom").isin(sorted({c.split(":")[0] for c in cpras})))
         return genotypes.filter(F.col("cpra").isin(cpras))
-    wanted = evaluations.select("cpra").distinct()
-    return genotypes.join(wanted if cpras is None else F.broadcast(wanted), "cpra", "left_semi")
+    wanted, keys = evaluations.select("cpra").distinct(), ["cpra"]
+    if "chrom" in genotypes.columns:  # lets the contigs prune partitions at run time
+        wanted, keys = wanted.withColumn("chrom", F.split_part("cpra", F.lit(":"), F.lit(1))), ["chrom", "cpra"]
+    return genotypes.join(wanted if cpras is None else F.broadcast(wanted), keys, "left_semi")
 
 
 def candidate_evidence(

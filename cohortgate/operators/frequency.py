@@ -64,22 +64,19 @@ def frequency_strata(
     Off the autosomes no frequency is computed (ploidy guard), so those evaluations have no rows.
     """
     diploid = cells.filter(F.col("chrom").isin(AUTOSOMES))
-    summed = [F.sum("callable").alias("callable"), F.sum("alt_alleles").alias("alt_alleles")]
-
-    def by(kind: str, stratum) -> DataFrame:
-        keyed = diploid.withColumn("stratum", stratum).filter(F.col("stratum").isNotNull())
-        return keyed.groupBy(*EVALUATION_KEY, "stratum").agg(*summed).withColumn(
-            "stratum_kind", F.lit(kind)
-        )
-
-    seen = by("overall", F.lit("all")).unionByName(by("sex", F.col("sex"))).unionByName(
-        by("ancestry", F.col("ancestry_stub"))
-    )
-    kinds = subjects.select(F.inline(F.array(
+    strata = F.inline(F.array(
         F.struct(F.lit("overall").alias("stratum_kind"), F.lit("all").alias("stratum")),
         F.struct(F.lit("sex").alias("stratum_kind"), F.col("sex").alias("stratum")),
         F.struct(F.lit("ancestry").alias("stratum_kind"), F.col("ancestry_stub").alias("stratum")),
-    ))).filter(F.col("stratum").isNotNull()).distinct()
+    ))
+    # Cells are already one row per stratum combination, so all margins come from one pass.
+    seen = (
+        diploid.select(*EVALUATION_KEY, "callable", "alt_alleles", strata)
+        .filter(F.col("stratum").isNotNull())
+        .groupBy(*EVALUATION_KEY, "stratum_kind", "stratum")
+        .agg(F.sum("callable").alias("callable"), F.sum("alt_alleles").alias("alt_alleles"))
+    )
+    kinds = subjects.select(strata).filter(F.col("stratum").isNotNull()).distinct()
     # Every stratum the cohort has appears for every evaluation: a handful of labels, held as one
     # array value and exploded, so an evaluation without a callable sample still gets its row.
     labels = kinds.agg(F.sort_array(F.collect_list(F.struct("stratum_kind", "stratum"))))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,37 +11,28 @@ from cohortgate.operators import ledger
 from cohortgate.plans import driver_views as dv
 from cohortgate.plans.queries import QUERIES, query
 from cohortgate.sources import tables
+from cohortgate.sources.durable import shared_path
 
 __all__ = ["QUERIES"]
 
 
-def stored(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session shares; local sessions take a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def participants_read(spark, sf_dir):
-    path = stored(spark, "participants")
+    path = shared_path(spark, "participants")
     tables.write_parquet(dv.participants(spark, sf_dir).withColumn("unused", F.lit(1)), path)
     return tables.read_participants(spark, path)
 
 
 @query
 def sample_qc_read(spark, sf_dir):
-    path = stored(spark, "sample-qc")
+    path = shared_path(spark, "sample-qc")
     dv.sample_qc(spark, sf_dir).write.option("header", True).option("sep", "\t").csv(path)
     return tables.read_sample_qc(spark, path)
 
 
 @query
 def requests_read(spark, sf_dir):
-    path = stored(spark, "requests")
+    path = shared_path(spark, "requests")
     rows = dv.requests(spark, sf_dir).select(*schemas.REQUESTS.fieldNames())
     tables.write_csv(rows, path)
     return tables.read_requests(spark, path)
@@ -52,21 +40,21 @@ def requests_read(spark, sf_dir):
 
 @query
 def requests_read_json(spark, sf_dir):
-    path = f"{stored(spark, 'requests')}.jsonl"
+    path = f"{shared_path(spark, 'requests')}.jsonl"
     tables.write_json(dv.requests(spark, sf_dir).select(*schemas.REQUESTS.fieldNames()), path)
     return tables.read_requests(spark, path)
 
 
 @query
 def manifest_read(spark, sf_dir):
-    path = stored(spark, "manifest")
+    path = shared_path(spark, "manifest")
     tables.write_csv(dv.wide_manifest(spark, sf_dir).select(*schemas.MANIFEST.fieldNames()), path)
     return tables.read_manifest(spark, path).select("cpra", "chrom", "pos", "on_array", "array_maf", "dosage_r2", "inaccurate_annotation")
 
 
 @query
 def identifiability_read(spark, sf_dir):
-    path = stored(spark, "identifiability")
+    path = shared_path(spark, "identifiability")
     sites = dv.wide_manifest(spark, sf_dir)
     listed = sites.select(
         "cpra", "on_array", "on_imputed", F.lit("TRUE").alias("annotation_reliable"),
@@ -79,7 +67,7 @@ def identifiability_read(spark, sf_dir):
 @query
 def genotypes_read(spark, sf_dir):
     """Stored by contig and read for two of them: the filter prunes partitions."""
-    path = stored(spark, "genotypes")
+    path = shared_path(spark, "genotypes")
     tables.write_genotypes(dv.genotypes(spark, sf_dir), path)
     return tables.read_genotypes(spark, path).filter(F.col("chrom").isin("4", "X"))
 

@@ -184,7 +184,8 @@ def register_genotype_source(name: str, reader: Callable[[SparkSession, str], Da
 
 def read_genotype_source(spark: SparkSession, kind: str, path: str) -> DataFrame:
     df = require_columns(GENOTYPE_READERS[kind](spark, path), schemas.GENOTYPES, f"genotypes({kind})")
-    return df.select(*GENOTYPE_COLUMNS)
+    contig = ["chrom"] if "chrom" in df.columns else []
+    return df.select(*contig, *GENOTYPE_COLUMNS)
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
