@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortgate.functions.digest import canonical_json, leaf_hash, node_hash
+from cohortgate.sources.durable import written
 
 FAN_IN_LEVELS = 10
 # Event fields that are left out when null.
@@ -152,38 +153,60 @@ def full_nodes(leaves: DataFrame, total: int) -> DataFrame:
     return found
 
 
+def _walked(acc: Column, index: Column, left: Column) -> Column:
+    """One level up for the last node of a prefix: it pairs with its left neighbour, or with itself
+    where it has none on its own side; a node at place 0 is the root already."""
+    return F.when(index % 2 == 1, node_hash(left, acc)).when(index > 0, node_hash(acc, acc)).otherwise(acc)
+
+
+def _paths(blocks: DataFrame, total: int) -> DataFrame:
+    """(block, path): what the last node of a prefix meets above its block, from the bottom up."""
+    complete = blocks.filter(F.size(F.col(f"l{FAN_IN_LEVELS}")) == 1)
+    roots = complete.select(F.col("block").alias("seq"), F.get(F.col(f"l{FAN_IN_LEVELS}"), F.lit(0)).alias("leaf"))
+    count = -(-total // 2 ** FAN_IN_LEVELS)
+    steps = blocks.select(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(max(count - 1, 1).bit_length()))).alias("level")
+    ).withColumn("index", F.floor(F.col("block") / F.pow(F.lit(2), F.col("level"))))
+    steps = steps.filter(F.col("index") > 0).withColumn("idx", F.when(F.col("index") % 2 == 1, F.col("index") - 1))
+    met = steps.join(full_nodes(roots, total // 2 ** FAN_IN_LEVELS), ["level", "idx"], "left")
+    return met.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("level", "index", "hash"))).alias("path"))
+
+
 def parent_roots(leaves: DataFrame, total: int) -> DataFrame:
     """(seq, parent_root): the root over all earlier events, for every event at once.
 
-    The last node of each level of a prefix pairs with a complete left neighbour or with itself,
-    so one prefix needs one complete node per level where its node count is even. These are
-    looked up by an equi-join of n * log2(n) rows; no prefix is hashed again from its leaves.
+    Leaves are shuffled once, into aligned blocks of 1,024 whose nodes are hashed once and written.
+    A prefix ends in one block; below, it meets nodes of that block only, and above, the few nodes
+    of its block's path, which n / 1,024 block roots give. Every row that moves is a leaf or a
+    block, and no node is looked up by more than its neighbours.
     """
-    levels = max(total - 1, 1).bit_length()
-    nodes = full_nodes(leaves, total)
-    # Node count of prefix p at level l is ceil(p / 2^l).
-    prefixes = leaves.select(F.col("seq").alias("p")).filter(F.col("p") > 0)
-    needed = prefixes.select(
-        "p", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
-    ).withColumn("count", F.ceil(F.col("p") / F.pow(F.lit(2.0), F.col("level"))).cast("long"))
-    needed = needed.filter(F.col("count") > 1)
-    left = needed.filter(F.col("count") % 2 == 0).withColumn("idx", F.col("count") - 2)
-    looked_up = left.join(nodes, ["level", "idx"]).select("p", "level", F.col("hash").alias("left"))
-    walked = (
-        needed.select("p", "level").join(looked_up, ["p", "level"], "left")
-        .groupBy("p").agg(F.sort_array(F.collect_list(F.struct("level", "left"))).alias("path"))
-    )
-    last = leaves.select((F.col("seq") + 1).alias("p"), F.col("leaf").alias("last"))
-    joined = prefixes.join(last, "p").join(walked, "p", "left")
-    root = F.aggregate(
-        F.coalesce("path", F.array().cast("array<struct<level:int,left:string>>")),
-        F.col("last"),
-        lambda acc, step: node_hash(F.coalesce(step["left"], acc), acc),
-    )
-    empty = leaves.filter(F.col("seq") == 0).select(
-        "seq", F.sha2(F.unhex(F.lit("01")), 256).alias("parent_root")
+    size = 2 ** FAN_IN_LEVELS
+    blocks = leaves.groupBy(F.floor(F.col("seq") / size).alias("block")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("seq", "leaf"))), lambda node: node["leaf"]).alias("l0")
     )
-    return joined.select(F.col("p").alias("seq"), root.alias("parent_root")).unionByName(empty)
+    for step in range(1, FAN_IN_LEVELS + 1):
+        blocks = blocks.withColumn(f"l{step}", _full_pairs(F.col(f"l{step - 1}")))
+    levels = F.array(*[F.struct(F.lit(step).alias("level"), F.col(f"l{step}").alias("nodes")) for step in range(FAN_IN_LEVELS)])
+    blocks = written(blocks.select("block", "l0", f"l{FAN_IN_LEVELS}", levels.alias("levels")), "ledger-blocks")
+    none = F.array().cast("array<struct<level:int,index:bigint,hash:string>>")
+    joined = blocks.withColumn("path", none)
+    if total > size:
+        joined = blocks.join(_paths(blocks, total), "block", "left")
+    path = F.coalesce("path", none)
+
+    def root(leaf: Column, place: Column) -> Column:
+        def within(acc: Column, row: Column) -> Column:
+            here = F.floor(place / F.pow(F.lit(2), row["level"])).cast("int")
+            index = F.when(F.col("block") > 0, size + here).otherwise(here)  # only its parity and whether it is 0 matter
+            return _walked(acc, index, F.get(row["nodes"], here - 1))
+
+        inside = F.aggregate(F.col("levels"), leaf, within)
+        return F.aggregate(path, inside, lambda acc, up: _walked(acc, up["index"], up["hash"]))
+
+    roots = joined.select("block", F.posexplode(F.transform("l0", root)).alias("place", "parent_root"))
+    seq = (F.col("block") * size + F.col("place") + 1).alias("seq")
+    empty = leaves.filter(F.col("seq") == 0).select("seq", F.sha2(F.unhex(F.lit("01")), 256).alias("parent_root"))
+    return roots.select(seq, "parent_root").filter(F.col("seq") < total).unionByName(empty)
 
 
 def broken_chain(events: DataFrame, leaves: DataFrame, total: int) -> DataFrame:
