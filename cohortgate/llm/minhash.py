@@ -10,9 +10,10 @@ a probability below 1e-7.
 Documents with the same set form a class and only its first one goes on. In a band's group every
 class is compared with the group's hub, the least by hash, so a group of thousands of near copies
 makes as many pairs, not their square. Links are confirmed on full sets and joined to components.
-What is left is exact: classes that share a band but not a component meet other hubs of the group,
-and in the end all such pairs are compared; most groups have none left by then. Texts are
-shuffled once, of classes that share a band; everything else is narrow rows.
+Classes that share a band but not a component meet other hubs of the group, and in the end the
+sketches of all that are still apart are compared inside the tasks, block by block; only pairs
+whose sketches agree go on to the full comparison. Texts of classes that share a band are taken
+out once; everything else is narrow rows.
 
 Defined results: a null text or one without a word has an empty set and is linked with nothing; a
 text with fewer words than a shingle has its whole sequence as its one shingle; a null id is
@@ -37,7 +38,9 @@ from cohortgate.llm.tables import kept
 BINS, BANDS = 128, 32
 #: Rounds of further hubs before all remaining pairs of a group are compared; sooner where groups
 #: hold no more than this many classes on average.
-HUB_ROUNDS, FEW = 3, 8
+HUB_ROUNDS, FEW = 2, 8
+#: Coordinates in which sketches must agree for a full comparison, and classes of a block of a group.
+AGREE, BLOCK = 75, 1024
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64((1 << 55) - 1)
@@ -59,6 +62,11 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return bins
 
 
+def coordinate_bytes(coordinates: np.ndarray) -> bytes:
+    """One byte of each coordinate, enough to count how many agree."""
+    return mix(coordinates).astype(np.uint8).tobytes()
+
+
 def bands(coordinates: np.ndarray) -> np.ndarray:
     rows = coordinates.reshape(BANDS, -1)
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -68,23 +76,25 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, set_key, bands`` of every row; written once."""
+    """``doc_id, text_hash, n_shingles, set_key, bands, coords`` of every row; written once."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                sizes, keys, groups = [], [], []
+                sizes, keys, groups, coords = [], [], [], []
                 for found in shingle_sets(batch.column("text").to_pylist(), k):
                     sizes.append(len(found))
                     keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                    groups.append(bands(sketch(found)) if len(found) else [])
+                    filled = sketch(found) if len(found) else None
+                    groups.append([] if filled is None else bands(filled))
+                    coords.append(None if filled is None else coordinate_bytes(filled))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.list_(pa.int64()))],
-                    names=["doc_id", "text_hash", "n_shingles", "set_key", "bands"],
+                    [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.list_(pa.int64())), pa.array(coords, pa.binary())],
+                    names=["doc_id", "text_hash", "n_shingles", "set_key", "bands", "coords"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return kept(rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>"), "signatures")
+    return kept(rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, coords binary"), "signatures")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -125,12 +135,36 @@ def _hub_pairs(crowd: DataFrame, turn: int, percent: int, most: int) -> DataFram
     return met.select(F.greatest("hub.set_key", "set_key").alias("a"), F.least("hub.set_key", "set_key").alias("b")).distinct()
 
 
-def _all_pairs(crowd: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a group that are in different components."""
-    other = crowd.select("band", F.col("set_key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = crowd.withColumnRenamed("set_key", "a").join(other, "band")
-    apart = (F.col("a") > F.col("b")) & (F.col("root") != F.col("other")) & _fits(F.col("n"), F.col("m"), percent)
-    return rest.filter(apart).select("a", "b").distinct()
+def _near_by_sketch(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a group that are in different components and whose sketches agree enough.
+
+    Groups are compared block by block inside the tasks; only pairs that agree leave them. A pair
+    at similarity 0.8 agrees in fewer than ``AGREE`` coordinates with a probability below 1e-7.
+    """
+    blocks = kept(crowd.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
+    rows = crowd.join(blocks, "band").join(sets.select("set_key", "coords"), "set_key")
+    own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.withColumn("own", own).withColumn("other", other)
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        keys, roots = np.array(group.column("set_key").to_pylist(), object), np.array(group.column("root").to_pylist(), object)
+        sizes, own = group.column("n").to_numpy(), group.column("own").to_numpy()
+        crossing = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        coords = np.frombuffer(b"".join(group.column("coords").to_pylist()), np.uint8).reshape(-1, BINS)
+        out: list[tuple[bytes, bytes]] = []
+        for at in range(len(keys) - 1):
+            fits = 100 * np.minimum(sizes[at + 1 :], sizes[at]) >= percent * np.maximum(sizes[at + 1 :], sizes[at])
+            fits &= roots[at + 1 :] != roots[at]
+            if crossing:
+                fits &= own[at + 1 :] != own[at]
+            spots = at + 1 + np.flatnonzero(fits)
+            agreed = (coords[spots] == coords[at]).sum(axis=1) >= AGREE
+            out += [(max(keys[at], k), min(keys[at], k)) for k in keys[spots[agreed]]]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+    return dealt.groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def _open_groups(crowd: DataFrame, most: int) -> DataFrame:
@@ -145,7 +179,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
     sets = kept(
         signed.filter("n_shingles > 0").groupBy("set_key").agg(
             F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("doc_id").alias("low_id"),
-            F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+            F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("coords").alias("coords"),
         ),
         "sets",
     )
@@ -169,7 +203,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
         if not size.rows:
             break
         last = turn > HUB_ROUNDS or size.squares <= FEW * size.rows
-        pairs = _all_pairs(crowd, percent) if last else _hub_pairs(crowd, turn, percent, most)
+        pairs = _near_by_sketch(crowd, sets, percent) if last else _hub_pairs(crowd, turn, percent, most)
         pairs = kept(pairs.join(met, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             found = confirmed(pairs, texts, k, percent)
