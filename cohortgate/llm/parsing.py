@@ -34,8 +34,9 @@ from cohortgate.llm.shingles import mix
 from cohortgate.llm.tables import kept
 
 LENGTH, SPAN, TRIGGER = 400, 256, 16
-#: Surroundings that one task compares, and those of one name from which strings are dealt out.
-TASK_ROWS, HOT = 20_000, 4_096
+#: Surroundings that one task compares on average, and those of one name from which strings are
+#: dealt out instead: 32,768 surroundings of some 60 strings each take a task about 150 MB.
+TASK_ROWS, HOT = 20_000, 32_768
 #: Places that are parsed together; longer texts are parsed piece by piece.
 PIECE = 4_000_000
 _PRIME = 0x9E3779B97F4A7C15
