@@ -443,8 +443,8 @@ oracle("variant_list_membership", """SELECT t.cpra, CASE WHEN a.k IS NOT NULL TH
       CASE WHEN i.k IS NULL THEN 'imputed resource: no exact CPRA hit' ELSE concat('imputed resource: exact CPRA present; inaccurate.annotation=', CASE WHEN i.k % 37 = 0 THEN 'true' ELSE 'FALSE' END) END) AS evidence
   FROM (SELECT DISTINCT cpra FROM v_wide_requests) t LEFT JOIN (SELECT k, cpra FROM v_wide WHERE k % 5 <> 0) a ON t.cpra = a.cpra
     LEFT JOIN (SELECT k, cpra FROM v_wide WHERE k % 3 <> 0) i ON t.cpra = i.cpra""", "v_wide_requests", "v_wide")
-cte("o_lines", """SELECT 'array' AS file, concat(cpra, ',', CASE WHEN k % 41 = 0 THEN 'Yes' ELSE 'No' END) AS value FROM v_wide WHERE k % 5 <> 0
-    UNION ALL SELECT 'imputed', replace(cpra, ':', chr(9)) FROM v_wide WHERE k % 3 <> 0""", "v_wide")
+cte("o_lines", """SELECT 'array' AS file, concat(CASE WHEN k % 5 = 0 THEN concat('U', cpra) ELSE cpra END, ',', CASE WHEN k % 41 = 0 THEN 'Yes' ELSE 'No' END) AS value FROM v_wide 
+    UNION ALL SELECT 'imputed', replace(CASE WHEN k % 3 = 0 THEN concat('U', cpra) ELSE cpra END, ':', chr(9)) FROM v_wide""", "v_wide")
 oracle("position_search", """SELECT file, count(*) FILTER (WHERE contains(value, '105729')) AS hits,
     count(*) FILTER (WHERE contains(value, '105729') AND contains(replace(replace(value, chr(9), ':'), ',', ':'), '2:105729:A:T')) AS exact_hits FROM o_lines GROUP BY file""", "o_lines")
 oracle("position_sample", "SELECT file, value FROM o_lines WHERE contains(value, '729') ORDER BY file, value LIMIT 12", "o_lines")
@@ -721,7 +721,7 @@ cte("o_summary_rows", """SELECT cpra, chrom, pos, ref, alt, on_array = 'TRUE' AS
 oracle("vcf_summary_scan", "SELECT * FROM o_summary_rows", "o_summary_rows")
 cte("o_array_rows", """SELECT w.cpra, any_value(w.chrom) AS chrom, any_value(w.pos) AS pos, any_value(w.ref) AS ref, any_value(w.alt) AS alt,
     CAST(sum(CASE WHEN g >= 0 THEN g ELSE 0 END) AS DOUBLE) / nullif(CAST(2 * count(*) FILTER (WHERE g >= 0) AS DOUBLE), 0) AS af
-    FROM (SELECT l_partkey, (l_orderkey + l_linenumber) % 4 - 1 AS g FROM lineitem WHERE l_orderkey % 3 = 0) l JOIN v_wide w ON l.l_partkey = w.k GROUP BY w.cpra""", "v_wide")
+    FROM (SELECT l_partkey, (l_orderkey + l_linenumber) % 4 - 1 AS g FROM lineitem WHERE l_partkey % 8 <> 1) l JOIN v_wide w ON l.l_partkey = w.k GROUP BY w.cpra""", "v_wide")
 oracle("vcf_manifest", """SELECT coalesce(s.cpra, a.cpra) AS cpra, coalesce(s.chrom, a.chrom) AS chrom, coalesce(s.pos, a.pos) AS pos, coalesce(s.ref, a.ref) AS ref, coalesce(s.alt, a.alt) AS alt,
     a.cpra IS NOT NULL OR coalesce(s.on_array, false) AS on_array, s.cpra IS NOT NULL AS on_imputed, CASE WHEN a.cpra IS NOT NULL THEN a.af ELSE s.array_maf END AS array_maf,
     s.imputed_maf, s.dosage_r2, coalesce(s.annotation, 'from_array_pvcf') AS annotation FROM o_summary_rows s FULL JOIN o_array_rows a ON s.cpra = a.cpra""", "o_summary_rows", "o_array_rows")

@@ -240,11 +240,16 @@ def source_decision(spark, sf_dir):
     ).select("request_id", "cpra", "variant_info", "use_array", "use_imputed", "imp_high")
 
 
+def _elsewhere(missed: str, key: str, name: str | None = None) -> str:
+    """The key, moved to a contig that no variant has where ``missed`` holds: a row without a match."""
+    return f"CASE WHEN {missed} THEN concat('U', {key}) ELSE {key} END AS {name or key}"
+
+
 @query
 def identifiability_overlay(spark, sf_dir):
     wide = dv.wide_manifest(spark, sf_dir)
-    listed = wide.filter("k % 4 <> 3").selectExpr(
-        "cpra", "CASE WHEN k % 2 = 0 THEN 'yes' ELSE ' n' END AS on_array",
+    listed = wide.selectExpr(
+        _elsewhere("k % 4 = 3", "cpra"), "CASE WHEN k % 2 = 0 THEN 'yes' ELSE ' n' END AS on_array",
         "CASE WHEN k % 8 = 0 THEN '1' ELSE 'False' END AS on_imputed",
         "CASE WHEN k % 16 = 1 THEN 'F' ELSE 't' END AS annotation_reliable",
     )
@@ -255,11 +260,11 @@ def identifiability_overlay(spark, sf_dir):
 
 def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     wide = dv.wide_manifest(spark, sf_dir)
-    array = wide.filter("k % 5 <> 0").selectExpr(
-        "cpra", "CASE WHEN k % 41 = 0 THEN 'Yes' ELSE 'No' END AS flag"
+    array = wide.selectExpr(
+        _elsewhere("k % 5 = 0", "cpra"), "CASE WHEN k % 41 = 0 THEN 'Yes' ELSE 'No' END AS flag"
     )
-    imputed = wide.filter("k % 3 <> 0").selectExpr(
-        "cpra", "CASE WHEN k % 37 = 0 THEN 'true' ELSE 'FALSE' END AS flag"
+    imputed = wide.selectExpr(
+        _elsewhere("k % 3 = 0", "cpra"), "CASE WHEN k % 37 = 0 THEN 'true' ELSE 'FALSE' END AS flag"
     )
     return array, imputed
 
@@ -305,11 +310,11 @@ def allele_trim(spark, sf_dir):
 def build_and_strand(spark, sf_dir):
     wide = dv.wide_manifest(spark, sf_dir)
     trimmed = preflight.trim_alleles(wide)
-    bases = trimmed.filter("k % 7 <> 0").selectExpr(
-        "chrom", "n_pos AS pos", "k AS p_partkey", "n_ref"
+    bases = trimmed.selectExpr(
+        _elsewhere("k % 7 = 0", "chrom"), "n_pos AS pos", "k AS p_partkey", "n_ref"
     ).selectExpr("chrom", "pos", *[f"{sql} AS {name}" for name, sql in dv.WIDE_BASES.items()])
-    panel = trimmed.filter("k % 4 <> 0").select(
-        F.col("normalized_cpra").alias("cpra"), (F.col("k") * 37 % 997 / 1000).alias("panel_maf")
+    panel = trimmed.select(
+        F.expr(_elsewhere("k % 4 = 0", "normalized_cpra", "cpra")), (F.col("k") * 37 % 997 / 1000).alias("panel_maf")
     )
     matched = requests.match_manifest(dv.wide_requests(spark, sf_dir), wide)
     return preflight.with_preflight(matched, bases, panel).select(
@@ -861,9 +866,10 @@ def vcf_summary_scan(spark, sf_dir):
 
 @query
 def vcf_manifest(spark, sf_dir):
-    """Summary statistics of the parts merged with array presence of every third order's parts."""
-    array_calls = dv.table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = 0").selectExpr(
-        "l_partkey", "CAST((l_orderkey + l_linenumber) % 4 - 1 AS DOUBLE) AS gt_code"
+    """Summary statistics of the parts merged with array presence; every eighth part is met by no
+    call."""
+    array_calls = dv.table(spark, sf_dir, "lineitem").selectExpr(
+        "CASE WHEN l_partkey % 8 = 1 THEN -l_partkey ELSE l_partkey END AS l_partkey", "CAST((l_orderkey + l_linenumber) % 4 - 1 AS DOUBLE) AS gt_code"
     ).join(dv.wide_manifest(spark, sf_dir).select("k", "cpra"), F.col("l_partkey") == F.col("k"))
     array = vcf.array_manifest(array_calls)
     return vcf.combined_manifest(_summary(spark, sf_dir), array)

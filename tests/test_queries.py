@@ -17,7 +17,7 @@ CORE = [
     "client_totals", "result_rows", "gate_pass_counts", "classified_carriers", "threshold_projection",
     "batch_union", "allele_frequency", "request_violations", "build_and_strand", "panel_variants",
     "region_lookup", "release_predicate", "release_check", "final_result", "identifier_scan_documents",
-    "event_root", "vcf_genotypes",
+    "event_root", "vcf_genotypes", "identifier_scan_events", "number_texts", "broken_chain", "genotypes_read",
 ]
 NAMES = list(entry.queries()) if os.environ.get("ALL_QUERIES") else CORE
 
