@@ -7,7 +7,7 @@ digested in the scan that reads it.
 
 Defined results: a null text counts as empty; texts are equal when identical after lower-casing
 A-Z only; a null ``doc_id`` is smaller than every other; of repeated rows with the surviving id
-one is kept; an empty table gives an empty result. Other columns are neither read nor changed.
+and the same text one is kept, and different texts of one id (or without an id) all stay; an empty table gives an empty result. Other columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -103,8 +103,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns."""
     prints = fingerprints(docs)
-    stay = classes(prints).select(F.col("keep_id").alias("__keep_id"), F.col("digest").alias("__digest"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__keep_id")) & (text_digest(docs["text"]) == F.col("__digest"))
-    rows = docs.join(stay, same, "left_semi")
+    stay = classes(prints).select(F.col("keep_id").alias("__keep_id"), F.col("digest").alias("__keep"))
+    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__digest", text_digest(F.col("text")))
+    same = F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__digest") == F.col("__keep"))
+    rows = rows.join(stay, same, "left_semi")
     repeated = prints.filter("n > 1").limit(1).count()
-    return rows.dropDuplicates(["doc_id"]) if repeated else rows
+    return (rows.dropDuplicates(["__id", "__digest"]) if repeated else rows).drop("__id", "__digest")

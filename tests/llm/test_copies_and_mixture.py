@@ -52,6 +52,18 @@ def test_exact_copies(spark):
     assert digests.deduplicated(docs.limit(0)).count() == 0 and digests.survivors(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_survivors_with_null_ids_and_shared_ids(spark, repeated):
+    rows = [(None, f"without id {i}", None) for i in range(20)] + [(None, "Shared", None), (3, "shared", None)]
+    rows += [(7, "one text", None), (7, "another text", None), (8, None, None), (8, "x", None)]
+    rows += [(9, "again", None), (9, "AGAIN", None), (None, "Without ID 4", None)] if repeated else [(9, "again", None)]
+    got = Counter((r.doc_id, lowered(r.text)) for r in digests.survivors(frame(spark, rows)).collect())
+    largest = {}
+    for i, t, _ in rows:
+        largest[lowered(t)] = max(largest.get(lowered(t), -1), -1 if i is None else i)
+    assert got == Counter((None if i < 0 else i, t) for t, i in largest.items())
+
+
 def test_index_persists(spark, tmp_path):
     first = digests.DigestIndex(spark, str(tmp_path / "index"), 4)
     first.absorb(spark.createDataFrame([(b"a", 1), (b"a", 5), (b"b", 2)], "digest binary, doc_id long"))
