@@ -4,8 +4,9 @@ A sketch has ``BINS`` coordinates. In round i every shingle is hashed to one bin
 (i, hash), and a bin keeps its least value; from round ``BINS`` on, round ``BINS`` + j sends every
 shingle to bin j. So every coordinate fills after at most twice ``BINS`` rounds (usually one or
 two), and the share of equal coordinates concentrates about the similarity as for independent
-ones. ``BANDS`` bands of equal rows give candidates: at similarity 0.8 a pair meets in no band with
-a probability below 1e-7.
+ones. Bands of equal rows give candidates. Their rows follow from the similarity asked for, so that
+a pair at it meets in no band with a probability below ``BAND_MISS`` (four rows at 0.8, fewer below,
+and one group of all sets below about 0.12, where no band is sure enough).
 
 Documents with the same set form a class and only its first one goes on. In a band's group every
 class is compared with the group's hub, the least by hash, so a group of thousands of near copies
@@ -24,6 +25,7 @@ empty result; other columns are neither read nor changed.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,17 +37,42 @@ from cohortgate.llm.components import components
 from cohortgate.llm.shingles import mix, shingle_sets
 from cohortgate.llm.tables import kept
 
-BINS, BANDS = 128, 32
+BINS = 128
+#: Bounds of the probability that a pair at the similarity asked for shares no band, and that its
+#: sketches agree too little.
+BAND_MISS, AGREE_MISS = 1e-7, 1e-8
 #: Rounds of further hubs before all remaining pairs of a group are compared; sooner where groups
 #: hold no more than this many classes on average.
 HUB_ROUNDS, FEW = 2, 8
-#: Coordinates in which sketches must agree for a full comparison, and classes of a block of a group.
-AGREE, BLOCK = 75, 1024
+#: Classes of a block of a group.
+BLOCK = 1024
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64((1 << 55) - 1)
 
 
+def band_rows(percent: int) -> int:
+    """Coordinates of a band; 0: all sets share one band."""
+    share = min(1.0, max(0.0, percent / 100))
+    return next((rows for rows in range(BINS, 0, -1) if (1 - share**rows) ** (BINS // rows) <= BAND_MISS), 0)
+
+
+def band_count(percent: int) -> int:
+    rows = band_rows(percent)
+    return BINS // rows if rows else 1
+
+
+def least_agreement(percent: int) -> int:
+    """Coordinates in which sketches must agree for a full comparison."""
+    share = min(1.0, max(0.0, percent / 100))
+    missed = 0.0
+    for agree in range(BINS):
+        missed += math.comb(BINS, agree) * share**agree * (1 - share) ** (BINS - agree)
+        if missed > AGREE_MISS:
+            return agree
+    return BINS
+
+
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """The coordinates of a non-empty set."""
     bins = np.full(BINS, _FULL)
@@ -67,16 +94,17 @@ def coordinate_bytes(coordinates: np.ndarray) -> bytes:
     return mix(coordinates).astype(np.uint8).tobytes()
 
 
-def bands(coordinates: np.ndarray) -> np.ndarray:
-    rows = coordinates.reshape(BANDS, -1)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in rows.T:
+def bands(coordinates: np.ndarray, rows: int) -> np.ndarray:
+    count = BINS // rows if rows else 1
+    out = np.arange(1, count + 1, dtype=np.uint64)
+    for column in coordinates[: count * rows].reshape(count, rows).T:
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
+def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """``doc_id, text_hash, n_shingles, set_key, bands, coords`` of every row; written once."""
+    rows_of_band = band_rows(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -86,7 +114,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     sizes.append(len(found))
                     keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                     filled = sketch(found) if len(found) else None
-                    groups.append([] if filled is None else bands(filled))
+                    groups.append([] if filled is None else bands(filled, rows_of_band))
                     coords.append(None if filled is None else coordinate_bytes(filled))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.list_(pa.int64())), pa.array(coords, pa.binary())],
@@ -139,8 +167,9 @@ def _near_by_sketch(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFram
     """All pairs of a group that are in different components and whose sketches agree enough.
 
     Groups are compared block by block inside the tasks; only pairs that agree leave them. A pair
-    at similarity 0.8 agrees in fewer than ``AGREE`` coordinates with a probability below 1e-7.
+    at the similarity agrees in fewer coordinates than is asked with a probability below ``AGREE_MISS``.
     """
+    least = least_agreement(percent)
     blocks = kept(crowd.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
     rows = crowd.join(blocks, "band").join(sets.select("set_key", "coords"), "set_key")
     own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
@@ -160,7 +189,7 @@ def _near_by_sketch(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFram
             if crossing:
                 fits &= own[at + 1 :] != own[at]
             spots = at + 1 + np.flatnonzero(fits)
-            agreed = (coords[spots] == coords[at]).sum(axis=1) >= AGREE
+            agreed = (coords[spots] == coords[at]).sum(axis=1) >= least
             out += [(max(keys[at], k), min(keys[at], k)) for k in keys[spots[agreed]]]
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
@@ -175,7 +204,7 @@ def _open_groups(crowd: DataFrame, most: int) -> DataFrame:
 
 def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """The signatures, and ``set_key, component_id`` of every non-empty set; both written."""
-    signed = signatures(docs, k)
+    signed = signatures(docs, k, percent)
     sets = kept(
         signed.filter("n_shingles > 0").groupBy("set_key").agg(
             F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("doc_id").alias("low_id"),
@@ -184,7 +213,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
         "sets",
     )
     members = sets.select(F.explode("bands").alias("band"), "set_key", "n")
-    most = BANDS * sets.count()
+    most = band_count(percent) * sets.count()
     crowded = kept(members.groupBy("band").count().filter("count > 1").select("band"), "crowded", most)
     crowd = kept(members.join(crowded, "band"), "crowd", most).withColumn("root", F.col("set_key"))
     most = crowd.count()

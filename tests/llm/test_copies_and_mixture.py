@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -125,6 +126,41 @@ def test_near_copies(spark, monkeypatch, k, few):
     assert sorted(r.doc_id for r in stay.collect()) == sorted(i for i, (_, c) in expected.items() if i == c)
 
 
+def linked_sets(rows, k, percent):
+    """Smallest id of each component at this similarity."""
+    sets = {i: plain_set(t, k) for i, t, _ in rows}
+    low = {i: i for i in sets}
+    pairs = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    for _ in sets:
+        before = dict(low)
+        for i, j in pairs:
+            low[i] = low[j] = min(low[i], low[j])
+        if low == before:
+            return low
+    return low
+
+
+@pytest.mark.parametrize(("percent", "both", "alone", "common"), [(60, 12, 14, 30), (50, 30, 15, 0), (30, 18, 21, 0), (5, 3, 28, 0)])
+def test_near_copies_at_other_similarities(spark, percent, both, alone, common):
+    rows = []
+    for pair in range(30):  # a pair just reaches the similarity; what all share lies below it
+        shared = [f"all{i}" for i in range(common)] + [f"p{pair}s{i}" for i in range(both)]
+        rows += [(2 * pair + side, " ".join([*shared, *(f"p{pair}x{side}n{i}" for i in range(alone))]), None) for side in range(2)]
+    expected = linked_sets(rows, 1, percent)
+    assert expected == {i: i - i % 2 for i in range(60)}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), 1, percent).collect()}
+    assert got == expected
+
+
+def test_bands_and_agreement_follow_the_similarity():
+    assert (minhash.band_rows(80), minhash.band_count(80), minhash.least_agreement(80)) == (4, 32, 75)
+    for percent in range(1, 101):
+        rows, least = minhash.band_rows(percent), minhash.least_agreement(percent)
+        share = percent / 100
+        assert rows == 0 or (1 - share**rows) ** minhash.band_count(percent) <= 1e-7
+        assert sum(math.comb(128, n) * share**n * (1 - share) ** (128 - n) for n in range(least)) <= 1e-8
+
+
 def test_near_copies_of_nothing(spark):
     empty = frame(spark, []).limit(0)
     assert minhash.near_duplicates(empty).count() == 0 and minhash.survivors(empty).count() == 0
