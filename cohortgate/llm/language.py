@@ -10,8 +10,9 @@ missing one counts a phrase and restarts at the root. Texts are stepped together
 characters at a time, over all languages. A phrase also ends every ``BLOCK`` characters, which
 costs all languages the same and lets very long texts be stepped in parallel.
 
-The sample is bounded by parameters: per language the ``sample_docs`` rows of least hash, of each
-an excerpt of ``excerpt`` characters, up to ``sample_chars`` characters in all. Whole texts are
+The sample is bounded by parameters: per language the ``sample_docs`` distinct texts with letters
+of least hash, of each an excerpt of ``excerpt`` characters from a place chosen by hash (what is no
+letter counts as one space), and ``sample_chars`` characters in all, spread evenly. Whole texts are
 judged in one scan without a shuffle.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for every text
@@ -35,24 +36,38 @@ SEED = 11
 #: Characters after which a phrase ends in any case, and characters that are stepped together.
 BLOCK, BATCH_CHARS = 1024, 16_000_000
 _SPACE = 1
+LETTER, NO_LETTERS = r"\p{L}", r"[^\p{L}]+"
 
 
 def learned_samples(
     docs: DataFrame, eligible: Column, sample_docs: int = 96, excerpt: int = 2_000, sample_chars: int = 60_000
 ) -> dict[str, str]:
     """Sample text by language, from rows where ``eligible`` holds and text and lang are given."""
-    usable = docs.filter(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED))
-    ids = usable.select("lang", F.col("doc_id").alias("id"), order.alias("hash"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("hash", "id"))
-    chosen = ids.withColumn("rank", rank).filter(F.col("rank") <= sample_docs).select("id", "lang").distinct()
-    cut = F.substring("text", 1, excerpt)
-    key = [usable["doc_id"].eqNullSafe(chosen["id"]), usable["lang"] == chosen["lang"]]
-    rows = usable.join(chosen, key, "left_semi").select("lang", cut.alias("text"), order.alias("hash"))
+    usable = docs.filter(eligible & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
+    usable = usable.select(F.col("doc_id").alias("id"), "lang", "text", F.xxhash64("text", F.lit(SEED)).alias("hash"))
+    distinct = usable.groupBy("lang", "hash").agg(F.min("id").alias("id"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
+    chosen = distinct.withColumn("rank", rank).filter(F.col("rank") <= sample_docs)
+    key = [usable["id"].eqNullSafe(chosen["id"]), usable["lang"] == chosen["lang"], usable["hash"] == chosen["hash"]]
+    dense = F.regexp_replace("text", NO_LETTERS, " ")
+    rows = usable.join(chosen, key, "left_semi").select("lang", "hash", dense.alias("text"))
+    spare = F.greatest(F.char_length("text") - excerpt, F.lit(0)) + 1
+    begin = (F.pmod(F.xxhash64("hash"), spare) + 1).cast("int")
+    cut = F.substring(F.col("text"), begin, F.lit(excerpt)).alias("text")
     out: dict[str, list[str]] = {}
-    for row in sorted(rows.collect(), key=lambda r: (r.lang, r.hash, r.text)):
+    for row in sorted(rows.select("lang", "hash", cut).distinct().collect()):
         out.setdefault(row.lang, []).append(row.text)
-    return {lang: "\n".join(texts)[:sample_chars] for lang, texts in sorted(out.items())}
+    return {lang: "\n".join(even_parts(texts, sample_chars)) for lang, texts in sorted(out.items())}
+
+
+def even_parts(texts: list[str], most: int) -> list[str]:
+    """Beginnings of ``texts`` that hold ``most`` characters with the ends of lines, as even as lengths allow."""
+    left, part = most + 1, {}
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    for done, i in enumerate(order):
+        part[i] = texts[i][: max(0, left // (len(order) - done) - 1)]
+        left -= len(part[i]) + 1
+    return [part[i] for i in range(len(texts)) if part[i]]
 
 
 def suffix_automaton(symbols: np.ndarray, size: int) -> np.ndarray:

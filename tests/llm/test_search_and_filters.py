@@ -82,6 +82,20 @@ def test_cross_parsing(spark):
     assert language.predicted(docs.limit(0), samples).count() == 0
 
 
+def test_samples_spread_over_texts_and_documents(spark):
+    rng = random.Random(6)
+    rows = [(i, "header " * 400 + f"body{'abcdefghij'[i % 10]} " * 4000, "aa", None, None, None) for i in range(40)]
+    rows += [(100 + i, t, "bb", None, None, None) for i in range(300) for t in [["", "12 34", "copy of a text"][i % 3]]]
+    rows += [(1000 + i, "".join(rng.choice("klmnop ") for _ in range(50)), "bb", None, None, None) for i in range(60)]
+    samples = language.learned_samples(spark.createDataFrame(rows, DOCS), F.lit(True), sample_docs=61, excerpt=500, sample_chars=4_000)
+    texts = samples["bb"].split("\n")
+    assert len(texts) == 61 and samples["bb"].count("copy of a text") == 1
+    assert len(samples["aa"]) <= 4_000 and len({c for line in samples["aa"].split("\n") for c in re.findall(r"body([a-j])", line)}) >= 8
+    assert samples["aa"].count("header") < samples["aa"].count("body")
+    assert language.even_parts(["abc", "defghijk", "lm"], 9) == ["ab", "def", "lm"]
+    assert sum(map(len, language.even_parts(["a" * 50] * 7, 100))) + 6 <= 100
+
+
 def test_phrases_are_longest_matches():
     parser = language.CrossParser({"aa": "abracadabra", "bb": "zzz"})
     symbols, _ = parser.symbols("abrabracadz")
