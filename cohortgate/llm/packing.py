@@ -2,13 +2,14 @@
 
 Tokenising is one narrow scan. Lengths are whole numbers up to the capacity, so documents and gaps,
 sorted by size, are runs of equal size: at most ``capacity`` of each, whatever the number of
-documents. Bulk-synchronous rounds go over the runs: each run of documents, longest first, is
+documents. Matching is one sequential loop on the driver over the counts of these runs, in place
+of bulk-synchronous rounds of distributed sweeps: each run of documents, longest first, is
 matched to its successor, the run of the smallest gaps that hold it; within a run the rank decides
-who gets which gap; the gaps shrink; and the round repeats until the run is placed, opening new
-sequences where no gap holds it. A round yields one record (length, first rank, count, first
+who gets which gap; the gaps shrink; and the step repeats until the run is placed, opening new
+sequences where no gap holds it. A step yields one record (length, first rank, count, first
 sequence, offset). Ranks of documents within a length come from a distributed count by (length,
 bucket), so a length that a third of all documents share is ranked by many tasks, and one join
-with the records places every row.
+with the records places every row: broadcast up to ``BROADCAST_ROWS`` records, shuffled beyond.
 
 Defined results: a null or empty text has only the end token; longer documents are cut into full
 pieces after a shorter first one; repeated rows are packed each; an empty table gives an empty
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortgate.llm.tables import kept
+from cohortgate.llm.tables import BROADCAST_ROWS, kept
 
 CAPACITY, END = 2048, 0
 #: Rows that one bucket of a length is expected to hold; distinct units that a worker remembers.
@@ -183,14 +184,14 @@ def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = F.sum("__n").over(W.partitionBy("length").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
     parts = parts.select("length", "__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
     counts = {r.length: r.n for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    records = spark.createDataFrame(
-        placements(counts, capacity), "__length long, __rank long, __count long, __first long, offset long"
-    )
+    found = placements(counts, capacity)
+    records = spark.createDataFrame(found, "__length long, __rank long, __count long, __first long, offset long")
+    records = F.broadcast(records) if len(found) <= BROADCAST_ROWS else records.hint("merge")
     own = F.row_number().over(W.partitionBy("length", "__bucket").orderBy("__row")) - 1
     ranked = table.withColumn("__own", own).join(parts, ["length", "__bucket"])
     ranked = ranked.withColumn("__at", F.col("__own") + F.col("__before"))
     inside = (F.col("length") == F.col("__length")) & (F.col("__at") >= F.col("__rank")) & (F.col("__at") < F.col("__rank") + F.col("__count"))
-    placed = ranked.join(F.broadcast(records), inside)
+    placed = ranked.join(records, inside)
     sequence = (F.col("__first") + F.col("__at") - F.col("__rank")).alias("sequence_id")
     return placed.select(*[F.col(f"`{c}`") for c in rows.columns], sequence, "offset")
 

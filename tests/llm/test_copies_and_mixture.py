@@ -306,6 +306,17 @@ def test_packing(spark, monkeypatch):
     assert packing.packed(cut.limit(0)).count() == 0
 
 
+def test_records_are_broadcast_up_to_a_bound(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("id as doc_id", "1 + id % 40 as length")
+    few = packing.packed(rows, capacity=64)
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    many = packing.packed(rows, capacity=64)
+    assert "strategy=broadcast" in few._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in many._jdf.queryExecution().optimizedPlan().toString()
+    spots = [sorted((r.length, r.sequence_id, r.offset) for r in d.collect()) for d in (few, many)]
+    assert spots[0] == spots[1] and len(spots[0]) == 300
+
+
 def test_placements_are_best_fit():
     rng = random.Random(1)
     counts = Counter(rng.randrange(1, 101) for _ in range(5000))
