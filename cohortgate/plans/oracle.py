@@ -742,6 +742,7 @@ cte("v_sites", f"SELECT *, concat_ws(':', chrom, CAST(pos AS VARCHAR), ref, alt)
 oracle("manifest_read", "SELECT cpra, chrom, CAST(pos AS VARCHAR) AS pos, on_array, array_maf, nullif(dosage_r2, '') AS dosage_r2, inaccurate_annotation FROM v_sites", "v_sites")
 oracle("identifiability_read", "SELECT cpra, on_array, on_imputed, 'TRUE' AS annotation_reliable, 'r1' AS source_release, concat('row ', CAST(k AS VARCHAR)) AS evidence FROM v_sites", "v_sites")
 oracle("genotypes_read", "SELECT split_part(cpra, ':', 1) AS chrom, participant_id, cpra, source, gt_code, gq, call_rate, dosage, max_gp FROM v_genotype WHERE split_part(cpra, ':', 1) IN ('4', 'X')", "v_genotype")
+oracle("genotypes_read_whole", "SELECT split_part(cpra, ':', 1) AS chrom, participant_id, cpra, source, gt_code, gq, call_rate, dosage, max_gp FROM v_genotype", "v_genotype")
 oracle("number_texts", "SELECT l_orderkey, l_linenumber, format('{:.6g}', (CAST(l_extendedprice AS DOUBLE) + 1e0 / 3e0) * 1e-5 * ([" + ", ".join(f"1e{e}" for e in range(-9, 9))
        + "])[CAST(l_orderkey % 18 + 1 AS INT)]) AS six_digits, CAST(CAST(l_partkey AS DOUBLE) / 1e6 AS VARCHAR) AS shortest FROM lineitem")
 cte("o_run_leaves", """SELECT ordinal AS seq, sha256(concat(chr(0), '{"actor_type":"workflow"', CASE WHEN ordinal % 3 = 0 THEN concat(',"airlock":{"payload":"', request_id, '"}') ELSE '' END,

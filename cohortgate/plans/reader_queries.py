@@ -72,6 +72,14 @@ def genotypes_read(spark, sf_dir):
     return tables.read_genotypes(spark, path).filter(F.col("chrom").isin("4", "X"))
 
 
+@query
+def genotypes_read_whole(spark, sf_dir):
+    """Stored by contig and read back whole."""
+    path = shared_path(spark, "genotypes")
+    tables.write_genotypes(dv.genotypes(spark, sf_dir), path)
+    return tables.read_genotypes(spark, path)
+
+
 @query
 def number_texts(spark, sf_dir):
     """Texts of numbers over many magnitudes."""

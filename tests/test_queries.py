@@ -37,6 +37,12 @@ def test_query_equals_sql(spark, con, name):
         assert compare(spark, con, query, sql, SF_DIR) in ("", "EMPTY on both sides")
 
 
+def test_genotypes_are_read_back_whole(spark, con):
+    query = entry.queries()["genotypes_read_whole"]
+    assert compare(spark, con, query, entry.oracle_sql()["genotypes_read_whole"], SF_DIR) == ""
+    assert query(spark, SF_DIR).select("chrom").distinct().count() > 2
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 10
 
