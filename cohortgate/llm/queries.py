@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortgate.llm import bitslice, digests, language, minhash, mixing, packing, parsing, secrets, toxicity, urlrules
+from cohortgate.llm import audit, bitslice, digests, language, minhash, mixing, packing, parsing, prefixes, ranking, secrets, toxicity, urlrules
 from cohortgate.llm.tables import holdout
 
 
@@ -86,10 +86,28 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op11_nra_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = prefixes.encoded(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    count = F.octet_length("ids").cast("long") / F.lit(4)
+    return coded.select(
+        "doc_id", count.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bit_sliced_top_k, op2_cross_parsing_language, op3_boosted_toxicity, op4_wildcard_url_filter,
         op5_blob_ledger_secrets, op6_parsed_substring_dedup, op7_digest_index_dedup, op8_sketch_near_dedup, op9_source_mixing, op10_best_fit_packing,
+        op11_nra_ranked_search, op12_prefix_bpe, op13_filter_audit,
     )
 }
