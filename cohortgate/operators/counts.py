@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortgate.fixed_values import MISSING_GT, UNKNOWN_ANCESTRY
@@ -201,32 +202,60 @@ def gate_pass_counts(
     )
 
 
-def included_pairs(classified: DataFrame, members: DataFrame) -> DataFrame:
-    """(batch_id, participant_id, cpra) for included carriers of each batch member."""
-    carriers = classified.filter(F.col("decision") == "included").select(
-        *EVALUATION_KEY, "participant_id"
-    )
-    return carriers.join(
-        members.select("batch_id", *EVALUATION_KEY).distinct(), EVALUATION_KEY
-    ).select("batch_id", "participant_id", "cpra")
+#: Participants of one bitmap word.
+WORD_BITS = 64
+
+
+def carrier_words(classified: DataFrame) -> DataFrame:
+    """Included carriers of each evaluation as a bitmap: a row per 64-bit word that is not empty.
+
+    ``participant_no`` numbers participants closely (see :func:`evidence.numbered`), so the words of a
+    frequent variant are full and those of a rare one few. Bits are combined before the shuffle: up to
+    64 carriers move as one row.
+    """
+    bit = F.expr(f"shiftleft(1L, CAST(participant_no % {WORD_BITS} AS INT))")
+    word = F.expr("shiftright(participant_no, 6)").alias("word")  # 64 to a word
+    included = classified.filter(F.col("decision") == "included")
+    return included.groupBy(*EVALUATION_KEY, word).agg(F.bit_or(bit).alias("bits"))
+
 
+def member_words(words: DataFrame, members: DataFrame) -> DataFrame:
+    """``batch_id, cpra, rank, word, bits``: bitmaps of the distinct variants of every batch.
 
-def batch_union(classified: DataFrame, members: DataFrame) -> DataFrame:
+    Evaluations of one variant under several sources are one set. ``rank`` numbers a batch's variants
+    from 0. A variant that many batches hold is copied to them word by word, never carrier by carrier.
+    """
+    distinct = members.select("batch_id", *EVALUATION_KEY).distinct()
+    ranked = distinct.withColumn("rank", F.dense_rank().over(W.partitionBy("batch_id").orderBy("cpra")) - 1)
+    return words.join(ranked, EVALUATION_KEY).groupBy("batch_id", "cpra", "rank", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def batch_union(words: DataFrame, members: DataFrame) -> DataFrame:
     """Per batch: participants carrying at least one, and at least two, of its variants.
 
-    ``members`` is (batch_id, ordinal, evaluation key). The participant-level step is keyed by
-    (batch, participant), so a large batch spreads over its participants; no self-join is made.
+    ``words`` are :func:`carrier_words`, ``members`` is (batch_id, ordinal, evaluation key). Two
+    variants of a batch differ in some binary place of their ranks. So a participant carries two of
+    them exactly when, for some place, it carries one whose rank has a 0 there and one whose rank has a
+    1: two disjunctions and a conjunction for each place, all of them plain aggregates.
     """
-    per_participant = (
-        included_pairs(classified, members)
-        .groupBy("batch_id", "participant_id")
-        .agg(F.count_distinct("cpra").alias("variants"))
+    shape = members.groupBy("batch_id", "cpra").agg(F.min("ordinal").alias("ordinal"))
+    most = shape.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    places = range(max(1, (most - 1).bit_length()))
+
+    def having(place: int, digit: int) -> Column:
+        return F.bit_or(F.when(F.shiftright("rank", place).bitwiseAND(1) == digit, F.col("bits")))
+
+    # A missing side is null and so is its conjunction, which counts no one.
+    twice = [F.coalesce(having(place, 0).bitwiseAND(having(place, 1)), F.lit(0).cast("long")) for place in places]
+    several = twice[0]
+    for more in twice[1:]:
+        several = several.bitwiseOR(more)
+    folded = member_words(words, members).groupBy("batch_id", "word").agg(
+        F.bit_count(F.bit_or("bits")).alias("one"), F.bit_count(several).alias("two")
     )
-    carriers = per_participant.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("combined_carriers"),
-        F.count_if(F.col("variants") >= 2).alias("overlap_carriers"),
+    carriers = folded.groupBy("batch_id").agg(
+        F.sum("one").cast("long").alias("combined_carriers"), F.sum("two").cast("long").alias("overlap_carriers")
     )
-    shape = members.groupBy("batch_id", "cpra").agg(F.min("ordinal").alias("ordinal"))
     subject = shape.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("distinct_variants"),
         F.array_join(
@@ -243,11 +272,10 @@ def batch_union(classified: DataFrame, members: DataFrame) -> DataFrame:
     })
 
 
-def batch_variant_counts(classified: DataFrame, members: DataFrame) -> DataFrame:
+def batch_variant_counts(words: DataFrame, members: DataFrame) -> DataFrame:
     """Included participants per (batch, variant); internal, never released beside the union."""
-    return (
-        included_pairs(classified, members).distinct()
-        .groupBy("batch_id", "cpra").agg(F.count(F.lit(1)).alias("included"))
+    return member_words(words, members).groupBy("batch_id", "cpra").agg(
+        F.sum(F.bit_count("bits")).cast("long").alias("included")
     )
 
 

@@ -14,6 +14,7 @@ from cohortgate.fixed_values import GATES, HET_DOSAGE_UPPER, INTERNAL_COLUMNS, M
 from cohortgate.functions import coerce
 from cohortgate.functions.numbers import decimal_text
 from cohortgate.policy import AnalysisPolicy
+from cohortgate.sources.durable import written
 
 EVALUATION_KEY = ["cpra", "requested_source", "carrier_definition"]
 
@@ -33,9 +34,13 @@ def evaluations_of(resolved: DataFrame) -> DataFrame:
     return accepted.select(*EVALUATION_COLUMNS).dropDuplicates(EVALUATION_KEY)
 
 
-def subjects_of(participants: DataFrame, sample_qc: DataFrame) -> DataFrame:
-    """Participants with their sample flags as booleans; unknown flags fail closed."""
+def subjects_of(participants: DataFrame, sample_qc: DataFrame, colocated: bool = False) -> DataFrame:
+    """Participants with their sample flags as booleans; unknown flags fail closed.
+
+    ``colocated``: both tables are bucketed by participant, so they are merged bucket by bucket.
+    """
     flags = sample_qc.select("participant_id", "sex_check_pass", "kinship_flag")
+    flags = flags.hint("merge") if colocated else flags
     joined = participants.select(
         "participant_id", "pseudo_id", "consent_status", "sex", "ancestry_stub"
     ).join(flags, "participant_id", "left")
@@ -46,6 +51,14 @@ def subjects_of(participants: DataFrame, sample_qc: DataFrame) -> DataFrame:
     }).drop("sex_check_pass", "kinship_flag")
 
 
+def numbered(subjects: DataFrame) -> DataFrame:
+    """Subjects with ``participant_no``, written once so that the numbers stay.
+
+    Numbers count up by one within a written partition, which is what keeps bitmaps of them full.
+    """
+    return written(subjects.withColumn("participant_no", F.monotonically_increasing_id()), "subjects")
+
+
 def pivot_calls(genotypes: DataFrame) -> DataFrame:
     """Long genotype rows to one row per (cpra, participant), array and imputed side by side.
 

@@ -188,5 +188,5 @@ def panel_label(value: Column) -> Column:
 
 
 def default_study_id(kind: str, name: Column, prefix: str) -> Column:
-    """Default id of a gene or panel request, e.g. ``<prefix>-CHEK2-GENE``."""
+    """Default id of a gene or panel request, e.g. ``<prefix>-GENE1-GENE``."""
     return F.concat(F.lit(f"{prefix}-"), id_token(name), F.lit(f"-{kind.upper()}"))

@@ -1,9 +1,11 @@
 """The engine's input tables, derived from the driver's parquet tables.
 
-Two families. The *cohort* tables (participants, genotypes, sample QC, a sixteen-variant manifest)
-come from customer, orders and lineitem; requests come from supplier. The *wide* tables (a variant
-resource from part, requests from lineitem) feed the operators that work on variants or requests
-alone, so that their input grows with the data too.
+Every part is a variant, with its site, alleles and annotation made from its key; requests, returns
+and reviews come from parts too, so variants and evaluations grow with the data. The *cohort* tables
+(participants, genotypes, sample QC) come from customer, orders and lineitem. Parts of every fourth
+key share four variants and the next ones fifty, so a few variants are asked for and called very often.
+The *chip* maps all calls to sixteen variants, for file forms that hold a column per sample. The *wide*
+requests come from lineitem and feed the operators that work on requests alone.
 
 Expressions in this module are shared with the reference SQL, as text both engines accept.
 """
@@ -14,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortgate import schemas
+from cohortgate.operators import preflight
 from cohortgate.plans.feasibility import Inputs
 from cohortgate.policy import AnalysisPolicy, Deployment, ReleasePolicy, Scenario
-from cohortgate.sources.tables import reference_tables, small_table
 
 POLICY = AnalysisPolicy()
+HET_POLICY = AnalysisPolicy(carrier_definition="het_only")
 DEPLOYMENT = Deployment()
 RELEASE_POLICY = ReleasePolicy("sdc-default", "1", 10, 5, "0" * 64)
 
@@ -30,43 +33,6 @@ SCENARIOS = [
     Scenario("low_high_cut", imputed_dr2_high_confidence=0.50),
 ]
 
-# v, cpra, on_array, on_imputed, array_maf, imputed_maf, dosage_r2, inaccurate, multiallelic
-MANIFEST_ROWS = [
-    (0, "4:71400210:C:G", "TRUE", "TRUE", "0.011", "0.012", "0.71", "FALSE", "FALSE"),
-    (1, "8:90200310:A:T", "TRUE", "TRUE", "0.017", "0.018", "0.88", "FALSE", "FALSE"),
-    (2, "19:41100402:AG:A", "FALSE", "TRUE", "NA", "0.006", "0.18", "FALSE", "FALSE"),
-    (3, "19:41200518:A:G", "TRUE", "TRUE", "0.031", "0.032", "0.92", "FALSE", "FALSE"),
-    (4, "12:56000604:G:A", "TRUE", "TRUE", "0.015", "0.015", "0.95", "FALSE", "FALSE"),
-    (5, "9:77300711:C:T", "TRUE", "TRUE", "0.013", "0.013", "0.93", "FALSE", "FALSE"),
-    (6, "14:88100803:G:A", "TRUE", "TRUE", "0.023", "0.023", "0.94", "FALSE", "FALSE"),
-    (7, "20:30500905:C:T", "TRUE", "TRUE", "0.027", "0.027", "0.91", "FALSE", "FALSE"),
-    (8, "4:71400210:C:T", "FALSE", "FALSE", "NA", "NA", "NA", "FALSE", "FALSE"),
-    (9, "1:1000100:G:C", "TRUE", "FALSE", "0.48", "NA", "NA", "FALSE", "FALSE"),
-    (10, "2:2000200:A:T", "TRUE", "TRUE", "0.98", "0.98", "0.81", "FALSE", "FALSE"),
-    (11, "3:3000300:ATG:ACG", "TRUE", "TRUE", "0.05", "0.05", "0.55", "FALSE", "FALSE"),
-    (12, "X:5000500:T:C", "TRUE", "TRUE", "0.10", "0.10", "0.85", "FALSE", "FALSE"),
-    (13, "5:5000700:G:T", "TRUE", "TRUE", "0.03", "0.03", "0.40", "TRUE", "FALSE"),
-    (14, "6:6000800:C:A", "TRUE", "TRUE", "0.04", "0.04", "0.60", "FALSE", "TRUE"),
-    (15, "7:7000900:T:G", "FALSE", "TRUE", "NA", "0.02", "0.30", "FALSE", "FALSE"),
-]
-
-REFERENCE = {
-    "bases": {
-        "GRCh38": {
-            "4:71400210": "C", "8:90200310": "A", "19:41100402": "A", "19:41200518": "A",
-            "12:56000604": "G", "9:77300711": "C", "14:88100803": "G", "20:30500905": "C",
-        },
-        "GRCh37": {"4:72266044": "C"},
-    },
-    "panel_maf": {
-        "4:71400210:C:G": 0.011, "8:90200310:A:T": 0.017, "19:41100402:AG:A": 0.006,
-        "19:41200518:A:G": 0.031, "12:56000604:G:A": 0.015, "9:77300711:C:T": 0.013,
-        "14:88100803:G:A": 0.023, "20:30500905:C:T": 0.027, "1:1000100:G:C": 0.47,
-        "2:2000200:A:T": 0.02,
-    },
-}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,7 +49,7 @@ PARTICIPANTS = {
     "participant_id": _PARTICIPANT_ID.format(k="c_custkey"),
     "pseudo_id": "concat('PSU-', lpad(upper(hex(c_custkey)), 6, '0'))",
     "sex": "CASE WHEN c_custkey % 97 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'F' END",
-    "ancestry_stub": "CASE WHEN c_custkey % 53 = 0 THEN NULL ELSE c_mktsegment END",
+    "ancestry_stub": "CASE WHEN c_custkey % 307 = 0 THEN NULL ELSE c_mktsegment END",
     "consent_status": "CASE WHEN c_acctbal < 0 THEN 'withdrawn' ELSE 'consented' END",
     "baseline_qc_pass": "true",
 }
@@ -103,17 +69,26 @@ CELL_GT = (
 DOSAGE = (
     "CASE WHEN mo % 29 = 0 THEN 0.55e0 WHEN gt >= 1 THEN CAST(gt AS DOUBLE) - tmin ELSE dmin END"
 )
+#: Part key of the variant that a lineitem is a call of, in the cohort and on the chip.
+CALLED_SITE = (
+    "CASE l_partkey % 4 WHEN 0 THEN 2 + l_partkey % 16 WHEN 1 THEN l_partkey % 200 ELSE l_partkey END"
+)
+CHIP_SITE = "1 + l_partkey % 16"
+#: Part key of the variant that a part's request asks for.
+ASKED_SITE = (
+    "CASE p_partkey % 8 WHEN 0 THEN 2 + p_partkey / 8 % 4 * 4 WHEN 1 THEN p_partkey % 200 ELSE p_partkey END"
+).replace("p_partkey / 8", "CAST(floor(p_partkey / 8) AS BIGINT)")
+_SOURCE = "CAST(floor(p_partkey / 3) AS BIGINT) % 3"
 REQUESTS = {
-    "request_id": "concat('REQ-', lpad(CAST(s_suppkey AS VARCHAR(20)), 9, '0'))",
-    "batch_id": "concat('B-', lpad(CAST(CAST(floor(s_suppkey / 5) AS BIGINT) AS VARCHAR(20)), 8, '0'))",
-    "ordinal": "s_suppkey",
-    "study_id": "concat('STUDY-', CAST(s_suppkey AS VARCHAR(20)))",
-    "v": "CAST(s_suppkey % 16 AS INT)",
+    "request_id": "concat('REQ-', lpad(CAST(p_partkey AS VARCHAR(20)), 9, '0'))",
+    "batch_id": "concat('B-', lpad(CAST(CAST(floor(p_partkey / 5) AS BIGINT) AS VARCHAR(20)), 8, '0'))",
+    "ordinal": "p_partkey",
+    "study_id": "concat('STUDY-', CAST(p_partkey AS VARCHAR(20)))",
+    "v": ASKED_SITE,
     "build": "'GRCh38'",
-    "carrier_definition": "CASE WHEN s_suppkey % 19 = 0 THEN 'het_only' ELSE 'het_and_homalt' END",
-    "requested_source": "CASE WHEN s_suppkey % 3 = 0 THEN 'array_and_imputed' "
-    "WHEN s_suppkey % 3 = 1 THEN 'array' ELSE 'imputed' END",
-    "purpose": "concat('recall planning for ', s_name)",
+    "carrier_definition": "CASE WHEN p_partkey % 19 < 3 THEN 'het_only' ELSE 'het_and_homalt' END",
+    "requested_source": f"CASE {_SOURCE} WHEN 0 THEN 'array_and_imputed' WHEN 1 THEN 'array' ELSE 'imputed' END",
+    "purpose": "concat('recall planning for ', p_name)",
 }
 
 
@@ -125,10 +100,9 @@ def sample_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(table(spark, sf_dir, "customer"), SAMPLE_QC)
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cells(spark: SparkSession, sf_dir: str, site: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", (F.col("l_partkey") % 16).cast("int").alias("v"), "l_quantity", "l_discount",
-        "l_tax",
+        "l_orderkey", F.expr(site).alias("v"), "l_quantity", "l_discount", "l_tax",
     )
     owners = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("k")
@@ -143,11 +117,11 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def genotypes(spark: SparkSession, sf_dir: str, site: str = CALLED_SITE) -> DataFrame:
     """Long genotype rows. Array and imputed rows come from one pass over the cells."""
-    cpra_of = F.element_at(F.array(*[F.lit(row[1]) for row in MANIFEST_ROWS]), F.col("v") + 1)
     missing = "CAST(NULL AS DOUBLE)"
-    cells = _cells(spark, sf_dir).withColumn("cpra", cpra_of)
+    sites = wide_manifest(spark, sf_dir).select(F.col("k").alias("v"), "cpra")
+    cells = _cells(spark, sf_dir, site).join(sites, "v")
     calls = cells.selectExpr(
         "participant_id", "cpra",
         f"""inline(array(
@@ -160,30 +134,29 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.select(*schemas.GENOTYPES.fieldNames())
 
 
-def manifest(spark: SparkSession) -> DataFrame:
-    rows = []
-    for _, cpra, *facts in MANIFEST_ROWS:
-        array, imputed, amaf, imaf, dr2, inaccurate, multi = facts
-        rows.append((
-            cpra, *cpra.split(":"), "GRCh38", "TRUE", array, imputed, amaf, imaf, dr2, "cohort variant",
-            inaccurate, multi,
-        ))
-    return small_table(spark, rows, schemas.MANIFEST)
+def chip_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genotypes(spark, sf_dir, CHIP_SITE)
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = wide_manifest(spark, sf_dir).withColumn("pos", F.col("pos").cast("string"))
+    return sites.select(*schemas.MANIFEST.fieldNames())
+
+
+def _with_variant(rows: DataFrame, variants: DataFrame) -> DataFrame:
+    return rows.join(variants.withColumnRenamed("k", "v"), "v").drop("v")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _select(table(spark, sf_dir, "supplier"), REQUESTS)
-    cpra = F.element_at(F.array(*[F.lit(row[1]) for row in MANIFEST_ROWS]), F.col("v") + 1)
-    parts = F.split(F.col("cpra"), ":")
-    return base.withColumn("cpra", cpra).withColumns({
-        "chrom": parts[0], "pos": parts[1].cast("long"), "ref": parts[2], "alt": parts[3],
-    }).drop("v")
+    """One request per part."""
+    variants = wide_manifest(spark, sf_dir).select("k", "cpra", "chrom", "pos", "ref", "alt")
+    return _with_variant(_select(table(spark, sf_dir, "part"), REQUESTS), variants)
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    bases, panel = reference_tables(spark, REFERENCE)
     return Inputs(
-        requests=requests(spark, sf_dir), manifest=manifest(spark), bases=bases, panel_maf=panel,
+        requests=requests(spark, sf_dir), manifest=manifest(spark, sf_dir),
+        bases=bases(spark, sf_dir), panel_maf=panel_maf(spark, sf_dir),
         participants=participants(spark, sf_dir), genotypes=genotypes(spark, sf_dir),
         sample_qc=sample_qc(spark, sf_dir),
     )
@@ -192,15 +165,10 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
 # --- wide ------------------------------------------------------------------------------------
 
 
-def _choice(key: str, values: list[str]) -> str:
-    cases = " ".join(f"WHEN {i} THEN '{value}'" for i, value in enumerate(values))
-    return f"CASE {key} {cases} END"
-
-
-_ALLELES = [
-    ("C", "G"), ("A", "T"), ("AG", "A"), ("A", "G"), ("G", "A"), ("ATG", "ACG"), ("T", "C"),
-    ("CAGT", "CAT"), ("TTA", "TTAGA"), ("G", "C"), ("T", "A"), ("GCC", "GC"),
-]
+_R = "substr('ACGT', CAST(1 + p_partkey % 4 AS INT), 1)"
+_S = "substr('ACGT', CAST(1 + (p_partkey + 1 + CAST(floor(p_partkey / 4) AS BIGINT) % 3) % 4 AS INT), 1)"
+#: Most sites change one letter; by last digit of the key some lose or gain letters, or share some.
+_FORM = "CASE WHEN p_partkey % 25 = 24 THEN 0 ELSE p_partkey % 10 END"
 
 
 def _decimal(multiplier: int) -> str:
@@ -212,9 +180,11 @@ WIDE_SITES = {
     "chrom": "CASE WHEN p_partkey % 25 < 22 THEN CAST(p_partkey % 25 + 1 AS VARCHAR(20)) "
     "WHEN p_partkey % 25 = 22 THEN 'X' WHEN p_partkey % 25 = 23 THEN 'Y' ELSE 'MT' END",
     "pos": "CASE WHEN p_partkey % 25 = 24 THEN 1000 + p_partkey * 7919 % 15013 "
-    "ELSE 1000 + p_partkey * 104729 % 40000000 END",
-    "ref": _choice("p_partkey % 12", [r for r, _ in _ALLELES]),
-    "alt": _choice("p_partkey % 12", [a for _, a in _ALLELES]),
+    "ELSE 1000 + 10 * (p_partkey * 104729 % 4000000) END",
+    "ref": f"CASE {_FORM} WHEN 1 THEN concat({_R}, {_S}) WHEN 3 THEN concat({_S}, {_R}, {_S}) "
+    f"WHEN 4 THEN concat({_R}, {_S}, {_S}, {_R}) ELSE {_R} END",
+    "alt": f"CASE {_FORM} WHEN 1 THEN {_R} WHEN 2 THEN concat({_R}, {_S}, {_S}) WHEN 3 THEN repeat({_S}, 3) "
+    f"WHEN 4 THEN concat({_R}, {_S}, {_R}) ELSE {_S} END",
     "build": "CASE WHEN p_partkey % 53 = 0 THEN 'GRCh37' ELSE 'GRCh38' END",
     "biallelic": "'TRUE'",
     "on_array": "CASE WHEN p_partkey % 5 <> 0 THEN 'TRUE' ELSE 'FALSE' END",
@@ -260,6 +230,26 @@ def wide_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.withColumn("cpra", F.concat_ws(":", "chrom", F.col("pos").cast("string"), "ref", "alt"))
 
 
+def elsewhere(missed: str, key: str, name: str | None = None) -> str:
+    """The key, moved to a contig that no variant has where ``missed`` holds: a row without a match."""
+    return f"CASE WHEN {missed} THEN concat('U', {key}) ELSE {key} END AS {name or key}"
+
+
+def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference bases at the trimmed sites; those of every seventh part are missing."""
+    trimmed = preflight.trim_alleles(wide_manifest(spark, sf_dir))
+    placed = trimmed.selectExpr(elsewhere("k % 7 = 0", "chrom"), "n_pos AS pos", "k AS p_partkey", "n_ref")
+    return placed.selectExpr("chrom", "pos", *[f"{sql} AS {name}" for name, sql in WIDE_BASES.items()])
+
+
+def panel_maf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel frequencies of the trimmed variants; those of every fourth part are missing."""
+    trimmed = preflight.trim_alleles(wide_manifest(spark, sf_dir))
+    return trimmed.select(
+        F.expr(elsewhere("k % 4 = 0", "normalized_cpra", "cpra")), (F.col("k") * 37 % 997 / 1000).alias("panel_maf")
+    )
+
+
 def wide_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per lineitem on the variant of its part; fixed shares of them are malformed."""
     variants = wide_manifest(spark, sf_dir).select("k", "cpra", "chrom", "pos", "ref", "alt")
@@ -362,39 +352,38 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- returns and reviews ---------------------------------------------------------------------
 
 RETURNS = {
-    "study_id": "concat('STUDY-', CAST(s_suppkey AS VARCHAR(20)))",
-    "v": "CAST(s_suppkey % 16 AS INT)",
-    "bad_run": "s_suppkey % 11 = 0",
-    "eligible_count": "CASE WHEN s_suppkey % 17 = 0 THEN -1 ELSE s_suppkey * 7 % 120 END",
-    "phenotype_definition_id": "CASE WHEN s_suppkey % 23 = 0 THEN '' ELSE concat('PHENO-', CAST(s_nationkey AS VARCHAR(20))) END",
+    "study_id": "concat('STUDY-', CAST(p_partkey AS VARCHAR(20)))",
+    "v": ASKED_SITE,
+    "bad_run": "p_partkey % 11 = 0",
+    "eligible_count": "CASE WHEN p_partkey % 17 = 0 THEN -1 WHEN p_partkey % 8 < 2 THEN p_partkey * 7 % 60 ELSE p_partkey * 7 % 6 END",
+    "phenotype_definition_id": "CASE WHEN p_partkey % 23 = 0 THEN '' ELSE concat('PHENO-', CAST(p_size AS VARCHAR(20))) END",
     "icd10_codeset_label": "'cardiac'",
     "icd10_codeset_version": "'v1'",
     "linked_record_scope": "'hospital episodes'",
-    "reviewer": "CASE WHEN s_suppkey % 31 = 0 THEN 'reviewer of PSU-00AB12' ELSE 'reviewer one' END",
+    "reviewer": "CASE WHEN p_partkey % 31 = 0 THEN 'reviewer of PSU-00AB12' ELSE 'reviewer one' END",
     "return_timestamp": "'2026-01-01T00:00:00+00:00'",
-    "sign_off_status": "CASE WHEN s_suppkey % 13 = 0 THEN 'pending_sign_off' ELSE 'signed' END",
-    "caveat": "concat('returned for ', s_name)",
+    "sign_off_status": "CASE WHEN p_partkey % 13 = 0 THEN 'pending_sign_off' ELSE 'signed' END",
+    "caveat": "concat('returned for ', p_name)",
 }
 CHECKPOINTS = {
-    "study_id": "concat('STUDY-', CAST(s_suppkey AS VARCHAR(20)))",
-    "checkpoint": "CASE WHEN s_suppkey % 2 = 0 THEN 'epi_return' ELSE 'pre_airlock' END",
-    "decision": "CASE WHEN s_suppkey % 12 = 0 THEN 'block' WHEN s_suppkey % 12 = 1 THEN 'query' ELSE 'pass' END",
+    "study_id": "concat('STUDY-', CAST(p_partkey AS VARCHAR(20)))",
+    "checkpoint": "CASE WHEN p_partkey % 2 = 0 THEN 'epi_return' ELSE 'pre_airlock' END",
+    "decision": "CASE WHEN p_partkey % 12 = 0 THEN 'block' WHEN p_partkey % 12 = 1 THEN 'query' ELSE 'pass' END",
 }
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortgate.functions.digest import run_id
 
-    flat = _select(table(spark, sf_dir, "supplier"), RETURNS)
-    cpra = F.element_at(F.array(*[F.lit(row[1]) for row in MANIFEST_ROWS]), F.col("v") + 1)
-    named = flat.withColumn("cpra", cpra)
+    flat = _select(table(spark, sf_dir, "part"), RETURNS)
+    named = _with_variant(flat, wide_manifest(spark, sf_dir).select("k", "cpra"))
     return named.withColumns({
         "run_id": F.when(F.col("bad_run"), "RUN-000000000000").otherwise(
             run_id(F.col("study_id"), F.col("cpra"))
         ),
         "caveats": F.array("caveat"),
-    }).drop("v", "bad_run", "caveat")
+    }).drop("bad_run", "caveat")
 
 
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(table(spark, sf_dir, "supplier"), CHECKPOINTS)
+    return _select(table(spark, sf_dir, "part"), CHECKPOINTS)

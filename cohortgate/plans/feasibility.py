@@ -31,7 +31,11 @@ from cohortgate.policy import AnalysisPolicy
 
 @dataclass(frozen=True)
 class Inputs:
-    """The tables of one load. ``requests`` has request_id, batch_id and ordinal beside its fields."""
+    """The tables of one load. ``requests`` has request_id, batch_id and ordinal beside its fields.
+
+    ``colocated``: participants, sample QC and genotypes are tables of one :class:`CohortLayout`, so
+    their joins need no exchange and are not broadcast.
+    """
 
     requests: DataFrame
     manifest: DataFrame
@@ -40,6 +44,10 @@ class Inputs:
     participants: DataFrame
     genotypes: DataFrame
     sample_qc: DataFrame
+    colocated: bool = False
+
+    def subjects(self) -> DataFrame:
+        return evidence.subjects_of(self.participants, self.sample_qc, self.colocated)
 
 
 def resolve(inputs: Inputs, policy: AnalysisPolicy) -> DataFrame:
@@ -93,8 +101,20 @@ class Evaluation:
 
     @cached_property
     def subjects(self) -> DataFrame:
-        people, quality = self.inputs.participants, self.inputs.sample_qc
-        return sizing.broadcast_within(evidence.subjects_of(people, quality), people, quality)
+        subjects = self.inputs.subjects()
+        if self.inputs.colocated:
+            return subjects.hint("merge")
+        return sizing.broadcast_within(subjects, self.inputs.participants, self.inputs.sample_qc)
+
+    @cached_property
+    def carrier_words(self) -> DataFrame:
+        """Bitmaps of the included carriers of every evaluation, over numbered subjects."""
+        subjects = evidence.numbered(self.inputs.subjects())
+        evaluations, cpras = self._evaluations
+        found = evidence.candidate_evidence(
+            self.inputs.genotypes, sizing.broadcast_within(subjects, subjects), evaluations, cpras
+        )
+        return counts.carrier_words(evidence.classify(evidence.with_gates(found, self.policy), self.policy))
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -214,7 +234,7 @@ class Evaluation:
         """
         policy = self.policy
         heads = requests.batch_headers(self.resolved)
-        union = counts.batch_union(self.classified, self.members)
+        union = counts.batch_union(self.carrier_words, self.members)
         joined = heads.join(union, "batch_id", "left")
         ok = ~F.col("rejected")
         m, base = policy.sdc_min_cell, policy.sdc_round_to

@@ -17,7 +17,7 @@ from cohortgate.fixed_values import (
 )
 from cohortgate.operators import counts, requests, results
 from cohortgate.plans import driver_views as dv
-from cohortgate.plans.queries import EMAIL, FILE_ROWS, POLICY_ROWS
+from cohortgate.plans.queries import EMAIL, FILE_ROWS, LIST_ENTRIES, LIST_HEADERS, LIST_LINES, POLICY_ROWS
 
 P = dv.POLICY
 M, B = P.sdc_min_cell, P.sdc_round_to
@@ -65,7 +65,8 @@ def codes(rules: list[tuple[str, str]], sep: str = ",") -> str:
     return f"concat_ws('{sep}', {cases})"
 
 
-def with_ctes(body: str, *names: str) -> str:
+def with_ctes(body: str, *names: str, using: dict[str, str] | None = None) -> str:
+    """``body`` with all CTEs that it needs; ``using`` replaces the text of some."""
     wanted: list[str] = []
 
     def need(name: str) -> None:
@@ -77,7 +78,8 @@ def with_ctes(body: str, *names: str) -> str:
 
     for name in names:
         need(name)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n].split('--deps:')[0]})" for n in wanted) + "\n" + body
+    texts = {n: CTES[n].split("--deps:")[0] for n in wanted} | (using or {})
+    return "WITH " + ",\n".join(f"{n} AS ({texts[n]})" for n in wanted) + "\n" + body
 
 
 def cte(name: str, sql: str, *deps: str) -> None:
@@ -92,29 +94,27 @@ def oracle(name: str, sql: str, *ctes: str) -> None:
 
 cte("v_participants", sel(dv.PARTICIPANTS, "customer"))
 cte("v_sample_qc", sel(dv.SAMPLE_QC, "customer"))
-cte("v_manifest", "SELECT v, cpra, split_part(cpra, ':', 1) AS chrom, CAST(split_part(cpra, ':', 2) AS BIGINT) AS pos, "
-    "split_part(cpra, ':', 3) AS ref, split_part(cpra, ':', 4) AS alt, 'GRCh38' AS build, on_array, on_imputed, array_maf, "
-    "imputed_maf, dosage_r2, inaccurate_annotation, multiallelic_variant FROM (VALUES "
-    + ", ".join("(" + str(row[0]) + ", " + ", ".join(lit(x) for x in row[1:]) + ")" for row in dv.MANIFEST_ROWS)
-    + ") t(v, cpra, on_array, on_imputed, array_maf, imputed_maf, dosage_r2, inaccurate_annotation, multiallelic_variant)")
-cte("v_cell", f"""SELECT k, v, concat('P', lpad(CAST(k AS VARCHAR(20)), 9, '0')) AS participant_id, mo, q, dmin, tmin,
+cte("v_wide", "SELECT *, concat(chrom, ':', pos, ':', ref, ':', alt) AS cpra FROM (" + sel(dv.WIDE_SITES, "part") + ") s")
+
+
+def _genotype_ctes(name: str, site: str) -> None:
+    """The long genotype table ``name`` in which a lineitem is a call of the variant of part ``site``."""
+    cte(f"{name}_cell", f"""SELECT k, v, concat('P', lpad(CAST(k AS VARCHAR(20)), 9, '0')) AS participant_id, mo, q, dmin, tmin,
   {dv.CELL_GT} AS gt
-  FROM (SELECT o_custkey AS k, CAST(l_partkey % 16 AS INT) AS v, min(l_orderkey) AS mo, max(l_quantity) AS q,
+  FROM (SELECT o_custkey AS k, {site} AS v, min(l_orderkey) AS mo, max(l_quantity) AS q,
         min(l_discount) AS dmin, min(l_tax) AS tmin
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, CAST(l_partkey % 16 AS INT)) c""")
-cte("v_genotype", f"""SELECT g.*, m.cpra FROM (
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, {site}) c""")
+    cte(name, f"""SELECT g.*, m.cpra FROM (
   SELECT participant_id, v, 'array' AS source, CAST(gt AS DOUBLE) AS gt_code, q AS gq, 1e0 - dmin / 2e0 AS call_rate,
-    CAST(NULL AS DOUBLE) AS dosage, CAST(NULL AS DOUBLE) AS max_gp FROM v_cell WHERE (k + v) % 5 <> 0
-  UNION ALL SELECT participant_id, v, 'imputed', NULL, NULL, NULL, {dv.DOSAGE}, 1e0 - tmin * 2e0 FROM v_cell
-) g JOIN v_manifest m ON g.v = m.v""", "v_cell", "v_manifest")
-cte("v_requests", f"""SELECT r.*, m.cpra, m.chrom, m.pos, m.ref, m.alt FROM ({sel(dv.REQUESTS, "supplier")}) r
-  JOIN v_manifest m ON r.v = m.v""", "v_manifest")
-cte("v_bases", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{build}', '{locus.split(':')[0]}', CAST({locus.split(':')[1]} AS BIGINT), '{base}')"
-    for build, loci in dv.REFERENCE["bases"].items() for locus, base in loci.items()
-) + ") t(build, chrom, pos, base)")
-cte("v_panel", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{c}', {v}e0)" for c, v in dv.REFERENCE["panel_maf"].items()) + ") t(cpra, panel_maf)")
+    CAST(NULL AS DOUBLE) AS dosage, CAST(NULL AS DOUBLE) AS max_gp FROM {name}_cell WHERE (k + v) % 5 <> 0
+  UNION ALL SELECT participant_id, v, 'imputed', NULL, NULL, NULL, {dv.DOSAGE}, 1e0 - tmin * 2e0 FROM {name}_cell
+) g JOIN v_wide m ON g.v = m.k""", f"{name}_cell", "v_wide")
+
+
+_genotype_ctes("v_genotype", dv.CALLED_SITE)
+_genotype_ctes("v_chip", dv.CHIP_SITE)
+cte("v_requests", f"""SELECT r.*, m.cpra, m.chrom, m.pos, m.ref, m.alt FROM ({sel(dv.REQUESTS, "part")}) r
+  JOIN v_wide m ON r.v = m.k""", "v_wide")
 
 
 def preflight(source: str, bases: str, panel: str) -> str:
@@ -158,20 +158,30 @@ def trim(source: str) -> str:
         FROM (SELECT *, {shared('upper(ref)', 'upper(alt)', 'right')} AS suf FROM {source}) t0) t1) t2"""
 
 
+cte("o_wide_trim", f"SELECT * FROM ({trim('v_wide')}) t", "v_wide")
+cte("o_wide_bases", sel({"chrom": "chrom", "pos": "n_pos", **dv.WIDE_BASES},
+    "(SELECT k AS p_partkey, chrom, n_pos, n_ref FROM o_wide_trim WHERE k % 7 <> 0) b"), "o_wide_trim")
+cte("o_wide_panel", """SELECT concat(chrom, ':', n_pos, ':', n_ref, ':', n_alt) AS cpra, CAST(k * 37 % 997 AS DOUBLE) / 1000e0 AS panel_maf
+    FROM o_wide_trim WHERE k % 4 <> 0""", "o_wide_trim")
+
 # --- the evaluation --------------------------------------------------------------------------
 
-cte("o_matched", f"""SELECT r.*, m.on_array = 'TRUE' AS variant_on_array, m.on_imputed = 'TRUE' AS variant_on_imputed,
+def matched_sql(definition: str) -> str:
+    return f"""SELECT r.*, m.on_array = 'TRUE' AS variant_on_array, m.on_imputed = 'TRUE' AS variant_on_imputed,
     TRY_CAST(m.dosage_r2 AS DOUBLE) AS variant_info,
     coalesce(TRY_CAST(m.array_maf AS DOUBLE), TRY_CAST(m.imputed_maf AS DOUBLE)) AS observed_maf,
-    CASE WHEN r.carrier_definition <> 'het_and_homalt' THEN 'carrier_definition_mismatch'
-      WHEN m.inaccurate_annotation = 'TRUE' THEN 'inaccurate_annotation'
+    CASE WHEN r.carrier_definition <> '{definition}' THEN 'carrier_definition_mismatch'
+      WHEN m.build <> r.build THEN 'build_mismatch' WHEN m.inaccurate_annotation = 'TRUE' THEN 'inaccurate_annotation'
       WHEN m.multiallelic_variant = 'TRUE' THEN 'multiallelic' END AS early_reject
-    FROM v_requests r JOIN v_manifest m ON r.cpra = m.cpra""", "v_requests", "v_manifest")
+    FROM v_requests r JOIN v_wide m ON r.cpra = m.cpra"""
+
+
+cte("o_matched", matched_sql(P.carrier_definition), "v_requests", "v_wide")
 cte("o_req", f"""SELECT *, coalesce(early_reject, preflight_reject) AS reject_reason,
     variant_on_array AND requested_source LIKE '%array%' AS use_array,
     coalesce(variant_on_imputed AND requested_source LIKE '%imputed%' AND variant_info >= {P.imputed_dr2_min}e0, false) AS use_imputed,
     coalesce(variant_info >= {P.imputed_dr2_high_confidence}e0, false) AS imp_high
-    FROM ({preflight('o_matched', 'v_bases', 'v_panel')}) f""", "o_matched", "v_bases", "v_panel")
+    FROM ({preflight('o_matched', 'o_wide_bases', 'o_wide_panel')}) f""", "o_matched", "o_wide_bases", "o_wide_panel")
 cte("o_eval", f"""SELECT DISTINCT {KEY}, chrom, variant_on_array, variant_on_imputed, variant_info, use_array, use_imputed, imp_high
     FROM o_req WHERE reject_reason IS NULL""", "o_req")
 cte("o_sub", """SELECT p.participant_id, p.pseudo_id, p.consent_status, p.sex, p.ancestry_stub,
@@ -182,7 +192,8 @@ cte("o_ev", """SELECT e.*, s.*, g.array_gt_code, g.array_gq, g.array_call_rate,
         max(dosage) AS imputed_dosage, max(max_gp) AS imputed_max_gp FROM v_genotype GROUP BY participant_id, cpra) g
     JOIN o_sub s ON g.participant_id = s.participant_id JOIN o_eval e ON g.cpra = e.cpra""",
     "v_genotype", "o_sub", "o_eval")
-cte("o_gate", f"""SELECT *, consent_ok AND ((array_credible AND array_alt) OR (imputed_credible AND dosage_ok)) AS included_by_configured_gates
+def gate_sql(upper: str, codes: str) -> str:
+    return f"""SELECT *, consent_ok AND ((array_credible AND array_alt) OR (imputed_credible AND dosage_ok)) AS included_by_configured_gates
   FROM (SELECT *, on_array AND annotation_reliable AND array_source_allowed AND has_array_gt AND call_rate_ok AND gq_ok AS array_credible,
     on_imputed AND annotation_reliable AND imputed_source_allowed AND dr2_ok AND has_imputed_dosage AND max_gp_ok AS imputed_credible
   FROM (SELECT *, variant_on_array AS on_array, variant_on_imputed AS on_imputed, true AS annotation_reliable,
@@ -193,8 +204,11 @@ cte("o_gate", f"""SELECT *, consent_ok AND ((array_credible AND array_alt) OR (i
     imputed_dosage IS NOT NULL AS has_imputed_dosage,
     coalesce(variant_info >= {P.imputed_dr2_min}e0, false) AS dr2_ok,
     coalesce(imputed_max_gp >= {P.imputed_max_gp_min}e0, false) AS max_gp_ok,
-    coalesce(imputed_dosage >= {P.imputed_dosage_carrier_threshold}e0, false) AS dosage_ok,
-    coalesce(array_gt_code IN (1, 2), false) AS array_alt FROM o_ev) a) b""", "o_ev")
+    coalesce(imputed_dosage >= {P.imputed_dosage_carrier_threshold}e0{upper}, false) AS dosage_ok,
+    coalesce(array_gt_code IN ({codes}), false) AS array_alt FROM o_ev) a) b"""
+
+
+cte("o_gate", gate_sql("", "1, 2"), "o_ev")
 cte("o_cls", f"""SELECT *, CASE WHEN inc THEN 'included' ELSE 'excluded' END AS decision,
     CASE WHEN NOT inc THEN 'NA' WHEN ea OR (ei AND imp_high) THEN 'high' ELSE 'conditional' END AS confidence,
     CASE WHEN NOT inc THEN 'NA' WHEN ea THEN 'array_direct' WHEN imp_high THEN 'imputed_high' ELSE 'imputed_conditional' END AS evidence_priority,
@@ -270,8 +284,15 @@ oracle("client_totals", """SELECT request_id, study_id, cpra, CASE WHEN accepted
     client_total, breakdown_suppressed, total_suppressed, shown_high, shown_conditional FROM o_res""", "o_res")
 oracle("result_rows", """SELECT request_id, total, high_confidence, conditional, excluded, flagged, ancestry_suppressed, ancestry_breakdown,
     sensitivity_suppressed, recommendation, assumptions, limitations FROM o_final_res""", "o_final_res")
-oracle("candidate_table", f"""SELECT {KEY}, participant_id, pseudo_id, consent_status, sex, ancestry_stub, array_gt_code, array_gq, array_call_rate,
+for _name in ("candidate_table", "candidate_table_colocated"):
+    oracle(_name, f"""SELECT {KEY}, participant_id, pseudo_id, consent_status, sex, ancestry_stub, array_gt_code, array_gq, array_call_rate,
     imputed_dosage, imputed_max_gp, sex_check_ok, kinship_ok FROM o_ev""", "o_ev")
+_NO = "CAST(substr(participant_id, 2, 9) AS BIGINT)"
+oracle("cohort_faults", f"""SELECT 'sample_qc: repeated' AS fault, participant_id, CAST(2 AS BIGINT) AS rows FROM v_sample_qc WHERE {_NO} % 47 = 4
+    UNION ALL SELECT 'genotypes: repeated', participant_id, CAST(2 * count(*) AS BIGINT) FROM v_genotype WHERE {_NO} % 53 = 5 AND source = 'array' GROUP BY participant_id
+    UNION ALL SELECT 'sample_qc: unknown participant', participant_id, CAST(1 + CAST({_NO} % 47 = 4 AS INT) AS BIGINT) FROM v_sample_qc WHERE {_NO} % 41 = 3
+    UNION ALL SELECT 'genotypes: unknown participant', participant_id, CAST(sum(1 + CAST({_NO} % 53 = 5 AND source = 'array' AS INT)) AS BIGINT) FROM v_genotype
+      WHERE {_NO} % 41 = 3 GROUP BY participant_id""", "v_sample_qc", "v_genotype")
 oracle("gate_accounting", f"SELECT {KEY}, participant_id, {', '.join(GATES)} FROM o_gate", "o_gate")
 _GATE_ROWS = [
     f"SELECT {KEY}, n AS total_rows, '{g}' AS gate, "
@@ -338,6 +359,16 @@ cte("o_batch", f"""SELECT h.batch_id, study_id, purpose, members, CASE WHEN ok T
 oracle("batch_union", "SELECT * FROM o_batch", "o_batch")
 oracle("batch_variant_counts", "SELECT batch_id, cpra, count(*) AS included FROM o_pairs GROUP BY batch_id, cpra", "o_pairs")
 
+# --- heterozygous carriers only --------------------------------------------------------------
+
+_HET = {"o_matched": matched_sql("het_only"), "o_gate": gate_sql(" AND imputed_dosage < 1.5e0", "1")}
+ORACLE["het_only_totals"] = with_ctes("""SELECT request_id, CASE WHEN accepted THEN 'accepted' ELSE 'rejected' END AS status, reject_reason, client_total,
+    total, high_confidence, conditional, excluded FROM o_res""", "o_res", using=_HET)
+ORACLE["het_only_carriers"] = with_ctes(f"SELECT {KEY}, {', '.join(INTERNAL_COLUMNS)} FROM o_cls", "o_cls", using=_HET)
+ORACLE["het_only_hardcalls"] = with_ctes(f"""SELECT {KEY}, n_het, n_homalt, n_het AS n_carrier, n_het AS hardcall_carriers, n_het AS array_direct_carriers, true AS agrees
+    FROM (SELECT {KEY}, count(*) FILTER (WHERE {_MASK} AND array_gt_code = 1) AS n_het,
+      count(*) FILTER (WHERE {_MASK} AND array_gt_code = 2) AS n_homalt FROM o_gate GROUP BY {KEY}) x""", "o_gate", using=_HET)
+
 # --- frequency -------------------------------------------------------------------------------
 
 DIPLOID = f"chrom IN ({', '.join(lit(c) for c in AUTOSOMES)})"
@@ -397,7 +428,6 @@ oracle("array_allele_frequency", """SELECT cpra, n_called, alt_alleles, CASE WHE
 
 # --- wide ------------------------------------------------------------------------------------
 
-cte("v_wide", "SELECT *, concat(chrom, ':', pos, ':', ref, ':', alt) AS cpra FROM (" + sel(dv.WIDE_SITES, "part") + ") s")
 _PREPARED = ", ".join(f"{sql} AS {name}" for name, sql in dv.WIDE_PREPARED.items())
 cte("v_wide_requests", sel(dv.WIDE_REQUESTS, f"""(SELECT *, {_PREPARED} FROM (SELECT l.*, (l_orderkey * 7 + l_linenumber) % 40 AS c,
     w.cpra, w.chrom, w.pos, w.ref, w.alt FROM lineitem l JOIN v_wide w ON l.l_partkey = w.k) j) p"""), "v_wide")
@@ -435,25 +465,32 @@ oracle("source_decision", f"""SELECT request_id, cpra, info AS variant_info,
 oracle("identifiability_overlay", """SELECT cpra, CASE WHEN k % 4 = 3 THEN on_array WHEN k % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS on_array,
     CASE WHEN k % 4 = 3 THEN on_imputed WHEN k % 8 = 0 THEN 'TRUE' ELSE 'FALSE' END AS on_imputed,
     CASE WHEN k % 4 = 3 THEN inaccurate_annotation WHEN k % 16 = 1 THEN 'TRUE' ELSE 'FALSE' END AS inaccurate_annotation, dosage_r2 FROM v_wide""", "v_wide")
-oracle("variant_list_membership", """SELECT t.cpra, CASE WHEN a.k IS NOT NULL THEN 'TRUE' ELSE 'FALSE' END AS on_array,
-    CASE WHEN i.k IS NOT NULL THEN 'TRUE' ELSE 'FALSE' END AS on_imputed,
-    CASE WHEN coalesce(a.k % 41 = 0, false) OR coalesce(i.k % 37 = 0, false) THEN 'FALSE' ELSE 'TRUE' END AS annotation_reliable,
+for _list in ("array", "imputed"):
+    _entries = " UNION ALL ".join(
+        f"SELECT {place} AS place, k, cpra, {flag} AS flag FROM v_wide WHERE {held}" for place, held, flag in LIST_ENTRIES[_list])
+    cte(f"v_{_list}_list", f"SELECT *, row_number() OVER (ORDER BY place) + 1 AS line FROM ({_entries}) x", "v_wide")
+    cte(f"o_{_list}_hits", f"""SELECT cpra, arg_max(flag, line) AS flag, max(line) AS line FROM v_{_list}_list
+    WHERE k % 97 <> 3 GROUP BY cpra""", f"v_{_list}_list")
+oracle("variant_list_membership", """SELECT t.cpra, CASE WHEN a.line IS NOT NULL THEN 'TRUE' ELSE 'FALSE' END AS on_array,
+    CASE WHEN i.line IS NOT NULL THEN 'TRUE' ELSE 'FALSE' END AS on_imputed,
+    CASE WHEN coalesce(upper(trim(a.flag)) = 'YES', false) OR coalesce(upper(i.flag) = 'TRUE', false) THEN 'FALSE' ELSE 'TRUE' END AS annotation_reliable,
     'test release' AS source_release,
-    concat(CASE WHEN a.k IS NULL THEN 'array resource: no exact CPRA hit' ELSE concat('array resource: exact CPRA present; Inaccurate Call=', CASE WHEN a.k % 41 = 0 THEN 'Yes' ELSE 'No' END) END, '; ',
-      CASE WHEN i.k IS NULL THEN 'imputed resource: no exact CPRA hit' ELSE concat('imputed resource: exact CPRA present; inaccurate.annotation=', CASE WHEN i.k % 37 = 0 THEN 'true' ELSE 'FALSE' END) END) AS evidence
-  FROM (SELECT DISTINCT cpra FROM v_wide_requests) t LEFT JOIN (SELECT k, cpra FROM v_wide WHERE k % 5 <> 0) a ON t.cpra = a.cpra
-    LEFT JOIN (SELECT k, cpra FROM v_wide WHERE k % 3 <> 0) i ON t.cpra = i.cpra""", "v_wide_requests", "v_wide")
-cte("o_lines", """SELECT 'array' AS file, concat(CASE WHEN k % 5 = 0 THEN concat('U', cpra) ELSE cpra END, ',', CASE WHEN k % 41 = 0 THEN 'Yes' ELSE 'No' END) AS value FROM v_wide 
-    UNION ALL SELECT 'imputed', replace(CASE WHEN k % 3 = 0 THEN concat('U', cpra) ELSE cpra END, ':', chr(9)) FROM v_wide""", "v_wide")
-oracle("position_search", """SELECT file, count(*) FILTER (WHERE contains(value, '105729')) AS hits,
-    count(*) FILTER (WHERE contains(value, '105729') AND contains(replace(replace(value, chr(9), ':'), ',', ':'), '2:105729:A:T')) AS exact_hits FROM o_lines GROUP BY file""", "o_lines")
-oracle("position_sample", "SELECT file, value FROM o_lines WHERE contains(value, '729') ORDER BY file, value LIMIT 12", "o_lines")
+    concat(CASE WHEN a.line IS NULL THEN 'array resource: no exact CPRA hit' ELSE concat('array resource line ', a.line, ': exact CPRA present; Inaccurate Call=', a.flag) END, '; ',
+      CASE WHEN i.line IS NULL THEN 'imputed resource: no exact CPRA hit' ELSE concat('imputed resource line ', i.line, ': exact CPRA present; inaccurate.annotation=', i.flag) END) AS evidence
+  FROM (SELECT DISTINCT cpra FROM v_wide_requests) t LEFT JOIN o_array_hits a ON t.cpra = a.cpra
+    LEFT JOIN o_imputed_hits i ON t.cpra = i.cpra""", "v_wide_requests", "o_array_hits", "o_imputed_hits")
+oracle("variant_list_stop", """SELECT cpra, flag, line, upper(trim(flag)) <> 'YES' AS reliable FROM
+    (SELECT cpra, arg_max(flag, line) AS flag, max(line) AS line FROM (SELECT *, max(first) OVER () AS stop FROM
+      (SELECT *, min(line) OVER (PARTITION BY cpra) AS first FROM v_array_list WHERE k % 97 <> 3) a) b WHERE line <= stop GROUP BY cpra) c""", "v_array_list")
+cte("o_lines", " UNION ALL ".join(
+    f"""SELECT '{file}' AS file, '{member}' AS member, 1 AS line, '{LIST_HEADERS[name]}' AS value UNION ALL
+    SELECT '{file}', '{member}', line, CASE WHEN k % 97 = 3 THEN 'cut' ELSE {LIST_LINES[name]} END FROM v_{name}_list"""
+    for name, file, member in (("array", "array", "array"), ("imputed", "imputed.zip", "imputed.csv"))), "v_array_list", "v_imputed_list")
+oracle("position_search", """SELECT file, count(*) FILTER (WHERE contains(value, '1048290')) AS hits,
+    count(*) FILTER (WHERE contains(value, '1048290') AND contains(replace(replace(value, chr(9), ':'), ',', ':'), '2:1048290:CG:C')) AS exact_hits FROM o_lines GROUP BY file""", "o_lines")
+oracle("position_sample", """SELECT file, member, line, value FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS place FROM o_lines
+    WHERE contains(value, '829')) x WHERE place <= 12""", "o_lines")
 oracle("allele_trim", f"SELECT request_id, cpra, n_pos AS pos, n_ref AS ref, n_alt AS alt FROM ({trim('v_wide_requests')}) t", "v_wide_requests")
-cte("o_wide_trim", f"SELECT * FROM ({trim('v_wide')}) t", "v_wide")
-cte("o_wide_bases", sel({"chrom": "chrom", "pos": "n_pos", **dv.WIDE_BASES},
-    "(SELECT k AS p_partkey, chrom, n_pos, n_ref FROM o_wide_trim WHERE k % 7 <> 0) b"), "o_wide_trim")
-cte("o_wide_panel", """SELECT concat(chrom, ':', n_pos, ':', n_ref, ':', n_alt) AS cpra, CAST(k * 37 % 997 AS DOUBLE) / 1000e0 AS panel_maf
-    FROM o_wide_trim WHERE k % 4 <> 0""", "o_wide_trim")
 oracle("build_and_strand", f"""SELECT request_id, cpra, normalized_cpra, build_resolved, ref_matched, is_palindromic, strand, ambiguous,
     preflight_reject, caveats FROM ({preflight('o_wide', 'o_wide_bases', 'o_wide_panel')}) f""", "o_wide", "o_wide_bases", "o_wide_panel")
 _RULES = [
@@ -635,7 +672,7 @@ oracle("batch_export_files", """SELECT DISTINCT batch_id, CAST(1 AS BIGINT) AS e
 _RUN = """concat('RUN-', left(sha256(concat('{"cpra": "', cpra, '", "study_id": "', study_id, '"}')), 12))"""
 oracle("run_ids", f"""SELECT request_id, {_RUN} AS run_id, concat('RUN-', left(sha256(concat('{{"config_sha256": "c0ffee", "cpra": "', cpra, '", "input_sha256": {{"a": "', batch_id,
     '", "b": "22"}}, "study_id": "', study_id, '"}}')), 12)) AS bound_run_id FROM v_requests""", "v_requests")
-cte("v_returns", sel(dv.RETURNS, "supplier"))
+cte("v_returns", sel(dv.RETURNS, "part"))
 cte("o_ret", "SELECT a.*, x.*, " + codes([
     ("run_id_mismatch", "bad_run"), ("not_signed", "sign_off_status <> 'signed'"),
     ("missing_phenotype_metadata", "phenotype_definition_id = '' OR icd10_codeset_label = ''"),
@@ -643,7 +680,7 @@ cte("o_ret", "SELECT a.*, x.*, " + codes([
     ("contains_identifier", "contains(reviewer, 'PSU-')"),
 ]) + " AS return_violations FROM o_acc a JOIN v_returns x ON a.study_id = x.study_id", "o_acc", "v_returns")
 oracle("return_checks", "SELECT request_id, return_violations FROM o_ret", "o_ret")
-cte("v_check", sel(dv.CHECKPOINTS, "supplier"))
+cte("v_check", sel(dv.CHECKPOINTS, "part"))
 oracle("blocked_finals", """SELECT request_id, checkpoint, decision FROM v_requests r JOIN v_check c ON r.study_id = c.study_id
     WHERE decision IN ('block', 'query')""", "v_requests", "v_check")
 cte("o_finals", f"""SELECT request_id, cpra, total AS genotype_total_included, eligible_count AS post_phenotype_eligible, {token('total')} AS client_genotype_ceiling,
@@ -688,18 +725,24 @@ ORACLE["event_root"] = f"""WITH RECURSIVE o_leaves AS ({CTES['o_leaves'].split('
     UNION ALL SELECT depth + 1, list_transform(range(0, len(level), 2), lambda i: sha256(unhex(concat('01', level[i + 1], coalesce(level[i + 2], level[i + 1])))))
       FROM walk WHERE len(level) > 1)
   SELECT level[1] AS root FROM walk WHERE len(level) = 1"""
+ORACLE["ledger_appends"] = f"""WITH RECURSIVE o_leaves AS ({CTES['o_leaves'].split('--deps:')[0]}),
+  sizes AS (SELECT unnest([count(*) // 3, 2 * count(*) // 3 + 1, count(*)]) AS total FROM o_leaves),
+  walk AS (SELECT total, list(leaf ORDER BY seq) AS level FROM sizes JOIN o_leaves ON seq < total GROUP BY total
+    UNION ALL SELECT total, list_transform(range(0, len(level), 2), lambda i: sha256(unhex(concat('01', level[i + 1], coalesce(level[i + 2], level[i + 1])))))
+      FROM walk WHERE len(level) > 1)
+  SELECT total, level[1] AS root, true AS consistent, CAST(bit_count(total) AS BIGINT) AS peaks FROM walk WHERE len(level) = 1"""
 oracle("ledger_sequence", "SELECT count(*) AS events, min(event_id) = 0 AND max(event_id) = count(*) - 1 AND count(DISTINCT event_id) = count(*) AS dense FROM events")
 oracle("ledger_checks", "SELECT seq, leaf FROM o_leaves WHERE seq % 1009 = 5 OR seq % 1013 = 7", "o_leaves")
 
 # --- VCF text --------------------------------------------------------------------------------
 
-cte("o_array_grid", """SELECT s.participant_id, m.cpra, coalesce(g.gt_code, -1) AS gt_code FROM (SELECT DISTINCT participant_id FROM v_genotype WHERE source = 'array') s
-    CROSS JOIN (SELECT DISTINCT cpra FROM v_genotype WHERE source = 'array') m LEFT JOIN (SELECT * FROM v_genotype WHERE source = 'array') g
-    ON g.participant_id = s.participant_id AND g.cpra = m.cpra""", "v_genotype")
+cte("o_array_grid", """SELECT s.participant_id, m.cpra, coalesce(g.gt_code, -1) AS gt_code FROM (SELECT DISTINCT participant_id FROM v_chip WHERE source = 'array') s
+    CROSS JOIN (SELECT DISTINCT cpra FROM v_chip WHERE source = 'array') m LEFT JOIN (SELECT * FROM v_chip WHERE source = 'array') g
+    ON g.participant_id = s.participant_id AND g.cpra = m.cpra""", "v_chip")
 oracle("vcf_array_scan", "SELECT * FROM o_array_grid", "o_array_grid")
-cte("o_gp", """SELECT s.participant_id, m.cpra, coalesce(g.dosage, 0e0) AS d, coalesce(g.max_gp, 1e0) AS mg FROM (SELECT DISTINCT participant_id FROM v_genotype WHERE source = 'imputed') s
-    CROSS JOIN (SELECT DISTINCT cpra FROM v_genotype WHERE source = 'imputed') m LEFT JOIN (SELECT * FROM v_genotype WHERE source = 'imputed') g
-    ON g.participant_id = s.participant_id AND g.cpra = m.cpra""", "v_genotype")
+cte("o_gp", """SELECT s.participant_id, m.cpra, coalesce(g.dosage, 0e0) AS d, coalesce(g.max_gp, 1e0) AS mg FROM (SELECT DISTINCT participant_id FROM v_chip WHERE source = 'imputed') s
+    CROSS JOIN (SELECT DISTINCT cpra FROM v_chip WHERE source = 'imputed') m LEFT JOIN (SELECT * FROM v_chip WHERE source = 'imputed') g
+    ON g.participant_id = s.participant_id AND g.cpra = m.cpra""", "v_chip")
 cte("o_gp3", """SELECT *, CASE WHEN b = 1 THEN top WHEN b = 0 THEN rest ELSE rest END AS p1, CASE WHEN b = 2 THEN top ELSE 0e0 END AS p2 FROM
     (SELECT *, round_even(mg, 3) AS top, round_even(1e0 - mg, 3) AS rest, CAST(greatest(0, least(2, round_even(d, 0))) AS INT) AS b FROM o_gp) x""", "o_gp")
 oracle("vcf_imputed_scan", "SELECT participant_id, cpra, round_even(p1 + p2 * 2, 4) AS dosage, greatest(top, rest) AS max_gp FROM o_gp3", "o_gp3")
@@ -709,10 +752,10 @@ ORACLE["vcf_genotypes"] = with_ctes("""SELECT a.participant_id, a.cpra, 'array'
     "o_array_grid", "v_sample_qc", "v_requests", "o_gp3")
 ORACLE["vcf_array_export"] = with_ctes("""SELECT a.cpra, sha256(concat(any_value(concat_ws(chr(9), m.chrom, m.pos, m.cpra, m.ref, m.alt, '.', '.', '.', 'GT')), chr(9),
     string_agg(CASE CAST(gt_code AS INT) WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' WHEN 2 THEN '1/1' ELSE './.' END, chr(9) ORDER BY participant_id))) AS line_sha256
-    FROM o_array_grid a JOIN v_manifest m ON a.cpra = m.cpra GROUP BY a.cpra""", "o_array_grid", "v_manifest")
+    FROM o_array_grid a JOIN v_wide m ON a.cpra = m.cpra GROUP BY a.cpra""", "o_array_grid", "v_wide")
 ORACLE["vcf_imputed_export"] = with_ctes("""SELECT x.cpra, sha256(concat(any_value(concat_ws(chr(9), m.chrom, m.pos, m.cpra, m.ref, m.alt, '.', '.', '.', 'GT:GP')), chr(9),
     string_agg(concat(CASE b WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' ELSE '1/1' END, ':', CAST(CASE WHEN b = 0 THEN top WHEN b = 1 THEN rest ELSE 0e0 END AS VARCHAR), ',', CAST(p1 AS VARCHAR), ',', CAST(p2 AS VARCHAR)), chr(9) ORDER BY participant_id))) AS line_sha256
-    FROM o_gp3 x JOIN v_manifest m ON x.cpra = m.cpra GROUP BY x.cpra""", "o_gp3", "v_manifest")
+    FROM o_gp3 x JOIN v_wide m ON x.cpra = m.cpra GROUP BY x.cpra""", "o_gp3", "v_wide")
 cte("o_summary", """SELECT *, TRY_CAST(dosage_r2 AS DOUBLE) AS dr2, TRY_CAST(imputed_maf AS DOUBLE) AS af FROM v_wide WHERE on_imputed = 'TRUE'""", "v_wide")
 oracle("vcf_summary_export", """SELECT cpra, concat_ws(chr(9), chrom, pos, cpra, ref, alt, '.', '.', concat('DR2=', CASE WHEN dosage_r2 IN ('NA', '') THEN '.' ELSE dosage_r2 END,
     ';AF=', imputed_maf, ';RAF=', CAST(round_even(1e0 - af, 4) AS VARCHAR), ';PROP_TYPED=', CASE WHEN on_array = 'TRUE' THEN '1.0' ELSE '0.0' END)) AS value FROM o_summary""", "o_summary")

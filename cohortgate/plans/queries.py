@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ from cohortgate.operators.evidence import EVALUATION_KEY
 from cohortgate.plans import driver_views as dv
 from cohortgate.plans.feasibility import Evaluation
 from cohortgate.policy import policy_violations
-from cohortgate.sources import variant_lists, vcf
-from cohortgate.sources.durable import written
+from cohortgate.sources import layout, variant_lists, vcf
+from cohortgate.sources.durable import shared_path, written
 
 POLICY, DEPLOYMENT, RELEASE_POLICY = dv.POLICY, dv.DEPLOYMENT, dv.RELEASE_POLICY
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +85,36 @@ def candidate_table(spark, sf_dir):
     )
 
 
+def _colocated(spark, sf_dir) -> tuple[Evaluation, layout.CohortLayout]:
+    inputs = dv.inputs(spark, sf_dir)
+    stored = layout.store(spark, inputs.participants, inputs.sample_qc, inputs.genotypes)
+    tables = {name: stored.table(spark, name) for name in layout.KEYS}
+    return Evaluation(replace(inputs, **tables, colocated=True), POLICY), stored
+
+
+@query
+def candidate_table_colocated(spark, sf_dir):
+    """The candidate table from stored tables whose rows lie together by participant."""
+    run, _ = _colocated(spark, sf_dir)
+    return run.candidates.select(
+        *EVALUATION_KEY, "participant_id", "pseudo_id", "consent_status", "sex", "ancestry_stub",
+        *evidence.EVIDENCE_COLUMNS, "sex_check_ok", "kinship_ok",
+    )
+
+
+@query
+def cohort_faults(spark, sf_dir):
+    """Key faults of a stored cohort in which every 41st participant is missing and some rows repeat."""
+    inputs = dv.inputs(spark, sf_dir)
+    number = F.substring("participant_id", 2, 9).cast("long")
+    twice = inputs.genotypes.filter(number % 53 == 5).filter("source = 'array'")
+    stored = layout.store(
+        spark, inputs.participants.filter(number % 41 != 3),
+        inputs.sample_qc.unionByName(inputs.sample_qc.filter(number % 47 == 4)), inputs.genotypes.unionByName(twice),
+    )
+    return stored.faults(spark).groupBy("fault", "participant_id").agg(F.sum("rows").alias("rows"))
+
+
 @query
 def gate_accounting(spark, sf_dir):
     return evaluation(spark, sf_dir).gated.select(
@@ -168,7 +200,34 @@ def batch_union(spark, sf_dir):
 @query
 def batch_variant_counts(spark, sf_dir):
     run = evaluation(spark, sf_dir)
-    return counts.batch_variant_counts(run.classified, run.members)
+    return counts.batch_variant_counts(run.carrier_words, run.members)
+
+
+# --- heterozygous carriers only ----------------------------------------------------------------
+
+
+def _het_only(spark, sf_dir) -> Evaluation:
+    return Evaluation(dv.inputs(spark, sf_dir), dv.HET_POLICY)
+
+
+@query
+def het_only_totals(spark, sf_dir):
+    return _het_only(spark, sf_dir).results().select(
+        "request_id", "status", "reject_reason", "client_total", "total", "high_confidence", "conditional", "excluded"
+    )
+
+
+@query
+def het_only_carriers(spark, sf_dir):
+    return evidence.internal_table(_het_only(spark, sf_dir).classified)
+
+
+@query
+def het_only_hardcalls(spark, sf_dir):
+    """Kernel counts of heterozygous carriers, held against the classified rows in the strict form."""
+    gated = _het_only(spark, sf_dir).gated
+    counted = counts.hardcall_counts(evidence.genotype_values(gated), F.col("array_credible") & F.col("consent_ok"))
+    return counted.join(counts.assert_reconciled(counts.reconciliation(gated)), EVALUATION_KEY)
 
 
 # --- frequency control -----------------------------------------------------------------------
@@ -240,16 +299,11 @@ def source_decision(spark, sf_dir):
     ).select("request_id", "cpra", "variant_info", "use_array", "use_imputed", "imp_high")
 
 
-def _elsewhere(missed: str, key: str, name: str | None = None) -> str:
-    """The key, moved to a contig that no variant has where ``missed`` holds: a row without a match."""
-    return f"CASE WHEN {missed} THEN concat('U', {key}) ELSE {key} END AS {name or key}"
-
-
 @query
 def identifiability_overlay(spark, sf_dir):
     wide = dv.wide_manifest(spark, sf_dir)
     listed = wide.selectExpr(
-        _elsewhere("k % 4 = 3", "cpra"), "CASE WHEN k % 2 = 0 THEN 'yes' ELSE ' n' END AS on_array",
+        dv.elsewhere("k % 4 = 3", "cpra"), "CASE WHEN k % 2 = 0 THEN 'yes' ELSE ' n' END AS on_array",
         "CASE WHEN k % 8 = 0 THEN '1' ELSE 'False' END AS on_imputed",
         "CASE WHEN k % 16 = 1 THEN 'F' ELSE 't' END AS annotation_reliable",
     )
@@ -258,44 +312,94 @@ def identifiability_overlay(spark, sf_dir):
     )
 
 
-def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+#: Lines of the array list and of the imputed list, made from the sites (``k, cpra``); entries with a place of
+#: their own behind all others list some sites a second time, with another flag.
+LIST_ENTRIES = {
+    "array": [
+        ("k", "k % 5 <> 0", "CASE WHEN k % 41 = 0 THEN 'Yes' ELSE 'No' END"),
+        ("1000000000 + k", "k % 10 = 1", "CASE WHEN k % 20 = 1 THEN ' yes' ELSE 'no' END"),
+    ],
+    "imputed": [
+        ("k", "k % 3 <> 0", "CASE WHEN k % 37 = 0 THEN 'true' ELSE 'FALSE' END"),
+        ("1000000000 + k", "k % 7 = 2", "'TRUE'"),
+    ],
+}
+LIST_HEADERS = {"array": "variant_id,gene,Inaccurate Call", "imputed": "inaccurate.annotation,cpra_grch38"}
+LIST_LINES = {"array": "concat(cpra, ',G', CAST(k AS VARCHAR(20)), ',', flag)", "imputed": "concat(flag, ',', cpra)"}
+
+
+def _list_text(spark, sf_dir, name: str) -> DataFrame:
+    """``place, value``: the lines of a list in their order, header first; a few lines are cut short."""
     wide = dv.wide_manifest(spark, sf_dir)
-    array = wide.selectExpr(
-        _elsewhere("k % 5 = 0", "cpra"), "CASE WHEN k % 41 = 0 THEN 'Yes' ELSE 'No' END AS flag"
-    )
-    imputed = wide.selectExpr(
-        _elsewhere("k % 3 = 0", "cpra"), "CASE WHEN k % 37 = 0 THEN 'true' ELSE 'FALSE' END AS flag"
-    )
-    return array, imputed
+    entries = [wide.filter(held).selectExpr(f"{place} AS place", "k", "cpra", f"{flag} AS flag") for place, held, flag in LIST_ENTRIES[name]]
+    lines = entries[0].unionByName(entries[1]).selectExpr("place", f"CASE WHEN k % 97 = 3 THEN 'cut' ELSE {LIST_LINES[name]} END AS value")
+    header = spark.createDataFrame([(-1, LIST_HEADERS[name])], "place long, value string")
+    return header.unionByName(lines)
+
+
+def _written_list(spark, sf_dir, name: str) -> str:
+    """A list as several text files that follow each other."""
+    path = shared_path(spark, f"{name}-list")
+    lines = _list_text(spark, sf_dir, name)
+    lines.repartitionByRange("place").sortWithinPartitions("place").select("value").write.text(path)
+    return path
+
+
+def _zipped_list(spark, sf_dir, name: str) -> DataFrame:
+    """``path, content``: a list as the one member of an archive, packed where its lines are sorted."""
+
+    def pack(rows):
+        import io
+        import zipfile
+
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive, archive.open(f"{name}.csv", "w") as member:
+            for batch in rows:
+                member.writelines(f"{value}\r\n".encode() for value in batch.column("value").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([f"{name}.zip"]), pa.array([packed.getvalue()])], names=["path", "content"])
+
+    lines = _list_text(spark, sf_dir, name).coalesce(1).sortWithinPartitions("place").select("value")
+    return written(lines.mapInArrow(pack, "path string, content binary"), f"{name}-zip")
+
+
+def _list_entries(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    array = variant_lists.read_list(spark, _written_list(spark, sf_dir, "array"), "variant_id", "Inaccurate Call")
+    zipped = variant_lists.archive_lines(_zipped_list(spark, sf_dir, "imputed"), first_member=True)
+    return array, variant_lists.list_entries(zipped, "cpra_grch38", "inaccurate.annotation")
 
 
 @query
 def variant_list_membership(spark, sf_dir):
+    """Requested variants, some of them in no list, so both lists are read to their ends."""
     targets = dv.wide_requests(spark, sf_dir).select("cpra").distinct()
-    array, imputed = _lists(spark, sf_dir)
+    array, imputed = _list_entries(spark, sf_dir)
     return variant_lists.membership(
         targets, variant_lists.list_hits(array, targets, "Yes"),
         variant_lists.list_hits(imputed, targets, "TRUE"), "test release",
     )
 
 
+@query
+def variant_list_stop(spark, sf_dir):
+    """All variants of the array list, met before it repeats some: reading stops there."""
+    array, _ = _list_entries(spark, sf_dir)
+    hits = variant_lists.list_hits(array, array.select("cpra"), "Yes")
+    return hits.select("cpra", "flag", "line", "reliable")
+
+
 def _list_lines(spark, sf_dir) -> DataFrame:
-    array, imputed = _lists(spark, sf_dir)
-    comma = array.select(F.lit("array").alias("file"), F.concat_ws(",", "cpra", "flag").alias("value"))
-    tabbed = imputed.select(
-        F.lit("imputed").alias("file"), F.translate(F.col("cpra"), ":", "\t").alias("value")
-    )
-    return comma.unionByName(tabbed)
+    plain = variant_lists.list_lines(spark, _written_list(spark, sf_dir, "array")).withColumns({"file": F.lit("array"), "member": F.lit("array")})
+    return plain.unionByName(variant_lists.archive_lines(_zipped_list(spark, sf_dir, "imputed")))
 
 
 @query
 def position_search(spark, sf_dir):
-    return variant_lists.position_search(_list_lines(spark, sf_dir), "105729", "2:105729:A:T")
+    return variant_lists.position_search(_list_lines(spark, sf_dir), "1048290", "2:1048290:CG:C")
 
 
 @query
 def position_sample(spark, sf_dir):
-    return variant_lists.position_sample(_list_lines(spark, sf_dir), "729")
+    return variant_lists.position_sample(_list_lines(spark, sf_dir), "829")
 
 
 @query
@@ -309,15 +413,8 @@ def allele_trim(spark, sf_dir):
 @query
 def build_and_strand(spark, sf_dir):
     wide = dv.wide_manifest(spark, sf_dir)
-    trimmed = preflight.trim_alleles(wide)
-    bases = trimmed.selectExpr(
-        _elsewhere("k % 7 = 0", "chrom"), "n_pos AS pos", "k AS p_partkey", "n_ref"
-    ).selectExpr("chrom", "pos", *[f"{sql} AS {name}" for name, sql in dv.WIDE_BASES.items()])
-    panel = trimmed.select(
-        F.expr(_elsewhere("k % 4 = 0", "normalized_cpra", "cpra")), (F.col("k") * 37 % 997 / 1000).alias("panel_maf")
-    )
     matched = requests.match_manifest(dv.wide_requests(spark, sf_dir), wide)
-    return preflight.with_preflight(matched, bases, panel).select(
+    return preflight.with_preflight(matched, dv.bases(spark, sf_dir), dv.panel_maf(spark, sf_dir)).select(
         "request_id", "cpra", "normalized_cpra", "build_resolved", "ref_matched", "is_palindromic",
         "strand", "ambiguous", "preflight_reject",
         F.array_join(preflight.caveats(), "|").alias("caveats"),
@@ -798,8 +895,8 @@ def ledger_checks(spark, sf_dir):
 # --- VCF text --------------------------------------------------------------------------------
 
 
-def _sites(spark) -> DataFrame:
-    return dv.manifest(spark).selectExpr("cpra", "chrom", "CAST(pos AS BIGINT) AS pos", "ref", "alt")
+def _sites(spark, sf_dir) -> DataFrame:
+    return dv.manifest(spark, sf_dir).selectExpr("cpra", "chrom", "CAST(pos AS BIGINT) AS pos", "ref", "alt")
 
 
 def _as_lines(export: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -810,22 +907,22 @@ def _as_lines(export: tuple[DataFrame, DataFrame]) -> DataFrame:
 
 
 def _array_lines(spark, sf_dir) -> DataFrame:
-    return _as_lines(vcf.array_export(dv.genotypes(spark, sf_dir), _sites(spark)))
+    return _as_lines(vcf.array_export(dv.chip_genotypes(spark, sf_dir), _sites(spark, sf_dir)))
 
 
 def _imputed_lines(spark, sf_dir) -> DataFrame:
-    return _as_lines(vcf.imputed_export(dv.genotypes(spark, sf_dir), _sites(spark)))
+    return _as_lines(vcf.imputed_export(dv.chip_genotypes(spark, sf_dir), _sites(spark, sf_dir)))
 
 
 @query
 def vcf_array_export(spark, sf_dir):
-    _, data = vcf.array_export(dv.genotypes(spark, sf_dir), _sites(spark))
+    _, data = vcf.array_export(dv.chip_genotypes(spark, sf_dir), _sites(spark, sf_dir))
     return data.select("cpra", F.sha2("value", 256).alias("line_sha256"))
 
 
 @query
 def vcf_imputed_export(spark, sf_dir):
-    _, data = vcf.imputed_export(dv.genotypes(spark, sf_dir), _sites(spark))
+    _, data = vcf.imputed_export(dv.chip_genotypes(spark, sf_dir), _sites(spark, sf_dir))
     return data.select("cpra", F.sha2("value", 256).alias("line_sha256"))
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from cohortgate import schemas
 from cohortgate.functions import numbers
-from cohortgate.operators import ledger
+from cohortgate.operators import frontier, ledger
 from cohortgate.plans import driver_views as dv
-from cohortgate.plans.queries import QUERIES, query
+from cohortgate.plans.queries import QUERIES, _ledger_size, _leaves, query
 from cohortgate.sources import tables
 from cohortgate.sources.durable import shared_path
 
@@ -132,3 +132,22 @@ def broken_chain(spark, sf_dir):
     recorded = ledger.parent_roots(leaves, total)
     wrong = F.when(F.col("seq") % 11 == 4, F.repeat(F.lit("0"), F.lit(64))).otherwise(F.col("parent_root"))
     return ledger.broken_chain(recorded.withColumn("parent_root", wrong), leaves, total).select("seq", "parent_root")
+
+
+@query
+def ledger_appends(spark, sf_dir):
+    """The events appended in three steps: each step reads its own events and the stored frontier."""
+    leaves, total = _leaves(spark, sf_dir), _ledger_size(spark, sf_dir)
+    path = shared_path(spark, "frontiers")
+    checks, before = None, frontier.Frontier()
+    frontier.save(before, spark, path)
+    for stop in (total // 3, 2 * total // 3 + 1, total):
+        before = frontier.latest(spark, path)
+        new = leaves.filter((F.col("seq") >= before.total) & (F.col("seq") < stop))
+        after = frontier.extended(before, new, stop - before.total)
+        frontier.save(after, spark, path)
+        proof = frontier.consistent(before, after, spark).withColumn("total", F.lit(stop).cast("long"))
+        checks = proof if checks is None else checks.unionByName(proof)
+    states = spark.read.parquet(path)
+    peaks = states.filter("kind = 'peak'").groupBy("total").agg(F.count(F.lit(1)).alias("peaks"))
+    return frontier.roots(states).join(checks, "total").join(peaks, "total").select("total", "root", "consistent", "peaks")

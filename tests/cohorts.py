@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 from cohortgate import schemas
-from cohortgate.plans import driver_views as dv
 from cohortgate.plans.feasibility import Evaluation, Inputs
 from cohortgate.policy import AnalysisPolicy
 from cohortgate.sources.tables import reference_tables, small_table
 
-CPRA = "4:71400210:C:G"
+CPRA = "7:5500120:T:A"
+#: cpra, on_array, on_imputed, array_maf, imputed_maf, dosage_r2, inaccurate, multiallelic
+SITES = [
+    (CPRA, "TRUE", "TRUE", "0.021", "0.022", "0.64", "FALSE", "FALSE"),
+    ("11:830045:C:A", "TRUE", "TRUE", "0.040", "0.041", "0.90", "FALSE", "FALSE"),
+    ("15:2000:GT:G", "FALSE", "TRUE", "NA", "0.004", "0.12", "FALSE", "FALSE"),
+    ("21:9900300:T:C", "TRUE", "TRUE", "0.050", "0.050", "0.50", "TRUE", "FALSE"),
+]
+REFERENCE = {
+    "bases": {"GRCh38": {"7:5500120": "T", "11:830045": "C", "15:2000": "G"}, "GRCh37": {"7:5400000": "T"}},
+    "panel_maf": {CPRA: 0.021, "11:830045:C:A": 0.040, "15:2000:GT:G": 0.004},
+}
 REQUEST_SCHEMA = (
     "request_id string, batch_id string, ordinal bigint, study_id string, cpra string, chrom string, "
     "pos bigint, ref string, alt string, build string, carrier_definition string, "
@@ -36,11 +46,12 @@ def request(cpra=CPRA, request_id="R1", batch_id="B1", ordinal=0, source="array_
 
 def evaluation(spark, requests, participants, genotypes, sample_qc, policy=None) -> Evaluation:
     """``sample_qc`` is (participant_id, sex_check_pass, kinship_flag) as text."""
-    bases, panel = reference_tables(spark, dv.REFERENCE)
+    bases, panel = reference_tables(spark, REFERENCE)
+    manifest = [(c, *c.split(":"), "GRCh38", "TRUE", a, i, am, im, dr2, "test", bad, multi) for c, a, i, am, im, dr2, bad, multi in SITES]
     quality = [(p, 0.99, 0.25, str(s), 0.0, 0.0, str(k)) for p, s, k in sample_qc]
     return Evaluation(
         Inputs(
-            requests=table(spark, requests, REQUEST_SCHEMA), manifest=dv.manifest(spark),
+            requests=table(spark, requests, REQUEST_SCHEMA), manifest=table(spark, manifest, schemas.MANIFEST),
             bases=bases, panel_maf=panel,
             participants=table(spark, participants, schemas.PARTICIPANTS),
             genotypes=table(spark, genotypes, schemas.GENOTYPES),

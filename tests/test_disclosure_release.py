@@ -110,7 +110,7 @@ def test_payload_text_and_verdict_order(spark):
     tag = dv.DEPLOYMENT.release_schema
     assert rows["C0"]["payload"] == (
         f'{{"schema":"{tag}","status":"released","policy":{{"min_cell":10,"round_to":5}},'
-        '"subject_id":"4:71400210:C:G","total":"<10","breakdown":null}'
+        '"subject_id":"7:5500120:T:A","total":"<10","breakdown":null}'
     )
     assert json.loads(rows["C1"]["payload"])["breakdown"] == [
         {"label": HIGH, "count": 70}, {"label": COND, "count": 0},

@@ -19,7 +19,7 @@ def test_tiny_cohort_counts_and_token(spark):
     assert row["client_total"] == "<10" and row["breakdown_suppressed"]
     report = run.reports().collect()[0]
     assert report["recommendation"].startswith("GO WITH CAVEATS")
-    assert report["limitations"][0].endswith("REF-to-reference match (REF 'C').")
+    assert report["limitations"][0].endswith("REF-to-reference match (REF 'T').")
 
 
 def test_tiny_cohort_rows(spark):
@@ -35,7 +35,7 @@ def test_tiny_cohort_rows(spark):
     assert "participant_id" not in handoff.columns
     assert {(r["pseudo_id"], r["caveat"]) for r in handoff.collect()} == {
         ("PSU-000003", ""), ("PSU-000011", ""),
-        ("PSU-000015", "imputed-supported, DR2=0.71 (moderate)"),
+        ("PSU-000015", "imputed-supported, DR2=0.64 (moderate)"),
     }
 
 
@@ -113,8 +113,8 @@ def test_gate_totals_cover_participants_without_calls(spark):
 
 
 def test_rejected_requests_stay_rows(spark):
-    bad = cohorts.request("5:5000700:G:T", "R2", ordinal=1)
-    unknown = cohorts.request("4:77:A:C", "R3", ordinal=2)
+    bad = cohorts.request("21:9900300:T:C", "R2", ordinal=1)
+    unknown = cohorts.request("7:77:A:C", "R3", ordinal=2)
     wrong = cohorts.request(request_id="R4", ordinal=3, definition="het_only")
     rows = {r["request_id"]: r for r in cohorts.tiny(
         spark, requests=[cohorts.request(), bad, unknown, wrong]).results().collect()}
@@ -133,7 +133,7 @@ def test_distributed_path_equals_held_path(spark, monkeypatch):
 
 
 def test_two_variant_union(spark):
-    other = "19:41200518:A:G"
+    other = "11:830045:C:A"
     names = [f"P{i}" for i in range(6)]
     calls = [cohorts.array_call(n, 1) for n in names[:3]] + [
         cohorts.array_call(n, 1, cpra=other) for n in names[1:4]

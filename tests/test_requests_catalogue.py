@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import gzip
 import random
+import zipfile
 
 import cohorts
 import pytest
@@ -81,16 +83,15 @@ def test_build_and_strand_verdicts(spark):
 
 
 VARIANTS = [
-    ("del", "19:41100402:AG:A"), ("snv", "19:41200518:A:G"), ("b1", "12:56000604:G:A"),
-    ("b2", "9:77300711:C:T"), ("p2", "14:88100803:G:A"), ("atm", "20:30500905:C:T"),
+    ("a1", "1:100:A:T"), ("a2", "1:250:GC:G"), ("a3", "1:260:T:C"), ("b1", "2:30:C:CA"), ("c1", "X:77:G:A"),
 ]
-GENES = [("CHEK2", ["del", "snv"]), ("BRCA1", ["b1"]), ("BRCA2", ["b2"]), ("PALB2", ["p2"]), ("ATM", ["atm"])]
+GENES = [("GENE1", ["a1", "a2", "a3"]), ("GENE2", ["b1"]), ("GENE3", ["c1", "a1"])]
 
 
 def catalogue_tables(spark):
     variants = [(v, c, c.split(":")[0], int(c.split(":")[1]), *c.split(":")[2:]) for v, c in VARIANTS]
     bridge = [(g, v, i) for g, vs in GENES for i, v in enumerate(vs)]
-    panel = [("Breast_Cancer ", g.lower(), i) for i, (g, _) in enumerate(GENES)]
+    panel = [("Panel_One ", g.lower(), i) for i, (g, _) in enumerate(GENES)]
     return (
         cohorts.table(spark, variants, "variant_id string, cpra string, chrom string, pos bigint, ref string, alt string"),
         cohorts.table(spark, bridge, "symbol string, variant_id string, ordinal bigint"),
@@ -98,13 +99,13 @@ def catalogue_tables(spark):
     )
 
 
-def test_panel_of_five_genes_gives_six_variants(spark):
+def test_panel_gives_each_variant_once(spark):
     variants, bridge, panel = catalogue_tables(spark)
-    asked = cohorts.table(spark, [("S", " breast_cancer")], "study_id string, panel string")
+    asked = cohorts.table(spark, [("S", " panel_one")], "study_id string, panel string")
     rows = catalogue.resolve_panels(asked, panel, bridge, variants).collect()
-    assert {r["cpra"] for r in rows} == {c for _, c in VARIANTS} and len(rows) == 6
-    gene = cohorts.table(spark, [("S", "chek2 ")], "study_id string, symbol string")
-    assert catalogue.resolve_genes(gene, bridge, variants).count() == 2
+    assert {r["cpra"] for r in rows} == {c for _, c in VARIANTS} and len(rows) == 5
+    gene = cohorts.table(spark, [("S", "gene1 ")], "study_id string, symbol string")
+    assert catalogue.resolve_genes(gene, bridge, variants).count() == 3
     none = catalogue.unknown_names(
         cohorts.table(spark, [("nope",)], "symbol string"), bridge, "symbol", catalogue.symbol_key
     )
@@ -124,19 +125,85 @@ def test_span_join_meets_each_locus_once(spark):
     assert found == [("c1", "long"), ("c3000000", "edge"), ("c3000000", "long"), ("c5000000", "long")]
 
 
+LIST = "variant_id,Inaccurate Call"
+
+
 def test_overlay_and_list_membership(spark):
     targets = cohorts.table(spark, [("1:1:A:C",), ("1:2:A:C",)], "cpra string")
-    entries = cohorts.table(spark, [("1:1:A:C", "Yes"), ("9:9:A:C", "No")], "cpra string, flag string")
-    none = cohorts.table(spark, [], "cpra string, flag string")
+    entries = cohorts.table(spark, [("1:1:A:C", "Yes", 7), ("9:9:A:C", "No", 8)], "cpra string, flag string, line bigint")
+    none = cohorts.table(spark, [], "cpra string, flag string, line bigint")
     rows = {r["cpra"]: r for r in variant_lists.membership(
         targets, variant_lists.list_hits(entries, targets, "Yes"),
         variant_lists.list_hits(none, targets, "TRUE"), "release",
     ).collect()}
     assert rows["1:1:A:C"]["annotation_reliable"] == "FALSE" and rows["1:1:A:C"]["on_array"] == "TRUE"
+    assert rows["1:1:A:C"]["evidence"].startswith("array resource line 7: exact CPRA present; Inaccurate Call=Yes;")
     assert rows["1:2:A:C"]["evidence"] == "array resource: no exact CPRA hit; imputed resource: no exact CPRA hit"
 
 
+def plain_hits(lines, targets):
+    """A list read line by line until all wanted variants were met; later entries replace earlier ones."""
+    hits = {}
+    for number, line in enumerate(lines[1:], start=2):
+        parts = line.split(",")
+        if len(parts) > 1 and parts[0] in targets:
+            hits[parts[0]] = (parts[1], number)
+            if len(hits) == len(targets):
+                break
+    return hits
+
+
+@pytest.fixture
+def small_splits(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("kind", ["plain", "gz", "parts", "zip", "zip.gz"])
+def test_lines_are_numbered_over_splits_and_archives(spark, tmp_path, small_splits, kind):
+    lines = [LIST, *[f"1:{i % 90}:A:C,{'Yes' if i % 3 else 'no'}" for i in range(200)], "", "cut", "2:1:A:C,No"]
+    text = "\r\n".join(lines) + "\n"
+    path = tmp_path / {"plain": "list.csv", "gz": "list.csv.gz", "parts": "list", "zip": "list.zip", "zip.gz": "list.zip"}[kind]
+    if kind == "plain":
+        path.write_bytes(text.encode())
+    elif kind == "gz":
+        path.write_bytes(gzip.compress(text.encode()))
+    elif kind == "parts":
+        path.mkdir()
+        for at in range(0, len(lines), 50):
+            (path / f"part-{at:05d}").write_text("\n".join(lines[at : at + 50]) + "\n")
+    else:
+        with zipfile.ZipFile(path, "w") as archive:
+            archive.writestr("__MACOSX/list.csv", "junk")
+            archive.writestr("folder/", "")
+            archive.writestr("list.csv.gz" if kind == "zip.gz" else "list.csv", gzip.compress(text.encode()) if kind == "zip.gz" else text)
+            archive.writestr("second.csv", "1:1:A:C\n")
+    read = variant_lists.list_lines(spark, str(path))
+    if kind in ("plain", "parts"):
+        assert read.rdd.getNumPartitions() > 3
+    got = sorted((r.line, r.value) for r in read.collect() if r.member != "second.csv")
+    assert got == list(enumerate(lines, 1))
+    if kind.startswith("zip"):
+        assert [(r.line, r.value) for r in read.filter("member = 'second.csv'").collect()] == [(1, "1:1:A:C")]
+    entries = variant_lists.read_list(spark, str(path), "variant_id", "Inaccurate Call")
+    for wanted in ({"1:5:A:C", "1:80:A:C"}, {"1:5:A:C", "2:1:A:C"}, {"1:5:A:C", "7:7:A:C"}, {"7:7:A:C"}):
+        targets = cohorts.table(spark, [(w,) for w in [*wanted, *wanted]], "cpra string")
+        hits = {r.cpra: (r.flag, r.line) for r in variant_lists.list_hits(entries, targets, "Yes").collect()}
+        assert hits == plain_hits(lines, wanted)
+    shown = variant_lists.position_sample(read.filter("member <> 'second.csv'"), ":5:", 2).collect()
+    if kind != "parts":  # a sample for each file
+        assert [r.line for r in shown] == [7, 97]
+
+
+def test_a_list_without_its_column(spark, tmp_path):
+    (tmp_path / "list.csv").write_text("other,flag\n1:1:A:C,x\n")
+    with pytest.raises(ValueError, match="no column variant_id"):
+        variant_lists.read_list(spark, str(tmp_path / "list.csv"), "variant_id", "flag")
+
+
 def test_id_tokens(spark):
-    frame = cohorts.table(spark, [(" breast_cancer! ",), ("--",)], "t string")
+    frame = cohorts.table(spark, [(" panel_one! ",), ("--",)], "t string")
     got = [r[0] for r in frame.select(requests.id_token(F.col("t"))).collect()]
-    assert got == ["BREAST-CANCER", "REQUEST"]
+    assert got == ["PANEL-ONE", "REQUEST"]
