@@ -44,7 +44,7 @@ def test_genotypes_are_read_back_whole(spark, con):
 
 
 def test_entry_runs(spark):
-    assert entry.entry(spark).count() == 10
+    assert entry.entry(spark).count() == 200
 
 
 def test_every_sql_has_a_query():
