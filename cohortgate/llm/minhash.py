@@ -10,16 +10,19 @@ and one group of all sets below about 0.12, where no band is sure enough).
 
 Documents with the same set form a class and only its first one goes on. In a band's group every
 class is compared with the group's hub, the least by hash, so a group of thousands of near copies
-makes as many pairs, not their square. Links are confirmed on full sets and joined to components.
-Classes that share a band but not a component meet other hubs of the group, and in the end the
-sketches of all that are still apart are compared inside the tasks, block by block; only pairs
-whose sketches agree go on to the full comparison. Texts of classes that share a band are taken
-out once; everything else is narrow rows.
+makes as many pairs, not their square. Only pairs whose sketches agree are confirmed on full sets; links are joined to components.
+Classes that share a band but not a component meet other hubs of the group. In the end all that are
+still apart are compared inside the tasks, block by block: by sketch, then by a sketch of four times
+as many coordinates, then on full sets, which only classes with a possible partner are sent with. A
+task joins what it finds and hands on a spanning forest, so no more rows leave it than classes
+came in, however many documents share a passage. Texts of classes that share a band are taken out
+once, and no pair of texts is in memory but in slices of bounded bytes.
 
 Defined results: a null text or one without a word has an empty set and is linked with nothing; a
 text with fewer words than a shingle has its whole sequence as its one shingle; a null id is
-ignored in the smallest id of a component; of repeated rows one is kept; an empty table gives an
-empty result; other columns are neither read nor changed.
+ignored in the smallest id of a component; of a component without any id, and of rows that share the
+smallest one, one row is kept (the least by text hash), and of repeated rows one; an empty table gives
+an empty result; a very long text is hashed by itself; other columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -33,20 +36,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortgate.llm.batches import by_bytes
 from cohortgate.llm.components import components
 from cohortgate.llm.shingles import mix, shingle_sets
 from cohortgate.llm.tables import kept
 
-BINS = 128
+BINS, LONG_BINS = 128, 512
 #: Bounds of the probability that a pair at the similarity asked for shares no band, and that its
 #: sketches agree too little.
 BAND_MISS, AGREE_MISS = 1e-7, 1e-8
 #: Rounds of further hubs before all remaining pairs of a group are compared; sooner where groups
 #: hold no more than this many classes on average.
 HUB_ROUNDS, FEW = 2, 8
-#: Classes of a block of a group.
-BLOCK = 1024
-_SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Classes of a block of a group, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
+_SEEDS = mix(np.arange(1, 2 * LONG_BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64((1 << 55) - 1)
 
@@ -62,28 +66,29 @@ def band_count(percent: int) -> int:
     return BINS // rows if rows else 1
 
 
-def least_agreement(percent: int) -> int:
+def least_agreement(percent: int, size: int = BINS) -> int:
     """Coordinates in which sketches must agree for a full comparison."""
     share = min(1.0, max(0.0, percent / 100))
     missed = 0.0
-    for agree in range(BINS):
-        missed += math.comb(BINS, agree) * share**agree * (1 - share) ** (BINS - agree)
+    for agree in range(size):
+        missed += math.comb(size, agree) * share**agree * (1 - share) ** (size - agree)
         if missed > AGREE_MISS:
             return agree
-    return BINS
+    return size
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The coordinates of a non-empty set."""
-    bins = np.full(BINS, _FULL)
+def sketch(shingles: np.ndarray, size: int = BINS) -> np.ndarray:
+    """The ``size`` (a power of two up to 512) coordinates of a non-empty set."""
+    bins = np.full(size, _FULL)
     done, n = 0, len(shingles)
-    while done < 2 * BINS and (bins == _FULL).any():
-        rounds = np.arange(done, min(2 * BINS, done + max(1, 5 * BINS // n)), dtype=np.uint64)
+    top = np.uint64(65 - size.bit_length())
+    while done < 2 * size and (bins == _FULL).any():
+        rounds = np.arange(done, min(2 * size, done + max(1, 5 * size // n)), dtype=np.uint64)
         hashed = mix(shingles[None, :] ^ _SEEDS[rounds][:, None])
-        place = (hashed >> np.uint64(57)).astype(np.int64)
-        fixed = rounds >= BINS
+        place = (hashed >> top).astype(np.int64)
+        fixed = rounds >= size
         if fixed.any():
-            place[fixed] = (rounds[fixed] - np.uint64(BINS)).astype(np.int64)[:, None]
+            place[fixed] = (rounds[fixed] - np.uint64(size)).astype(np.int64)[:, None]
         np.minimum.at(bins, place.ravel(), ((rounds[:, None] << np.uint64(55)) | (hashed & _LOW)).ravel())
         done += len(rounds)
     return bins
@@ -108,7 +113,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in by_bytes(batches):
                 sizes, keys, groups, coords = [], [], [], []
                 for found in shingle_sets(batch.column("text").to_pylist(), k):
                     sizes.append(len(found))
@@ -129,7 +134,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     """The ``pairs`` (``a, b``, written) that reach the similarity on their full sets; written once."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(by_bytes(batches, "left"), "right"):
             lefts, rights = batch.column("left").to_pylist(), batch.column("right").to_pylist()
             good, last, set_a = [], None, None
             for left, b in zip(lefts, shingle_sets(rights, k), strict=True):
@@ -156,44 +161,113 @@ def _by_root(crowd: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(crowd: DataFrame, turn: int, percent: int, most: int) -> DataFrame:
-    """Pairs of each group's hub of this turn with the members of other components."""
+    """Pairs of each group's hub of this turn with the members of other components that agree with it."""
+    least = least_agreement(percent)
+
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array((one == other).sum(axis=1) >= least))
+
     order = F.xxhash64("set_key", F.lit(turn))
-    hubs = crowd.groupBy("band").agg(F.min(F.struct(order.alias("order"), "set_key", "n", "root")).alias("hub"))
+    hubs = crowd.groupBy("band").agg(F.min(F.struct(order.alias("order"), "set_key", "n", "root", "coords")).alias("hub"))
     met = crowd.join(kept(hubs, "hubs", most), "band").filter((F.col("root") != F.col("hub.root")) & _fits(F.col("n"), F.col("hub.n"), percent))
-    return met.select(F.greatest("hub.set_key", "set_key").alias("a"), F.least("hub.set_key", "set_key").alias("b")).distinct()
+    pairs = met.select(F.greatest("hub.set_key", "set_key").alias("a"), F.least("hub.set_key", "set_key").alias("b"), F.col("hub.coords").alias("x"), F.col("coords").alias("y"))
+    return pairs.mapInArrow(agreeing, "a binary, b binary").distinct()
 
 
-def _near_by_sketch(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a group that are in different components and whose sketches agree enough.
+def _full_sets(texts: DataFrame, k: int) -> DataFrame:
+    """``set_key, shingles, fine``: full sets and long sketches of ``texts``; written once."""
 
-    Groups are compared block by block inside the tasks; only pairs that agree leave them. A pair
-    at the similarity agrees in fewer coordinates than is asked with a probability below ``AGREE_MISS``.
-    """
-    least = least_agreement(percent)
-    blocks = kept(crowd.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
-    rows = crowd.join(blocks, "band").join(sets.select("set_key", "coords"), "set_key")
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for part in by_bytes(batches):
+                sets = list(shingle_sets(part.column("text").to_pylist(), k))
+                fine = [coordinate_bytes(sketch(found, LONG_BINS)) for found in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("set_key"), pa.array([found.tobytes() for found in sets], pa.binary()), pa.array(fine, pa.binary())],
+                    names=["set_key", "shingles", "fine"],
+                )
+
+    return kept(texts.mapInArrow(fill, "set_key binary, shingles binary, fine binary"), "full-sets")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` of groups (``band``) copied to the pairs of blocks (``i, j``) of their group."""
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES))
+    blocks = kept(rows.groupBy("band").agg(size.cast("int").alias("blocks")), "blocks")
     own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-    def compare(group: pa.Table) -> pa.Table:
-        keys, roots = np.array(group.column("set_key").to_pylist(), object), np.array(group.column("root").to_pylist(), object)
-        sizes, own = group.column("n").to_numpy(), group.column("own").to_numpy()
-        crossing = group.column("i")[0].as_py() != group.column("j")[0].as_py()
-        coords = np.frombuffer(b"".join(group.column("coords").to_pylist()), np.uint8).reshape(-1, BINS)
+    dealt = rows.join(blocks, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+
+
+def _partners(group: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of a block pair, each with the later places in other components that may be linked to it."""
+    roots = np.array(group.column("root").to_pylist(), object)
+    sizes, own = group.column("n").to_numpy(), group.column("own").to_numpy()
+    crossing = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    coords = np.frombuffer(b"".join(group.column("coords").to_pylist()), np.uint8).reshape(-1, BINS)
+    fine = np.frombuffer(b"".join(group.column("fine").to_pylist()), np.uint8).reshape(-1, LONG_BINS)
+    least, least_fine = least_agreement(percent), least_agreement(percent, LONG_BINS)
+    for at in range(len(roots) - 1):
+        fits = 100 * np.minimum(sizes[at + 1 :], sizes[at]) >= percent * np.maximum(sizes[at + 1 :], sizes[at])
+        fits &= roots[at + 1 :] != roots[at]
+        if crossing:
+            fits &= own[at + 1 :] != own[at]
+        spots = at + 1 + np.flatnonzero(fits)
+        spots = spots[(coords[spots] == coords[at]).sum(axis=1) >= least]
+        spots = spots[(fine[spots] == fine[at]).sum(axis=1) >= least_fine]
+        if len(spots):
+            yield at, spots
+
+
+def _forest(crowd: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that join whatever is linked in a group but in different components yet; written once.
+
+    Groups are compared block by block inside the tasks; pairs at the similarity are passed over with a
+    probability below twice ``AGREE_MISS``. First only sketches are sent; classes with a possible partner
+    are sent again with their sets.
+    """
+    full = _full_sets(texts.join(crowd.select("set_key").distinct(), "set_key", "left_semi"), k)
+
+    def partnered(group: pa.Table) -> pa.Table:
+        found: set[int] = set()
+        for at, spots in _partners(group, percent):
+            found.add(at)
+            found.update(spots.tolist())
+        return group.select(["band", "set_key"]).take(pa.array(sorted(found), pa.int64()))
+
+    def joined(group: pa.Table) -> pa.Table:
+        keys, sets = group.column("set_key").to_pylist(), group.column("shingles")
+        parent = {root: root for root in group.column("root").to_pylist()}
+        label = group.column("root").to_pylist()
+
+        def root(x: bytes) -> bytes:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def full_set(at: int) -> np.ndarray:
+            return np.frombuffer(sets[at].as_buffer(), np.uint64)
+
         out: list[tuple[bytes, bytes]] = []
-        for at in range(len(keys) - 1):
-            fits = 100 * np.minimum(sizes[at + 1 :], sizes[at]) >= percent * np.maximum(sizes[at + 1 :], sizes[at])
-            fits &= roots[at + 1 :] != roots[at]
-            if crossing:
-                fits &= own[at + 1 :] != own[at]
-            spots = at + 1 + np.flatnonzero(fits)
-            agreed = (coords[spots] == coords[at]).sum(axis=1) >= least
-            out += [(max(keys[at], k), min(keys[at], k)) for k in keys[spots[agreed]]]
+        for at, spots in _partners(group, percent):
+            mine = full_set(at)
+            for spot in spots.tolist():
+                if root(label[at]) == root(label[spot]):
+                    continue
+                other = full_set(spot)
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                if 100 * both >= percent * (len(mine) + len(other) - both):
+                    parent[root(label[at])] = root(label[spot])
+                    out.append((max(keys[at], keys[spot]), min(keys[at], keys[spot])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
-    return dealt.groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    sketched = crowd.join(full.select("set_key", "fine"), "set_key")
+    some = _dealt(sketched).groupBy("band", "i", "j").applyInArrow(partnered, "band long, set_key binary")
+    some = kept(some.distinct(), "partnered")
+    again = crowd.join(some, ["band", "set_key"], "left_semi").join(full, "set_key")
+    return kept(_dealt(again).groupBy("band", "i", "j").applyInArrow(joined, "a binary, b binary"), "forest")
 
 
 def _open_groups(crowd: DataFrame, most: int) -> DataFrame:
@@ -203,16 +277,17 @@ def _open_groups(crowd: DataFrame, most: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """The signatures, and ``set_key, component_id`` of every non-empty set; both written."""
+    """The signatures, and ``set_key, component_id, row`` of every non-empty set; both written. ``row`` names
+    the component's row that stays by ``doc_id, text_hash``."""
     signed = signatures(docs, k, percent)
     sets = kept(
         signed.filter("n_shingles > 0").groupBy("set_key").agg(
-            F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("doc_id").alias("low_id"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"), F.min("doc_id").alias("low_id"),
             F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("coords").alias("coords"),
         ),
         "sets",
     )
-    members = sets.select(F.explode("bands").alias("band"), "set_key", "n")
+    members = sets.select(F.explode("bands").alias("band"), "set_key", "n", "coords")
     most = band_count(percent) * sets.count()
     crowded = kept(members.groupBy("band").count().filter("count > 1").select("band"), "crowded", most)
     crowd = kept(members.join(crowded, "band"), "crowd", most).withColumn("root", F.col("set_key"))
@@ -231,21 +306,23 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
         size = crowd.groupBy("band").count().agg(F.sum("count").alias("rows"), F.sum(F.col("count") * F.col("count")).alias("squares")).first()
         if not size.rows:
             break
-        last = turn > HUB_ROUNDS or size.squares <= FEW * size.rows
-        pairs = _near_by_sketch(crowd, sets, percent) if last else _hub_pairs(crowd, turn, percent, most)
-        pairs = kept(pairs.join(met, ["a", "b"], "left_anti"), "pairs")
+        if turn > HUB_ROUNDS or size.squares <= FEW * size.rows:
+            found = _forest(crowd, texts, k, percent)
+            if not found.isEmpty():
+                roots = components(links.unionByName(found))
+            break
+        pairs = kept(_hub_pairs(crowd, turn, percent, most).join(met, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             found = confirmed(pairs, texts, k, percent)
             met = met.unionByName(pairs)
             if not found.isEmpty():
                 links = links.unionByName(found)
                 roots = components(links)
-        if last:
-            break
     count = sets.count()
-    rooted = kept(_by_root(sets.select("set_key", "low_id"), roots), "rooted", count)
-    lowest = kept(rooted.groupBy("root").agg(F.min("low_id").alias("component_id")), "lowest", count)
-    return signed, kept(rooted.join(lowest, "root").select("set_key", "component_id"), "near-components", count)
+    rooted = kept(_by_root(sets.select("set_key", "low_id", "row"), roots), "rooted", count)
+    lowest = kept(rooted.groupBy("root").agg(F.min("low_id").alias("component_id"), F.min("row").alias("row")), "lowest", count)
+    found = rooted.select("set_key", "root").join(lowest, "root")
+    return signed, kept(found.select("set_key", "component_id", "row"), "near-components", count)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -259,12 +336,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: the smallest id of each component."""
+    """The rows of ``docs`` that stay, all columns: one of each component, and those without a word."""
     signed, found = linked(docs, k, percent)
-    rows = signed.select("doc_id", "text_hash", "n_shingles", "set_key").join(found, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    stay = rows.filter(F.col("doc_id").eqNullSafe(component)).groupBy("doc_id", "text_hash").count()
-    stay = kept(stay.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "count"), "near-kept", signed.count())
+    named = found.select("row.doc_id", "row.text_hash").distinct()
+    wordless = signed.filter("n_shingles = 0").select("doc_id", "text_hash").distinct()
+    stay = kept(named.unionByName(wordless).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "near-kept", signed.count())
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__hash"))
-    out = docs.join(stay.drop("count"), same, "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]) if stay.filter("count > 1").limit(1).count() else out
+    out = docs.join(stay, same, "left_semi")
+    repeated = signed.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out

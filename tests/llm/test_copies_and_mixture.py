@@ -161,6 +161,37 @@ def test_bands_and_agreement_follow_the_similarity():
         assert sum(math.comb(128, n) * share**n * (1 - share) ** (128 - n) for n in range(least)) <= 1e-8
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_many_documents_around_a_passage_are_linked_by_a_forest(spark, monkeypatch, block):
+    """Most share a passage below the similarity; some chains of them reach it."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", 0)
+    rng = random.Random(9)
+    passage = " ".join(f"common{i}" for i in range(60))
+    rows = [(i, f"{passage} {' '.join(f'own{i}x{j}' for j in range(rng.randrange(20, 60)))}", None) for i in range(60)]
+    for i in range(0, 30, 3):
+        words = rows[i][1].split()
+        for step in (1, 2):
+            words = words[:-3] + [f"new{i}y{step}z{j}" for j in range(3)]
+            rows.append((100 * step + i, " ".join(words), None))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), 2).collect()}
+    assert got == {i: c for i, (_, c) in plain_components(rows, 2).items()}
+    assert len(set(got.values())) == 60
+
+
+def test_one_row_of_a_component_stays_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = [(None, f"{text} {x}", None) for x in ("a", "b", "c")]
+    shared = [(7, f"other {text[::-1]} {x}", None) for x in ("a", "b")]
+    mixed = [(None, f"mixed {text.upper()[3:]} {x}", None) for x in ("q", "r")] + [(9, f"mixed {text.upper()[3:]} s", None)]
+    blank = [(None, None, None), (None, "", None), (3, " ", None)]
+    stay = Counter((r.doc_id, r.text) for r in minhash.survivors(frame(spark, near + shared + mixed + blank), k=5).collect())
+    parts = [{(i, t) for i, t, _ in group} for group in (near, shared, mixed)]
+    assert sum(stay.values()) == len(stay) == 3 + 3
+    assert all(sum(row in part for row in stay) == 1 for part in parts)
+    assert any(i == 9 for i, _ in stay) and all((i, t) in stay for i, t, _ in blank)
+
+
 def test_near_copies_of_nothing(spark):
     empty = frame(spark, []).limit(0)
     assert minhash.near_duplicates(empty).count() == 0 and minhash.survivors(empty).count() == 0
