@@ -56,6 +56,9 @@ def manifest_flag(column: Column) -> Column:
 
 
 def optional_number(column: Column) -> Column:
-    """Null, blank, ``NA`` and NaN become null."""
+    """Null, blank, ``NA`` and NaN become null; any other text that is no number stops the job."""
     text = F.trim(column.cast("string"))
-    return number(F.when(~text.isin("", "NA"), text).try_cast("double"))
+    given = F.when(~text.isin("", "NA"), text)
+    value = given.try_cast("double")
+    junk = F.raise_error(F.concat(F.lit("not a number: "), given)).cast("double")
+    return number(F.when(given.isNotNull() & value.isNull(), junk).otherwise(value))

@@ -43,6 +43,10 @@ def count_cells(classified: DataFrame, keys: list[str] = EVALUATION_KEY) -> Data
     return classified.groupBy(*keys).agg(*cell_aggregates())
 
 
+#: Columns of stored evidence that are read back as booleans by the projection's own rule.
+STAGED_FLAGS = ["array_source_allowed", "imputed_source_allowed", "annotation_reliable", "consent_ok"]
+
+
 def staged_evidence(stored: DataFrame) -> DataFrame:
     """Classified rows read back from text storage: flags as booleans again, so that
     :func:`project_cells` can run over them. Missing source flags fall back to membership."""

@@ -321,7 +321,8 @@ def _scenario_sql(s) -> str:
       count(*) FILTER (WHERE NOT {inc}) AS excluded, count(*) FILTER (WHERE {inc} AND flags <> '') AS flagged FROM o_cls GROUP BY {KEY}"""
 
 
-oracle("threshold_projection", " UNION ALL ".join(_scenario_sql(s) for s in dv.SCENARIOS), "o_cls")
+for _name in ("threshold_projection", "staged_projection"):
+    oracle(_name, " UNION ALL ".join(_scenario_sql(s) for s in dv.SCENARIOS), "o_cls")
 oracle("quality_sensitivity", " UNION ALL ".join(
     f"SELECT {KEY}, 'DR2 >= {d:.2f}' AS threshold, {MOVES} AS suppressed, CASE WHEN NOT {MOVES} THEN {token(f't{i}')} END AS client_total FROM o_steps"
     for i, d in enumerate(DR2_STEPS)), "o_steps")

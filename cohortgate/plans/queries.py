@@ -29,6 +29,7 @@ from cohortgate.operators import (
 )
 from cohortgate.operators.evidence import EVALUATION_KEY
 from cohortgate.plans import driver_views as dv
+from cohortgate.plans import staged
 from cohortgate.plans.feasibility import Evaluation
 from cohortgate.policy import policy_violations
 from cohortgate.sources import layout, variant_lists, vcf
@@ -148,6 +149,22 @@ def threshold_projection(spark, sf_dir):
     return counts.project_cells(evaluation(spark, sf_dir).classified, POLICY, dv.SCENARIOS)
 
 
+@query
+def staged_projection(spark, sf_dir):
+    """The projection over classified evidence that was stored as text by one run and opened by another."""
+    run = evaluation(spark, sf_dir)
+    inputs = {name: getattr(run.inputs, name) for name in ("participants", "genotypes", "sample_qc", "manifest", "requests")}
+    digest_ = staged.input_digest(POLICY, **inputs)
+    store = staged.StageStore(spark, shared_path(spark, "stages"), text=True)
+    store.reused("classified", digest_, lambda: run.classified)
+    stored = staged.StageStore(spark, store.path, text=True).open("classified", digest_, run.classified.schema)
+    types = {f.name: f.dataType.simpleString() for f in run.classified.schema}
+    plain = [name for name in types if name not in counts.STAGED_FLAGS]
+    typed = stored.withColumns({name: F.col(f"`{name}`").cast(types[name]) for name in plain})
+    # Empty text is null in a text file; flags are compared as text.
+    return counts.project_cells(counts.staged_evidence(typed.fillna("", ["flags"])), POLICY, dv.SCENARIOS)
+
+
 @query
 def quality_sensitivity(spark, sf_dir):
     projected = counts.project_cells(
@@ -907,11 +924,11 @@ def _as_lines(export: tuple[DataFrame, DataFrame]) -> DataFrame:
 
 
 def _array_lines(spark, sf_dir) -> DataFrame:
-    return _as_lines(vcf.array_export(dv.chip_genotypes(spark, sf_dir), _sites(spark, sf_dir)))
+    return written(_as_lines(vcf.array_export(dv.chip_genotypes(spark, sf_dir), _sites(spark, sf_dir))), "array-lines")
 
 
 def _imputed_lines(spark, sf_dir) -> DataFrame:
-    return _as_lines(vcf.imputed_export(dv.chip_genotypes(spark, sf_dir), _sites(spark, sf_dir)))
+    return written(_as_lines(vcf.imputed_export(dv.chip_genotypes(spark, sf_dir), _sites(spark, sf_dir))), "imputed-lines")
 
 
 @query

@@ -16,7 +16,7 @@ from cohortgate.functions.genotype import chrom_rank, cpra_part, gt_code, gt_tex
 from cohortgate.functions.numbers import decimal_text, significant
 from cohortgate.operators.catalogue import region_of
 from cohortgate.operators.frequency import array_allele_frequency
-from cohortgate.sources.durable import durable
+from cohortgate.sources.durable import durable, written
 from cohortgate.sources.tables import array_rows, imputed_rows
 
 FIXED_COLUMNS = 9
@@ -61,30 +61,51 @@ def site_lines(lines: DataFrame, cpras: DataFrame | None, allow_full_scan: bool
     return sites if cpras is None else sites.join(cpras.select("cpra").distinct(), "cpra", "left_semi")
 
 
-def sample_headers(lines: DataFrame) -> DataFrame:
-    """(file, samples): the sample names of each file in column order."""
-    header = lines.filter(F.col("value").startswith("#CHROM"))
+#: Files, and names of all distinct headers, that are sent to every task; beyond, joins shuffle.
+BROADCAST_FILES, BROADCAST_NAMES = 100_000, 2_000_000
+
+
+def sample_headers(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``file, header, width`` of every file, and ``header, place, participant_id`` of every distinct one.
+
+    Region files of one release name the same samples, so names are kept once for each digest of a
+    header, not for each file.
+    """
+    heads = written(
+        lines.filter(F.col("value").startswith("#CHROM")).select("file", F.sha2("value", 256).alias("header"), "value"), "vcf-headers"
+    )
     names = F.split("value", "\t")
-    return header.select(
-        "file", F.slice(names, FIXED_COLUMNS + 1, F.greatest(F.size(names), F.lit(1))).alias("samples")
+    files = heads.select("file", "header", F.greatest(F.size(names) - FIXED_COLUMNS, F.lit(0)).alias("width"))
+    listed = heads.dropDuplicates(["header"]).select(
+        "header", F.posexplode(F.slice(names, FIXED_COLUMNS + 1, F.greatest(F.size(names), F.lit(1)))).alias("place", "participant_id")
     )
+    return _sent(files, BROADCAST_FILES), _sent(listed, BROADCAST_NAMES)
+
+
+def _sent(rows: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def sample_calls(
     lines: DataFrame, cpras: DataFrame | None, allow_full_scan: bool = False
 ) -> DataFrame:
-    """(participant_id, cpra, format, call), one row per sample column."""
-    sites = site_lines(lines, cpras, allow_full_scan)
+    """(participant_id, cpra, format, call), one row per sample column.
+
+    Wide lines are never joined on their file: a line learns the digest of its header from a small
+    table, is opened in the task that reads it, and each call gets its name by (header, place). A line
+    with more or fewer calls than its header has names stops the job.
+    """
+    files, names = sample_headers(lines)
     fields = F.split("value", "\t")
-    wide = sites.select(
-        "file", "cpra", F.get(fields, F.lit(8)).alias("format"),
-        F.slice(fields, FIXED_COLUMNS + 1, F.greatest(F.size(fields), F.lit(1))).alias("calls"),
-    ).join(sample_headers(lines), "file")
-    return wide.select(
-        "cpra", "format", F.inline(F.arrays_zip(
-            F.col("samples").alias("participant_id"), F.col("calls").alias("call")
-        )),
+    calls = F.slice(fields, FIXED_COLUMNS + 1, F.greatest(F.size(fields), F.lit(1)))
+    wide = site_lines(lines, cpras, allow_full_scan).join(files, "file").select(
+        "cpra", F.get(fields, F.lit(8)).alias("format"), "header",
+        F.when(F.size(calls) == F.col("width"), calls).otherwise(
+            F.array(F.raise_error(F.concat(F.lit("calls and samples differ in number: "), F.col("cpra"))).cast("string"))
+        ).alias("calls"),
     )
+    opened = wide.select("cpra", "format", "header", F.posexplode("calls").alias("place", "call"))
+    return opened.join(names, ["header", "place"]).select("participant_id", "cpra", "format", "call")
 
 
 def _subfield(name: str) -> Column:
@@ -316,8 +337,9 @@ def header_lines(blocks: DataFrame) -> DataFrame:
 def array_export(genotypes: DataFrame, sites: DataFrame, per_block: int = SAMPLES_PER_BLOCK) -> tuple[DataFrame, DataFrame]:
     """(header lines, data lines) of the array file. ``sites`` is (cpra, chrom, pos, ref, alt)."""
     array = genotypes.filter(F.col("source") == "array")
-    blocks = sample_blocks(array.join(sites, "cpra", "left_semi"), per_block)
-    calls = array.join(sites, "cpra").withColumn("call", gt_text(F.col("gt_code")))
+    # Written once: samples, variants and lines come from the same calls.
+    calls = written(array.join(sites, "cpra").withColumn("call", gt_text(F.col("gt_code"))), "vcf-calls")
+    blocks = sample_blocks(calls, per_block)
     return header_lines(blocks), call_lines(calls, blocks, "GT", "./.")
 
 
@@ -335,10 +357,10 @@ def probability_triplet(dosage: Column, max_gp: Column) -> Column:
 def imputed_export(genotypes: DataFrame, sites: DataFrame, per_block: int = SAMPLES_PER_BLOCK) -> tuple[DataFrame, DataFrame]:
     """(header lines, data lines) of the imputed file, GT and GP rebuilt from dosage and max GP."""
     imputed = genotypes.filter(F.col("source") == "imputed")
-    blocks = sample_blocks(imputed.join(sites, "cpra", "left_semi"), per_block)
     best = F.greatest(F.lit(0), F.least(F.lit(2), F.bround("dosage"))).cast("int")
     call = F.concat_ws(":", gt_text(best), probability_triplet(F.col("dosage"), F.col("max_gp")))
-    calls = imputed.join(sites, "cpra").withColumn("call", call)
+    calls = written(imputed.join(sites, "cpra").withColumn("call", call), "vcf-calls")
+    blocks = sample_blocks(calls, per_block)
     return header_lines(blocks), call_lines(calls, blocks, "GT:GP", "0/0:1.0,0.0,0.0")
 
 

@@ -64,6 +64,45 @@ def test_pvcf_round_trip_on_disk(spark, tmp_path, per_block, region_bases):
         vcf.parse_array(lines, None)
 
 
+def test_files_of_different_samples(spark, monkeypatch):
+    """Each file's calls get its own names, also where names are too many to be sent to all tasks."""
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"])
+
+    def line(cpra, *calls):
+        c, p, r, a = cpra.split(":")
+        return "\t".join([c, p, cpra, r, a, ".", ".", ".", "GT", *calls])
+
+    rows = [
+        ("one", "##meta"), ("one", f"{head}\tA\tB\tC"), ("one", line("1:5:A:C", "0/1", "1/1", "./.")),
+        ("two", f"{head}\tD\tA"), ("two", line("2:6:G:T", "0/0", "0/1")), ("two", line("2:7:G:T", "1/1", "0/0")),
+        ("three", f"{head}\tA\tB\tC"), ("three", line("3:1:A:T", "1|0", "0/0", "0/0")), ("none", head), ("none", line("4:1:A:T")),
+    ]
+    lines = cohorts.table(spark, rows, "file string, value string")
+    want = {
+        ("A", "1:5:A:C", 1), ("B", "1:5:A:C", 2), ("C", "1:5:A:C", -1), ("D", "2:6:G:T", 0), ("A", "2:6:G:T", 1),
+        ("D", "2:7:G:T", 2), ("A", "2:7:G:T", 0), ("A", "3:1:A:T", 1), ("B", "3:1:A:T", 0), ("C", "3:1:A:T", 0),
+    }
+    for most in (1000, 0):
+        monkeypatch.setattr(vcf, "BROADCAST_NAMES", most)
+        monkeypatch.setattr(vcf, "BROADCAST_FILES", most)
+        got = vcf.parse_array(lines, None, allow_full_scan=True)
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    headers = vcf.sample_headers(lines)[1]
+    assert headers.select("header").distinct().count() == 2
+    short = lines.unionByName(cohorts.table(spark, [("two", line("2:8:G:T", "0/0"))], "file string, value string"))
+    with pytest.raises(Exception, match="differ in number"):
+        vcf.parse_array(short, None, allow_full_scan=True).collect()
+
+
+def test_junk_numbers_stop(spark):
+    from cohortgate.functions import coerce
+
+    frame = cohorts.table(spark, [("1.5",), (" 2 ",), ("NA",), ("",), (None,), ("NaN",), ("1e-3",)], "t string")
+    assert [r[0] for r in frame.select(coerce.optional_number(F.col("t"))).collect()] == [1.5, 2.0, None, None, None, None, 0.001]
+    with pytest.raises(Exception, match="not a number: abc"):
+        cohorts.table(spark, [("abc",)], "t string").select(coerce.optional_number(F.col("t"))).collect()
+
+
 def test_summary_and_combined_manifest(spark):
     lines = cohorts.table(spark, [
         ("s", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"),
