@@ -13,8 +13,8 @@ queries of bounded size meets each block once, which gives at most k rows per qu
 a ranked window over these gives the answer.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
-vectors of different lengths do not meet; quantised components stop at plus and minus 2**26, so
-that scores fit a long; rows with the query's own id are not its candidates; repeated query rows
+vectors of different lengths do not meet; a component whose quantised value does not fit a long, or an
+answer whose score does not, stops the job, since no right long exists for it; rows with the query's own id are not its candidates; repeated query rows
 are answered once; null ids take no part. Other columns are neither read nor changed.
 """
 
@@ -32,16 +32,20 @@ from pyspark.sql import functions as F
 
 from cohortgate.llm.tables import kept
 
-LIMIT = 1 << 26
 #: Rows of a block of the index, and queries of a group.
-BLOCK_ROWS, GROUP_QUERIES = 32_768, 64
+BLOCK_ROWS, GROUP_QUERIES = 32_768, 512
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """``vec_id, q``: floor(scale * x) of each component, rows that take part only."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite)
-    one = lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit(LIMIT)), F.lit(-LIMIT)).cast("int")
+
+    def one(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        wide = F.raise_error(F.lit("a quantised component does not fit a long")).cast("long")
+        return F.when(F.abs(scaled) < float(1 << 63), F.floor(scaled).cast("long")).otherwise(wide)
+
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", one).alias("q"))
 
 
@@ -58,21 +62,21 @@ class SlicedBlock:
         order = np.argsort(ids, kind="stable")
         ids, values = ids[order], values[order].astype(np.int64)
         low = values.min(axis=0)
-        above = values - low
+        above = values.astype(np.uint64) - low.astype(np.uint64)  # right also where the span passes 2**63
         bits = np.array([int(m).bit_length() for m in above.max(axis=0)], np.int32)
         words = -(-len(ids) // 64)
         rows = []
         for d, count in enumerate(bits):
             for b in range(count):
                 packed = np.zeros(words * 8, np.uint8)
-                on = np.packbits((above[:, d] >> b) & 1, bitorder="little")
+                on = np.packbits(((above[:, d] >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), bitorder="little")
                 packed[: len(on)] = on
                 rows.append(packed.view(np.uint64))
         return cls(ids, low, bits, np.array(rows, np.uint64).reshape(len(rows), words))
 
     def scores(self, query: np.ndarray) -> tuple[int, list[np.ndarray]]:
         """A constant, and the slices (least significant first) that are to be added to it."""
-        constant = int(query @ self.low)
+        constant = sum(map(int.__mul__, query.tolist(), self.low.tolist()))
         places: list[list[np.ndarray]] = []
         for d, q in enumerate(query.tolist()):
             source = self.slices
@@ -198,7 +202,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
             made = SlicedBlock(ids, np.frombuffer(one["low"], np.int64), np.frombuffer(one["bits"], np.int32), np.frombuffer(one["slices"], np.uint64).reshape(-1, words))
             for own, tag, q in zip(ask["vec_id"], ask["key"], ask["q"], strict=True):
                 query = np.asarray(q, np.int64).reshape(dims)
-                out += [(own, tag, vec, score) for vec, score in made.top(int(own), query, k)]
+                found = made.top(int(own), query, k)
+                if any(not -(1 << 63) <= score < 1 << 63 for _, score in found):
+                    raise OverflowError("a score does not fit a long")
+                out += [(own, tag, vec, score) for vec, score in found]
         return pd.DataFrame(out, columns=["query_id", "key", "vec_id", "score"]).astype("int64")
 
     found = blocks.groupBy("block", "group", "dims").cogroup(lists.groupBy("ask_block", "ask_group", "ask_dims")).applyInPandas(

@@ -18,7 +18,7 @@ from cohortgate.llm import bitslice, language, secrets, toxicity, urlrules
 
 def plain_top(rows, k):
     good = [
-        (i, [max(-bitslice.LIMIT, min(bitslice.LIMIT, math.floor(256 * x))) for x in v])
+        (i, [math.floor(256 * x) for x in v])
         for i, v, *_ in rows
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v)
     ]
@@ -37,7 +37,7 @@ def test_top_k(spark, block_rows):
     rows += [(200 + i, rows[3][1], "tie", 2) for i in range(9)]  # ties at the boundary
     rows += [(300, None, "", 0), (301, [], "", 0), (302, [1.0, None] + [0.0] * 4, "", 0), (350, [float("nan")] * 6, "", 0)]
     rows += [(303, [float("inf")] * 6, "", 0), (304, [0.5, 0.25], "", 0), (400, [0.1, -0.2], "", 0), (None, [0.0] * 6, "", 0)]
-    rows += [(450, [0.0] * 6, "", 0), (500, [1e30] + [-3.0] * 5, "", 0), (50, rows[50][1], "x", 1)]
+    rows += [(450, [0.0] * 6, "", 0), (500, [1e6] + [-3.0] * 5, "", 0), (501, [2e6] * 6, "", 0), (550, [-3e5, 7e5] + [1e6] * 4, "", 0), (50, rows[50][1], "x", 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, q string, block int").repartition(3)
     got = bitslice.top_k(frame, F.col("vec_id") % 50 == 0, 5, 256, block_rows).collect()
     unique = {r[0]: r for r in rows if r[0] is not None}
@@ -50,6 +50,23 @@ def test_top_k(spark, block_rows):
     assert {tuple(r) for r in clean.collect()} == plain_top(plain, 5)
 
 
+def test_wide_components():
+    """Scores near the ends of a long, and spans beyond it, are exact."""
+    rng = random.Random(8)
+    values = np.array([[rng.randrange(-(2**63), 2**63), rng.randrange(-(2**20), 2**20)] for _ in range(100)], np.int64)
+    made = bitslice.SlicedBlock.of(np.arange(100), values)
+    for query in (np.array([1, 0]), np.array([-1, 3]), np.array([0, -(2**40)]), np.array([2**62, -5])):
+        scores = sorted((-sum(map(int.__mul__, v, query.tolist())), i) for i, v in enumerate(values.tolist()) if i != 7)
+        assert made.top(7, query, 9) == [(i, -s) for s, i in scores[:9]]
+
+
+@pytest.mark.parametrize("value", [1e30, 1e9])
+def test_no_right_long_stops(spark, value):
+    frame = spark.createDataFrame([(i, [value, value]) for i in range(3)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        bitslice.top_k(frame, F.col("vec_id") % 50 == 0).collect()
+
+
 def test_top_k_of_nothing(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert bitslice.top_k(frame, F.col("vec_id") % 50 == 0).count() == 0
