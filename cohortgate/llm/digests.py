@@ -7,13 +7,15 @@ digested in the scan that reads it.
 
 Defined results: a null text counts as empty; texts are equal when identical after lower-casing
 A-Z only; a null ``doc_id`` is smaller than every other; of repeated rows with the surviving id
-and the same text one is kept, and different texts of one id (or without an id) all stay; an empty table gives an empty result. Other columns are neither read nor changed.
+and the same text one is kept, and different texts of one id (or without an id) all stay; texts are digested whole,
+whatever their length; an empty table gives an empty result. Other columns are neither read nor changed.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,20 +30,34 @@ def text_digest(text: Column) -> Column:
 class DigestIndex:
     """Digests seen so far with the document that stands for each.
 
-    ``path`` is where the index lives; an existing one is opened with the bucket count it was made
-    with. The same text arriving later is a copy of the one already in the index.
+    ``path`` is where the index lives. Its bucket count is stored beside it (``<path>.settings``): an
+    existing index is opened with that, and asking for another one is refused, since rows would be
+    looked for in the wrong files. The same text arriving later is a copy of the one already in the index.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        stored = self._stored_buckets()
+        if stored and buckets and stored != buckets:
+            raise ValueError(f"the index at {self.path} has {stored} buckets, not {buckets}")
+        self.buckets = stored or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if not stored:
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.json(f"{self.path}.settings")
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.table} (digest BINARY, doc_id BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def _stored_buckets(self) -> int | None:
+        try:
+            return self.spark.read.schema("buckets int").json(f"{self.path}.settings").first().buckets
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
