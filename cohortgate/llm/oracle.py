@@ -95,7 +95,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN r ON k.k
 
 ORACLE["op9_source_mixing"] = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
 ), w AS (
@@ -108,11 +108,15 @@ WITH d AS (
 ), v AS (SELECT arg_min(level, turn) AS level FROM l WHERE level <= ratio),
 t AS (SELECT l.source, l.source_size, least(l.cap::DOUBLE, v.level * l.weight::DOUBLE) AS target FROM l, v),
 r AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':7'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate, digest,
+    count(*) OVER (PARTITION BY doc_id, d.source, digest) AS n, row_number() OVER (PARTITION BY doc_id, d.source, digest) AS turn
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), x AS (
+  SELECT *, n::DOUBLE * (rate - floor(rate)) AS part,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || digest || ':7'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM r
 )
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+SELECT doc_id, size, source_size, target,
+  (size * (floor(rate) + CASE WHEN turn <= floor(part) + CASE WHEN u < part - floor(part) THEN 1 ELSE 0 END THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
 """
 
 ORACLE["op11_nra_ranked_search"] = r"""

@@ -77,7 +77,7 @@ def op8_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = F.col("__mix")
     taken = (mix["copies"] * mix["size"]).cast("long").alias("taken")
-    mixed = mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.copies(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", mix["size"].alias("size"), mix["source_size"].alias("source_size"), mix["target"].alias("target"), taken)
 
 

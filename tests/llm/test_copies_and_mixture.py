@@ -73,6 +73,18 @@ def test_index_persists(spark, tmp_path):
     assert {(bytes(r.digest), r.doc_id) for r in again.rows().collect()} == {(b"a", 5), (b"b", 2), (b"c", 3)}
 
 
+@pytest.mark.parametrize("reopened", [None, 8])
+def test_index_is_reopened_with_its_own_buckets(spark, tmp_path, reopened):
+    path = str(tmp_path / "index")
+    arrival = spark.range(100).select(F.col("id").cast("string").cast("binary").alias("digest"), F.col("id").alias("doc_id"))
+    digests.DigestIndex(spark, path, 8).absorb(arrival)
+    with pytest.raises(ValueError, match="8 buckets, not 4"):
+        digests.DigestIndex(spark, path, 4)
+    again = digests.DigestIndex(spark, path, reopened)
+    again.absorb(arrival)
+    assert again.buckets == 8 and again.rows().count() == 100
+
+
 # --- near copies -------------------------------------------------------------------------------
 
 
@@ -183,7 +195,7 @@ def test_one_row_of_a_component_stays_without_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     near = [(None, f"{text} {x}", None) for x in ("a", "b", "c")]
     shared = [(7, f"other {text[::-1]} {x}", None) for x in ("a", "b")]
-    mixed = [(None, f"mixed {text.upper()[3:]} {x}", None) for x in ("q", "r")] + [(9, f"mixed {text.upper()[3:]} s", None)]
+    mixed = [(i, f"mixed {text.replace('w', 'm')} {x}", None) for i, x in ((None, "q"), (None, "r"), (9, "s"))]
     blank = [(None, None, None), (None, "", None), (3, " ", None)]
     stay = Counter((r.doc_id, r.text) for r in minhash.survivors(frame(spark, near + shared + mixed + blank), k=5).collect())
     parts = [{(i, t) for i, t, _ in group} for group in (near, shared, mixed)]
@@ -298,6 +310,22 @@ def test_mixture(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_or_with_one_id_are_drawn_apart(spark):
+    rng = random.Random(3)
+    rows = [(None if i % 3 else 5, f"text {i} " * rng.randrange(1, 9), "a") for i in range(1200)] + [(i, "w " * 8, "b") for i in range(2000)]
+    rows += [(None, "same " * 6, "a")] * 301 + [(8, "same again", "b")] * 40
+    docs = frame(spark, rows)
+    got = mixing.copies(docs).select("source", "__mix.*").collect()
+    assert len(got) == len(rows)
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) < 0.06 * own[0].target
+    out = Counter((r.doc_id, r.text) for r in mixing.mixed(docs).collect())
+    assert sum(out.values()) == sum(r.copies for r in got)
+    again = Counter((r.doc_id, r.text) for r in mixing.mixed(docs.repartition(7)).collect())
+    assert out == again
+
+
 def test_targets_with_many_caps():
     assert plain_targets({"a": 1, "b": 1, "c": 100}) == {"a": 3.0, "b": 3.0, "c": 96.0}
 
