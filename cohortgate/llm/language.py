@@ -6,7 +6,10 @@ carry the fewest bits per character wins. A phrase costs the logarithm of the sa
 samples of unequal length compare fairly.
 
 Greedy parsing only walks forward, so each automaton becomes one table of transitions in which a
-missing one counts a phrase and restarts at the root. Texts are stepped together, a column of
+missing one counts a phrase and restarts at the root. While states times letters of all languages stay
+within ``DENSE_CELLS`` the table is full; a language beyond it (many languages, or thousands of
+letters) keeps its transitions sorted by state and letter, about two a state, and looks them up. Both
+give the same phrases, and memory grows with the samples alone. Texts are stepped together, a column of
 characters at a time, over all languages. A phrase also ends every ``BLOCK`` characters, which
 costs all languages the same and lets very long texts be stepped in parallel.
 
@@ -31,10 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortgate.llm.tables import kept, small_enough
+
 UNDETERMINED = "und"
 SEED = 11
 #: Characters after which a phrase ends in any case, and characters that are stepped together.
 BLOCK, BATCH_CHARS = 1024, 16_000_000
+#: Cells of four bytes that the full tables of all languages hold together.
+DENSE_CELLS = 48_000_000
 _SPACE = 1
 LETTER, NO_LETTERS = r"\p{L}", r"[^\p{L}]+"
 
@@ -47,7 +54,9 @@ def learned_samples(
     usable = usable.select(F.col("doc_id").alias("id"), "lang", "text", F.xxhash64("text", F.lit(SEED)).alias("hash"))
     distinct = usable.groupBy("lang", "hash").agg(F.min("id").alias("id"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
-    chosen = distinct.withColumn("rank", rank).filter(F.col("rank") <= sample_docs)
+    chosen = kept(distinct.withColumn("rank", rank).filter(F.col("rank") <= sample_docs), "language-samples")
+    if small_enough(chosen):  # then texts are not shuffled to find the few that are taken
+        chosen = F.broadcast(chosen)
     key = [usable["id"].eqNullSafe(chosen["id"]), usable["lang"] == chosen["lang"], usable["hash"] == chosen["hash"]]
     dense = F.regexp_replace("text", NO_LETTERS, " ")
     rows = usable.join(chosen, key, "left_semi").select("lang", "hash", dense.alias("text"))
@@ -70,8 +79,8 @@ def even_parts(texts: list[str], most: int) -> list[str]:
     return [part[i] for i in range(len(texts)) if part[i]]
 
 
-def suffix_automaton(symbols: np.ndarray, size: int) -> np.ndarray:
-    """Transitions, states × alphabet, -1 where there is none."""
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of every state; the root is state 0."""
     links, lengths, nexts = [-1], [0], [{}]
     last = 0
     for c in symbols.tolist():
@@ -97,46 +106,76 @@ def suffix_automaton(symbols: np.ndarray, size: int) -> np.ndarray:
                     at = links[at]
                 links[to] = links[here] = copy
         last = here
-    table = np.full((len(nexts), size), -1, np.int32)
-    for state, moves in enumerate(nexts):
-        if moves:
-            table[state, list(moves)] = list(moves.values())
-    return table
+    return nexts
+
+
+class SparseMoves:
+    """Transitions sorted by state and letter."""
+
+    def __init__(self, nexts: list[dict[int, int]], size: int):
+        self.size = size
+        counts = np.array([len(moves) for moves in nexts])
+        letters = np.fromiter((c for moves in nexts for c in sorted(moves)), np.int64, counts.sum())
+        self.keys = np.repeat(np.arange(len(nexts), dtype=np.int64), counts) * size + letters
+        self.targets = np.fromiter((moves[c] for moves in nexts for c in sorted(moves)), np.int64, counts.sum())
+        self.restart = np.zeros(size, np.int64)
+        self.restart[list(nexts[0])] = list(nexts[0].values())
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase ended."""
+        if not len(self.keys):
+            return np.zeros_like(state), np.ones(len(state), bool)
+        wanted = state * self.size + letter
+        place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        there = self.keys[place] == wanted
+        return np.where(there, self.targets[place], self.restart[letter]), ~there
 
 
 class CrossParser:
     """The automata of all languages in one table, and the alphabet they share."""
 
     def __init__(self, samples: dict[str, str]):
-        self.languages = [lang for lang, text in samples.items() if any(map(str.isalpha, text))]
-        lowered = {lang: samples[lang].lower() for lang in self.languages}
+        learned = [lang for lang, text in samples.items() if any(map(str.isalpha, text))]
+        lowered = {lang: samples[lang].lower() for lang in learned}
         letters = sorted({c for text in lowered.values() for c in text if c.isalpha()})
         #: 0 pads, 1 is anything between words, 2 a letter that no sample has.
         self.size = len(letters) + 3
         symbol = {c: k + 3 for k, c in enumerate(letters)}
-        points = np.full(0x110000, _SPACE, np.uint16)
+        points = np.full(0x110000, _SPACE, np.uint32)
         for point in range(0x110000):
             c = chr(point)
             if c.isalpha():
                 low = c.lower()
                 points[point] = symbol.get(low[0], 2)
         self.points = points
-        tables, roots, costs, base = [], [], [], 0
-        for lang in self.languages:
-            moves = suffix_automaton(self.symbols(lowered[lang])[0], self.size)
-            root = moves[0].copy()
-            restart = np.where(root >= 0, root, 0)
-            full = np.where(moves >= 0, moves, restart[None, :])
-            full = (full + base) * self.size
-            full = np.where(moves >= 0, full, ~full)  # a negative entry ends a phrase
-            full[:, 0] = (np.arange(len(moves)) + base) * self.size  # padding stays
-            tables.append(full.ravel().astype(np.int32))
+        tables, roots, base = [], [], 0
+        full, sparse, costs = [], [], {}
+        self.sparse: list[SparseMoves] = []
+        for lang in learned:
+            nexts = suffix_automaton(self.symbols(lowered[lang])[0])
+            costs[lang] = np.log2(max(2, len(nexts)))
+            if (base + len(nexts)) * self.size > DENSE_CELLS:
+                sparse.append(lang)
+                self.sparse.append(SparseMoves(nexts, self.size))
+                continue
+            moves = np.full((len(nexts), self.size), -1, np.int32)
+            for state, row in enumerate(nexts):
+                if row:
+                    moves[state, list(row)] = list(row.values())
+            restart = np.where(moves[0] >= 0, moves[0], 0)
+            table = (np.where(moves >= 0, moves, restart[None, :]) + base) * self.size
+            table = np.where(moves >= 0, table, ~table)  # a negative entry ends a phrase
+            table[:, 0] = (np.arange(len(moves)) + base) * self.size  # padding stays
+            full.append(lang)
+            tables.append(table.ravel().astype(np.int32))
             roots.append(base * self.size)
-            costs.append(np.log2(max(2, len(moves))))
             base += len(moves)
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, np.int32)
-        self.costs = np.array(costs)
+        #: In the order of the columns of ``bits``; ties are told by name.
+        self.languages = [*full, *sparse]
+        self.by_name = np.argsort(np.array(self.languages, object), kind="stable") if learned else np.zeros(0, np.int64)
+        self.costs = np.array([costs[lang] for lang in self.languages])
 
     def symbols(self, text: str) -> tuple[np.ndarray, bool]:
         """Symbols with runs between words as one, and whether there is any letter."""
@@ -158,17 +197,24 @@ class CrossParser:
         sizes = np.minimum(BLOCK, lengths[owner] - within * BLOCK)
         order = np.argsort(-sizes, kind="stable")
         owner, starts, sizes = owner[order], starts[order], sizes[order]
-        flat = np.concatenate([*texts, np.zeros(0, np.uint16)]).astype(np.int32)
+        flat = np.concatenate([*texts, np.zeros(0, np.uint32)]).astype(np.int32)
         state = np.repeat(self.roots[:, None], len(owner), axis=1)
-        ended = np.ones((len(self.roots), len(owner)), np.int32)
+        ended = np.ones((len(self.languages), len(owner)), np.int32)
+        dense = len(self.roots)
+        looked = np.zeros((len(self.sparse), len(owner)), np.int64)
         for step in range(int(sizes[0]) if len(sizes) else 0):
             live = int(np.searchsorted(-sizes, -step, side="left"))
-            moved = self.table[state[:, :live] + flat[starts[:live] + step]]
-            sign = moved >> 31  # -1 where a phrase ended
-            ended[:, :live] -= sign
-            state[:, :live] = moved ^ sign
-        phrases = np.zeros((len(texts), len(self.roots)))
-        for k in range(len(self.roots)):
+            letter = flat[starts[:live] + step]
+            if dense:
+                moved = self.table[state[:, :live] + letter]
+                sign = moved >> 31  # -1 where a phrase ended
+                ended[:dense, :live] -= sign
+                state[:, :live] = moved ^ sign
+            for k, moves in enumerate(self.sparse):
+                looked[k, :live], over = moves.step(looked[k, :live], letter)
+                ended[dense + k, :live] += over
+        phrases = np.zeros((len(texts), len(self.languages)))
+        for k in range(len(self.languages)):
             phrases[:, k] = np.bincount(owner, weights=ended[k], minlength=len(texts))
         return phrases * self.costs / np.maximum(lengths, 1)[:, None]
 
@@ -179,7 +225,7 @@ class CrossParser:
             if at == len(texts) or held > BATCH_CHARS:
                 if rows and self.languages:
                     bits = self.bits(parsed)
-                    best = bits.argmin(axis=1)
+                    best = self.by_name[bits[:, self.by_name].argmin(axis=1)]
                     for row, lang, rest in zip(rows, best, bits, strict=True):
                         others = np.delete(rest, lang)
                         names[row] = self.languages[lang]

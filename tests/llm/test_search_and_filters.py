@@ -99,6 +99,47 @@ def test_cross_parsing(spark):
     assert language.predicted(docs.limit(0), samples).count() == 0
 
 
+def plain_phrases(sample, text, block):
+    """Longest matches told by substring search, with a cut every ``block`` letters."""
+    count = 0
+    for low in range(0, len(text), block):
+        count, phrase = count + 1, ""
+        for c in text[low : low + block]:
+            if phrase + c in sample:
+                phrase += c
+            else:
+                count, phrase = count + 1, c if c in sample else ""
+    return count
+
+
+@pytest.mark.parametrize("cells", [48_000_000, 900, 0])
+def test_phrases_equal_plain_longest_matches(monkeypatch, cells):
+    monkeypatch.setattr(language, "DENSE_CELLS", cells)
+    monkeypatch.setattr(language, "BLOCK", 40)
+    rng = random.Random(2)
+    samples = {lang: "".join(rng.choice(letters) for _ in range(120)) for lang, letters in (("xx", "abc "), ("yy", "cde "), ("aa", "日月火 "))}
+    parser = language.CrossParser(samples)
+    texts = ["".join(rng.choice("abcde日月水 ") for _ in range(rng.randrange(1, 130))) for _ in range(60)]
+    texts = [" ".join(t.split()) for t in texts]
+    parsed = [parser.symbols(t)[0] for t in texts]
+    got = parser.bits(parsed) / parser.costs * np.maximum([len(t) for t in parsed], 1)[:, None]
+    for text, row, cut in zip(texts, got, parsed, strict=True):
+        for lang, phrases in zip(parser.languages, row, strict=True):
+            sample = "".join(c if c.isalpha() else " " for c in samples[lang])
+            assert len(cut) == len(text) and round(phrases) == plain_phrases(re.sub(" +", " ", sample).lstrip(), text, 40)
+    assert (len(parser.roots) < 3) == (cells < 1000) and len(parser.languages) == 3
+
+
+def test_thousands_of_letters():
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 5000)]
+    samples = {f"l{k}": "".join(rng.choice(letters[1000 * k : 1000 * k + 1000]) for _ in range(20_000)) for k in range(5)}
+    parser = language.CrossParser(samples)
+    assert len(parser.table) <= language.DENSE_CELLS and parser.sparse
+    texts = ["".join(rng.choice(letters[1000 * (i % 5) : 1000 * (i % 5) + 1000]) for _ in range(200)) for i in range(50)]
+    assert parser.predict(texts)[0] == [f"l{i % 5}" for i in range(50)]
+
+
 def test_samples_spread_over_texts_and_documents(spark):
     rng = random.Random(6)
     rows = [(i, "header " * 400 + f"body{'abcdefghij'[i % 10]} " * 4000, "aa", None, None, None) for i in range(40)]
