@@ -17,6 +17,7 @@ from cohortgate.fixed_values import (
 )
 from cohortgate.operators import counts, requests, results
 from cohortgate.plans import driver_views as dv
+from cohortgate.plans.reader_queries import DICTIONARIES
 from cohortgate.plans.queries import EMAIL, FILE_ROWS, LIST_ENTRIES, LIST_HEADERS, LIST_LINES, POLICY_ROWS
 
 P = dv.POLICY
@@ -816,3 +817,18 @@ def _with_prefix_roots(body: str, leaves: str) -> str:
 ORACLE["event_parent_roots"] = _with_prefix_roots("SELECT seq, parent_root FROM done", "o_leaves")
 ORACLE["run_event_parent_roots"] = _with_prefix_roots("SELECT seq, parent_root FROM done", "o_run_leaves")
 ORACLE["broken_chain"] = _with_prefix_roots("SELECT seq, repeat('0', 64) AS parent_root FROM done WHERE seq % 11 = 4", "o_run_leaves")
+
+_DICT = {name: f"({sel(columns, source)})" for name, (source, columns) in DICTIONARIES.items()}
+ORACLE["dictionaries_read"] = f"""SELECT d.entity, d.name, d.title, d.units, c.code, c.meaning, c.display_order FROM {_DICT['data']} d LEFT JOIN {_DICT['coding']} c USING (coding_name)
+    UNION ALL SELECT entity, NULL, description, NULL, NULL, NULL, NULL FROM {_DICT['entity']} e"""
+oracle("shaped_read", """SELECT participant_id, cpra, source, CASE WHEN source = 'array' AND gq < 3 AND gt_code >= 0 THEN NULL ELSE gt_code END AS gt_code, gq, call_rate, dosage,
+    CASE WHEN source = 'imputed' THEN greatest(1e0 - max_gp, max_gp, 0e0) END AS max_gp FROM v_genotype""", "v_genotype")
+ORACLE["region_sample_qc_read"] = ORACLE["sample_qc_read"]
+oracle("returns_read", f"""SELECT x.study_id, m.cpra, CASE WHEN bad_run THEN 'RUN-000000000000' ELSE {_RUN.replace("cpra,", "m.cpra,").replace("study_id,", "x.study_id,")} END AS run_id, eligible_count,
+    phenotype_definition_id, icd10_codeset_label, icd10_codeset_version, linked_record_scope, reviewer, return_timestamp, sign_off_status, caveat AS caveats
+    FROM v_returns x JOIN v_wide m ON x.v = m.k""", "v_returns", "v_wide")
+oracle("checkpoints_read", """SELECT checkpoint, 'reviewer one' AS reviewer, '2026-01-01T00:00:00+00:00' AS timestamp, study_id AS artefacts_checked, decision,
+    concat('line one', chr(10), 'of ', study_id) AS notes, CAST(NULL AS VARCHAR) AS follow_up_owner, 0 AS before FROM v_check""", "v_check")
+ORACLE["ledger_read_leaves"] = ORACLE["run_event_leaves"]
+oracle("run_notifications", f"""SELECT study_id, cpra, {_RUN} AS run_id, true AS received_timestamp, 'awaiting_review' AS workflow_state, 'recontact service' AS owner,
+    '' AS due_date, '' AS eta, CAST(NULL AS VARCHAR) AS escalation_reason FROM v_requests""", "v_requests")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from cohortgate import schemas
 from cohortgate.functions import numbers
-from cohortgate.operators import frontier, ledger
+from cohortgate.functions.digest import run_id
+from cohortgate.functions.genotype import gt_text
+from cohortgate.operators import finalize, frontier, ledger
 from cohortgate.plans import driver_views as dv
 from cohortgate.plans.queries import QUERIES, _ledger_size, _leaves, query
-from cohortgate.sources import tables
+from cohortgate.sources import tables, vcf
 from cohortgate.sources.durable import shared_path
 
 __all__ = ["QUERIES"]
@@ -151,3 +153,102 @@ def ledger_appends(spark, sf_dir):
     states = spark.read.parquet(path)
     peaks = states.filter("kind = 'peak'").groupBy("total").agg(F.count(F.lit(1)).alias("peaks"))
     return frontier.roots(states).join(checks, "total").join(peaks, "total").select("total", "root", "consistent", "peaks")
+
+
+#: Dictionaries made from nations, regions and parts, with columns that the readers do not know.
+DICTIONARIES = {
+    "entity": ("region", {"entity": "r_name", "description": "concat('all of ', r_name)", "primary_key": "'key'", "unknown": "1"}),
+    "data": ("part", {
+        "entity": "p_brand", "name": "p_name", "type": "'string'", "primary_key_type": "''", "coding_name": "concat('c', CAST(p_size AS VARCHAR(20)))",
+        "title": "concat('title, ', p_name)", "units": "CAST(NULL AS VARCHAR(20))", "description": "concat('\"', p_type, '\"')",
+    }),
+    "coding": ("nation", {
+        "coding_name": "concat('c', CAST(n_nationkey + 1 AS VARCHAR(20)))", "code": "CAST(n_nationkey AS VARCHAR(20))", "meaning": "n_name",
+        "display_order": "CAST(n_regionkey AS VARCHAR(20))", "parent_code": "''",
+    }),
+}
+
+
+@query
+def dictionaries_read(spark, sf_dir):
+    """Fields of the data dictionary with the labels of their codings."""
+    path = shared_path(spark, "dictionaries")
+    for name, (source, columns) in DICTIONARIES.items():
+        rows = dv.table(spark, sf_dir, source).selectExpr(*[f"{sql} AS `{column}`" for column, sql in columns.items()])
+        rows.write.option("header", True).option("escape", '"').csv(f"{path}/{name}_dictionary.csv")
+    entity, data, coding = tables.read_dictionaries(spark, path)
+    coded = data.join(coding, "coding_name", "left").select("entity", "name", "title", "units", "code", "meaning", "display_order")
+    return coded.unionByName(entity.select("entity", F.col("description").alias("title")), allowMissingColumns=True)
+
+
+@query
+def shaped_read(spark, sf_dir):
+    """Call files with one text or three probabilities a call, through the registered reader."""
+    path = shared_path(spark, "shaped")
+    calls = dv.genotypes(spark, sf_dir)
+    text = F.when(F.col("gt_code") < 0, "./.").when(F.col("gq") < 3, "0|1").otherwise(gt_text(F.col("gt_code")))
+    array = calls.filter("source = 'array'").select("participant_id", "cpra", text.alias("gt"), "gq", "call_rate")
+    rest = F.lit(1.0) - F.col("max_gp")
+    imputed = calls.filter("source = 'imputed'").select(
+        "participant_id", "cpra", "dosage", rest.alias("gp_00"), F.col("max_gp").alias("gp_01"), F.lit(0.0).alias("gp_11")
+    )
+    for rows, name in ((array, "array_calls_vcf.tsv"), (imputed, "imputed_calls_bgen.tsv")):
+        rows.write.option("header", True).option("sep", "\t").csv(f"{path}/{name}")
+    return tables.read_genotype_source(spark, "shaped_tsv", path)
+
+
+@query
+def region_sample_qc_read(spark, sf_dir):
+    path = shared_path(spark, "region-sample-qc")
+    rows = dv.sample_qc(spark, sf_dir).withColumnRenamed("array_call_rate", "call_rate").withColumn("genotyping_batch", F.lit("b"))
+    rows.write.option("header", True).option("sep", "\t").csv(path)
+    return vcf.read_region_sample_qc(spark, path)
+
+
+@query
+def returns_read(spark, sf_dir):
+    path = f"{shared_path(spark, 'returns')}.jsonl"
+    tables.write_json(dv.returns(spark, sf_dir).select(*schemas.RETURNS.fieldNames()), path)
+    rows = tables.read_returns(spark, path)
+    return rows.withColumn("caveats", F.array_join("caveats", "|"))
+
+
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dv.checkpoints(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    return rows.select(
+        "checkpoint", F.lit("reviewer one").alias("reviewer"), F.lit("2026-01-01T00:00:00+00:00").alias("timestamp"),
+        F.array("study_id").alias("artefacts_checked"), "decision", F.concat(F.lit("line one\nof "), "study_id").alias("notes"), none.alias("follow_up_owner"),
+    )
+
+
+@query
+def checkpoints_read(spark, sf_dir):
+    """Reviews appended in two steps; before the first there are none."""
+    path = shared_path(spark, "checkpoints")
+    rows, before = _reviews(spark, sf_dir), tables.read_checkpoints(spark, path).count()
+    for decided in (True, False):
+        tables.append_json_lines(rows.filter((F.col("decision") == "pass") == decided), path)
+    read = tables.read_checkpoints(spark, path)
+    return read.withColumn("artefacts_checked", F.array_join("artefacts_checked", "|")).withColumn("before", F.lit(before))
+
+
+@query
+def ledger_read_leaves(spark, sf_dir):
+    """Leaves of run events that were appended to the ledger in two steps and read back."""
+    path = shared_path(spark, "ledger")
+    events = _run_events(spark, sf_dir)
+    for part in (1, 0):
+        tables.append_json_lines(events.filter(F.col("seq") % 2 == part), path)
+    read = tables.read_ledger(spark, path)
+    return ledger.event_leaves(read, ledger.event_json(read))
+
+
+@query
+def run_notifications(spark, sf_dir):
+    runs = dv.requests(spark, sf_dir).select("study_id", "cpra", run_id(F.col("study_id"), F.col("cpra")).alias("run_id"))
+    notes = finalize.notifications(runs, "awaiting_review")
+    stamp = F.col("received_timestamp")
+    recent = F.abs(F.unix_timestamp(stamp, "yyyy-MM-dd'T'HH:mm:ssXXX") - F.unix_timestamp(F.current_timestamp())) < 3600
+    shaped = stamp.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\+00:00$") & recent
+    return notes.withColumn("received_timestamp", shaped)

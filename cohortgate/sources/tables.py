@@ -109,7 +109,8 @@ def read_dictionaries(spark: SparkSession, directory: str) -> tuple[DataFrame, D
 
 
 def read_returns(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RETURNS).option("multiLine", True).json(path)
+    """Returns from files of one record (or one array) each, or from JSON lines (``.jsonl``)."""
+    return spark.read.schema(schemas.RETURNS).option("multiLine", not path.endswith(".jsonl")).json(path)
 
 
 def _absent(spark: SparkSession, path: str) -> bool:
