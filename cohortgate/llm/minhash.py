@@ -13,8 +13,8 @@ class is compared with the group's hub, the least by hash, so a group of thousan
 makes as many pairs, not their square. Only pairs whose sketches agree are confirmed on full sets; links are joined to components.
 Classes that share a band but not a component meet other hubs of the group. In the end all that are
 still apart are compared inside the tasks, block by block: by sketch, then by a sketch of four times
-as many coordinates, then on full sets, which only classes with a possible partner are sent with. A
-task joins what it finds and hands on a spanning forest, so no more rows leave it than classes
+as many coordinates and on full sets, which only classes with a possible partner are sent with. A pair
+that shares several bands is compared in the first of them only. A task joins what it finds and hands on a spanning forest, so no more rows leave it than classes
 came in, however many documents share a passage. Texts of classes that share a band are taken out
 once, and no pair of texts is in memory but in slices of bounded bytes.
 
@@ -201,13 +201,23 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
 
 
+def _matrix(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
 def _partners(group: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of a block pair, each with the later places in other components that may be linked to it."""
+    """Places of a block pair, each with the later places in other components that may be linked to it.
+
+    Band values stand in the order of the bands, so the first band that two classes share is told by
+    comparing what stands before this group's; the pair belongs to the group of that band.
+    """
     roots = np.array(group.column("root").to_pylist(), object)
     sizes, own = group.column("n").to_numpy(), group.column("own").to_numpy()
     crossing = group.column("i")[0].as_py() != group.column("j")[0].as_py()
-    coords = np.frombuffer(b"".join(group.column("coords").to_pylist()), np.uint8).reshape(-1, BINS)
-    fine = np.frombuffer(b"".join(group.column("fine").to_pylist()), np.uint8).reshape(-1, LONG_BINS)
+    coords = _matrix(group.column("coords"), np.uint8, BINS)
+    bands_of = np.array(group.column("bands").to_pylist(), np.int64)
+    earlier = bands_of[:, : int(np.flatnonzero(bands_of[0] == group.column("band")[0].as_py())[0])]
+    fine = _matrix(group.column("fine"), np.uint8, LONG_BINS) if "fine" in group.column_names else None
     least, least_fine = least_agreement(percent), least_agreement(percent, LONG_BINS)
     for at in range(len(roots) - 1):
         fits = 100 * np.minimum(sizes[at + 1 :], sizes[at]) >= percent * np.maximum(sizes[at + 1 :], sizes[at])
@@ -216,19 +226,20 @@ def _partners(group: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]
             fits &= own[at + 1 :] != own[at]
         spots = at + 1 + np.flatnonzero(fits)
         spots = spots[(coords[spots] == coords[at]).sum(axis=1) >= least]
-        spots = spots[(fine[spots] == fine[at]).sum(axis=1) >= least_fine]
+        spots = spots[~(earlier[spots] == earlier[at]).any(axis=1)]
+        if fine is not None:
+            spots = spots[(fine[spots] == fine[at]).sum(axis=1) >= least_fine]
         if len(spots):
             yield at, spots
 
 
-def _forest(crowd: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _forest(crowd: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links that join whatever is linked in a group but in different components yet; written once.
 
     Groups are compared block by block inside the tasks; pairs at the similarity are passed over with a
     probability below twice ``AGREE_MISS``. First only sketches are sent; classes with a possible partner
     are sent again with their sets.
     """
-    full = _full_sets(texts.join(crowd.select("set_key").distinct(), "set_key", "left_semi"), k)
 
     def partnered(group: pa.Table) -> pa.Table:
         found: set[int] = set()
@@ -239,8 +250,8 @@ def _forest(crowd: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
     def joined(group: pa.Table) -> pa.Table:
         keys, sets = group.column("set_key").to_pylist(), group.column("shingles")
-        parent = {root: root for root in group.column("root").to_pylist()}
         label = group.column("root").to_pylist()
+        parent = {root: root for root in label}
 
         def root(x: bytes) -> bytes:
             while parent[x] != x:
@@ -263,9 +274,10 @@ def _forest(crowd: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     out.append((max(keys[at], keys[spot]), min(keys[at], keys[spot])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
-    sketched = crowd.join(full.select("set_key", "fine"), "set_key")
-    some = _dealt(sketched).groupBy("band", "i", "j").applyInArrow(partnered, "band long, set_key binary")
+    crowd = crowd.join(sets.select("set_key", "bands"), "set_key")
+    some = _dealt(crowd).groupBy("band", "i", "j").applyInArrow(partnered, "band long, set_key binary")
     some = kept(some.distinct(), "partnered")
+    full = _full_sets(texts.join(some.select("set_key").distinct(), "set_key", "left_semi"), k)
     again = crowd.join(some, ["band", "set_key"], "left_semi").join(full, "set_key")
     return kept(_dealt(again).groupBy("band", "i", "j").applyInArrow(joined, "a binary, b binary"), "forest")
 
@@ -307,7 +319,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
         if not size.rows:
             break
         if turn > HUB_ROUNDS or size.squares <= FEW * size.rows:
-            found = _forest(crowd, texts, k, percent)
+            found = _forest(crowd, sets, texts, k, percent)
             if not found.isEmpty():
                 roots = components(links.unionByName(found))
             break
