@@ -6,11 +6,11 @@ strata, intervals, kinship stability and the bootstrap never touch participant r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortgate.fixed_values import AUTOSOMES
@@ -147,38 +147,73 @@ def array_allele_frequency(calls: DataFrame) -> DataFrame:
 
 BOOTSTRAP_DRAWS = 1000
 BOOTSTRAP_SEED = 42
+#: Standard deviations, and places, about the mean that are summed; what lies beyond is below rounding.
+REACH, MARGIN = 9, 12
+#: Logarithms of 0! to 15!; larger ones come from Stirling's series.
+_LOG_FACTORIALS = [math.log(math.factorial(k)) for k in range(16)]
+
+
+def uniform_ranks(draws: int = BOOTSTRAP_DRAWS, seed: int = BOOTSTRAP_SEED) -> dict[int, float]:
+    """The uniform numbers that draws use, by the ranks between which the 2.5% and 97.5% points lie.
+
+    Draw d uses a hash of seed and d, so no state runs through the draws.
+    """
+    ordered = sorted(int(hashlib.md5(f"{seed}:{d}".encode()).hexdigest()[:13], 16) / 2**52 for d in range(draws))
+    return {rank: ordered[rank] for point in (0.025, 0.975) for rank in (math.floor(point * (draws - 1)), math.floor(point * (draws - 1)) + 1)}
+
+
+def log_factorial(k: Column) -> Column:
+    z = k.cast("double") + 1
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    large = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series
+    known = F.element_at(F.array(*[F.lit(x) for x in _LOG_FACTORIALS]), F.least(k, F.lit(15)).cast("int") + 1)
+    return F.when(k < 16, known).otherwise(large)
 
 
 def bootstrap_interval(cells: DataFrame, policy: AnalysisPolicy) -> DataFrame:
     """Bootstrap 95% interval of the overall typed frequency.
 
-    A resample's total depends only on how often 0, 1 and 2 are drawn, so each evaluation is
-    reduced to three counts first and the draws are multinomial: fixed memory per evaluation
-    however large the cohort. Equal in distribution to resampling the calls, not bit for bit.
+    A resample's alternate alleles depend only on how often 0, 1 and 2 are drawn, so each evaluation is
+    reduced to three counts, and the distribution of the allele total is summed over the counts that
+    can occur. A draw inverts it at its uniform number. Inversion keeps order, so the draw of a rank is
+    the inverse at the uniform number of that rank, and the percentiles need four of them: no draw is
+    made one by one. Equal in distribution to resampling the calls, not bit for bit. Rows of an
+    evaluation grow with its calls, by some twenty for each at most.
     """
     counted = cells.filter(F.col("chrom").isin(AUTOSOMES)).groupBy(*EVALUATION_KEY).agg(
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2")
+    ).withColumn("n", F.col("n0") + F.col("n1") + F.col("n2"))
+    n = F.col("n")
+
+    def ends(count: str) -> tuple[Column, Column]:
+        mean = F.col(count).cast("double")
+        reach = REACH * F.sqrt(mean * (n - F.col(count)) / n) + MARGIN
+        return F.greatest(F.lit(0), F.floor(mean - reach)).cast("long"), F.least(n, F.ceil(mean + reach)).cast("long")
+
+    def part(times: Column, count: str) -> Column:
+        """Logarithm of the share of ``count`` to the power ``times``, over the factorial of it."""
+        share = F.when(F.col(count) > 0, F.log(F.col(count) / n) * times).otherwise(F.when(times > 0, float("-inf")).otherwise(0.0))
+        return share - log_factorial(times)
+
+    (low1, high1), (low2, high2) = ends("n1"), ends("n2")
+    shown = counted.filter(n >= policy.sdc_min_cell)
+    two = shown.select("*", low1.alias("_low"), high1.alias("_high"), F.explode(F.sequence(low2, high2)).alias("x2"))
+    two = two.withColumn("_high", F.least(F.col("_high"), n - F.col("x2"))).filter("_low <= _high")
+    grid = two.withColumn("x1", F.explode(F.sequence("_low", "_high")))
+    x1, x2 = F.col("x1"), F.col("x2")
+    chance = F.exp(log_factorial(n) + part(n - x1 - x2, "n0") + part(x1, "n1") + part(x2, "n2"))
+    totals = grid.groupBy(*EVALUATION_KEY, "n", (x1 + 2 * x2).alias("t")).agg(F.sum(chance).alias("p"))
+    below = totals.withColumn("below", F.sum("p").over(W.partitionBy(*EVALUATION_KEY).orderBy("t")))
+    ranks = uniform_ranks()
+    inverted = below.groupBy(*EVALUATION_KEY, "n").agg(
+        *[F.min(F.when(F.col("below") >= u, F.col("t"))).alias(f"_{rank}") for rank, u in ranks.items()]
     )
-    minimum = policy.sdc_min_cell
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            low, high = [], []
-            for calls in batch[["n0", "n1", "n2"]].to_numpy():
-                size = int(calls.sum())
-                if size < minimum:
-                    low.append(None)
-                    high.append(None)
-                    continue
-                rng = np.random.default_rng(BOOTSTRAP_SEED)
-                draws = rng.multinomial(size, calls / size, size=BOOTSTRAP_DRAWS)
-                af = (draws[:, 1] + 2 * draws[:, 2]) / (2 * size)
-                bounds = np.percentile(af, [2.5, 97.5])
-                low.append(round(float(bounds[0]), 5))
-                high.append(round(float(bounds[1]), 5))
-            yield batch[EVALUATION_KEY].assign(
-                ci95_low=pd.array(low, dtype="Float64"), ci95_high=pd.array(high, dtype="Float64")
-            )
-
-    key_schema = ", ".join(f"{name} string" for name in EVALUATION_KEY)
-    return counted.mapInPandas(draw, f"{key_schema}, ci95_low double, ci95_high double")
+
+    def point(share: float) -> Column:
+        place = share * (BOOTSTRAP_DRAWS - 1)
+        rank = math.floor(place)
+        t = F.col(f"_{rank}") + (F.col(f"_{rank + 1}") - F.col(f"_{rank}")) * F.lit(place - rank)
+        return five_places(t / (F.col("n") * 2).cast("double"))
+
+    found = inverted.select(*EVALUATION_KEY, point(0.025).alias("ci95_low"), point(0.975).alias("ci95_high"))
+    return counted.select(*EVALUATION_KEY).join(found, EVALUATION_KEY, "left")

@@ -420,6 +420,25 @@ oracle("frequency_control", f"""SELECT {KEY}, chrom, NOT {DIPLOID} AS ploidy_gua
         count(*) FILTER (WHERE array_credible AND imputed_dosage IS NOT NULL) AS nc,
         count(*) FILTER (WHERE array_credible AND imputed_dosage IS NOT NULL AND (array_gt_code >= 1) <> (imputed_dosage >= {P.imputed_dosage_carrier_threshold}e0)) AS dc
       FROM o_gate GROUP BY {KEY}) f USING ({KEY})) x""", "o_eval", "o_gate")
+_U = "list_sort(list_transform(range(1000), lambda d: ('0x' || substr(md5('42:' || d), 1, 13))::BIGINT::DOUBLE / 4503599627370496e0))"
+
+
+def _share(times: str, count: str) -> str:
+    power = f"CASE WHEN {count} > 0 THEN {times} * ln({count}::DOUBLE / n) WHEN {times} > 0 THEN '-infinity'::DOUBLE ELSE 0e0 END"
+    return f"({power} - lgamma({times} + 1))"
+
+
+oracle("bootstrap_interval", f"""SELECT {KEY}, round_even((a + (b - a) * {0.025 * 999 - 24!r}e0) / (2 * n)::DOUBLE, 5) AS ci95_low,
+    round_even((c + (d - c) * {0.975 * 999 - 974!r}e0) / (2 * n)::DOUBLE, 5) AS ci95_high FROM
+  (SELECT {KEY}, sum(n0) AS m FROM (SELECT {KEY}, count(*) AS n0 FROM o_gate WHERE {DIPLOID} GROUP BY {KEY}) e GROUP BY {KEY}) k LEFT JOIN
+  (SELECT {KEY}, n, min(t) FILTER (below >= us[25]) AS a, min(t) FILTER (below >= us[26]) AS b, min(t) FILTER (below >= us[975]) AS c, min(t) FILTER (below >= us[976]) AS d FROM
+    (SELECT {KEY}, n, t, sum(p) OVER (PARTITION BY {KEY} ORDER BY t) AS below FROM
+      (SELECT {KEY}, n, x1 + 2 * x2 AS t, sum(exp(lgamma(n + 1) + {_share('(n - x1 - x2)', 'n0')} + {_share('x1', 'n1')} + {_share('x2', 'n2')})) AS p FROM
+        (SELECT *, unnest(range(0, CASE WHEN n1 > 0 THEN n - x2 + 1 ELSE 1 END)) AS x1 FROM
+          (SELECT *, unnest(range(0, CASE WHEN n2 > 0 THEN n + 1 ELSE 1 END)) AS x2 FROM
+            (SELECT {KEY}, count(*) FILTER (WHERE array_credible) AS n, count(*) FILTER (WHERE array_credible AND array_gt_code = 0) AS n0,
+              count(*) FILTER (WHERE array_credible AND array_gt_code = 1) AS n1, count(*) FILTER (WHERE array_credible AND array_gt_code = 2) AS n2
+              FROM o_gate WHERE {DIPLOID} GROUP BY {KEY}) g WHERE n >= {M}) h) i GROUP BY ALL) j) l, (SELECT {_U} AS us) v GROUP BY {KEY}, n) q USING ({KEY})""", "o_gate")
 oracle("cohort_totals", """SELECT count(*) AS n_participants, count(*) FILTER (WHERE consent_ok) AS all_consent_ok,
     count(*) FILTER (WHERE sex_check_ok) AS all_sex_check_ok, count(*) FILTER (WHERE kinship_ok) AS all_kinship_ok,
     count(*) FILTER (WHERE sex IS NULL) AS missing_sex, count(*) FILTER (WHERE ancestry_stub IS NULL) AS missing_ancestry,

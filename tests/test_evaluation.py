@@ -12,6 +12,50 @@ def by_person(df, *columns):
     return {r["participant_id"]: tuple(r[c] for c in columns) for r in df.collect()}
 
 
+def test_bootstrap_is_the_inverse_of_the_total_at_ranked_uniforms(spark):
+    """The four inverses against exact sums, and the interval against resampling."""
+    import math
+    from fractions import Fraction
+
+    import numpy as np
+
+    from cohortgate.operators import frequency
+
+    cases = [(30, 0, 0), (0, 0, 12), (5, 4, 3), (40, 9, 1), (0, 7, 5), (300, 60, 12), (9, 0, 0), (2000, 300, 20)]
+    cells = cohorts.table(
+        spark, [(f"v{i}", "array", "het_and_homalt", "1", *case) for i, case in enumerate(cases)] + [("y", "array", "het_and_homalt", "Y", 20, 5, 5)],
+        "cpra string, requested_source string, carrier_definition string, chrom string, n0 bigint, n1 bigint, n2 bigint",
+    )
+    got = {r.cpra: (r.ci95_low, r.ci95_high) for r in frequency.bootstrap_interval(cells, AnalysisPolicy()).collect()}
+    assert set(got) == {f"v{i}" for i in range(len(cases))} and got["v6"] == (None, None)
+    uniforms = sorted(frequency.uniform_ranks().items())
+    for i, (n0, n1, n2) in enumerate(cases):
+        n = n0 + n1 + n2
+        if n < 10:
+            continue
+        draws = np.random.default_rng(1).multinomial(n, [n0 / n, n1 / n, n2 / n], size=4000)
+        low, high = np.percentile((draws[:, 1] + 2 * draws[:, 2]) / (2 * n), [2.5, 97.5])
+        assert abs(got[f"v{i}"][0] - low) < 0.02 and abs(got[f"v{i}"][1] - high) < 0.02
+        if n > 60:
+            continue
+        chance: dict[int, Fraction] = {}
+        for x2 in range(n + 1):
+            for x1 in range(n - x2 + 1):
+                ways = math.factorial(n) // (math.factorial(x1) * math.factorial(x2) * math.factorial(n - x1 - x2))
+                chance[x1 + 2 * x2] = chance.get(x1 + 2 * x2, 0) + Fraction(ways * n0 ** (n - x1 - x2) * n1**x1 * n2**x2, n**n)
+
+        def inverse(u):
+            below = Fraction(0)
+            for t in sorted(chance):
+                below += chance[t]
+                if below >= Fraction(u):
+                    return t
+
+        t = {rank: inverse(u) for rank, u in uniforms}
+        want = [(t[a] + (t[a + 1] - t[a]) * (share * 999 - a)) / (2 * n) for share, a in ((0.025, 24), (0.975, 974))]
+        assert got[f"v{i}"] == tuple(round(w, 5) for w in want)
+
+
 def test_tiny_cohort_counts_and_token(spark):
     run = cohorts.tiny(spark)
     row = run.results().collect()[0]
