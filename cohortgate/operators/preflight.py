@@ -58,14 +58,15 @@ def with_preflight(matched: DataFrame, bases: DataFrame, panel_maf: DataFrame) -
     """
     trimmed = trim_alleles(matched)
 
-    def bases_of(build: str, name: str) -> DataFrame:
-        return bases.filter(F.col("build") == build).select(
-            F.col("chrom"), F.col("pos").alias("n_pos"), F.col("base").alias(name)
-        )
+    def base_of(build: str) -> Column:
+        return F.max(F.when(F.col("build") == build, F.col("base")))
 
+    # Both builds side by side: the requests are joined to the bases once.
+    both = bases.filter(F.col("build").isin("GRCh38", "GRCh37")).groupBy("chrom", F.col("pos").alias("n_pos")).agg(
+        base_of("GRCh38").alias("base38"), base_of("GRCh37").alias("base37")
+    )
     joined = (
-        trimmed.join(bases_of("GRCh38", "base38"), ["chrom", "n_pos"], "left")
-        .join(bases_of("GRCh37", "base37"), ["chrom", "n_pos"], "left")
+        trimmed.join(both, ["chrom", "n_pos"], "left")
         .join(panel_maf.withColumnRenamed("cpra", "normalized_cpra"), "normalized_cpra", "left")
     )
     anchor = F.left(F.col("n_ref"), F.lit(1))
