@@ -33,7 +33,7 @@ from cohortgate.llm.tables import BROADCAST_ROWS, kept
 
 CAPACITY, END = 2048, 0
 #: Rows that one bucket of a length is expected to hold; distinct units that a worker remembers.
-BUCKET_ROWS, REMEMBERED = 200_000, 600_000
+BUCKET_ROWS, REMEMBERED = 200_000, 200_000
 SPECIAL = "<|endoftext|>"
 
 
