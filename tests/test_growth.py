@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import glob
 import os
 
-from oracle_check import TABLES
+from oracle_check import TABLES, compare, connect
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from cohortgate.operators import requests, sizing
 from cohortgate.plans import driver_views as dv
 
@@ -17,7 +19,9 @@ def with_tables(folder, **replaced) -> str:
     """A data folder like the smallest one, in which some tables are replaced."""
     for name in TABLES:
         if name in replaced:
-            replaced[name].write.parquet(f"{folder}/{name}.parquet")
+            replaced[name].coalesce(1).write.parquet(f"{folder}/{name}")
+            [file] = glob.glob(f"{folder}/{name}/*.parquet")
+            os.symlink(file, f"{folder}/{name}.parquet")
         else:
             os.symlink(f"{SF_DIR}/{name}.parquet", f"{folder}/{name}.parquet")
     return str(folder)
@@ -41,3 +45,13 @@ def test_more_rows_than_held_are_computed_once(spark):
     kept, held = sizing.held(rows, limit=10)
     assert held is None and sorted(kept.collect()) == sorted(kept.collect())
     assert "Parquet" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_position_listed_with_several_bases(spark, tmp_path):
+    """Positions on MT repeat from part 375,325 on, with other bases; a request stays one row there."""
+    parts, items = dv.table(spark, SF_DIR, "part"), dv.table(spark, SF_DIR, "lineitem").limit(2_000)
+    again = parts.withColumn("p_partkey", F.col("p_partkey") + 375_325)
+    sf_dir = with_tables(tmp_path, part=parts.unionByName(again), lineitem=items)
+    query, sql = entry.queries()["build_and_strand"], entry.oracle_sql()["build_and_strand"]
+    assert compare(spark, connect(sf_dir), query, sql, sf_dir) == ""
+    assert query(spark, sf_dir).count() == items.count()
