@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-POSITION_BIN = 1_000_000
+from cohortgate.operators import sizing
+
+POSITION_BIN = 250_000
+#: Pairs of a locus and a span on its bin that one task compares.
+TASK_PAIRS = 2_000_000
 
 
 def symbol_key(symbol: Column) -> Column:
@@ -27,31 +31,42 @@ def invalid_spans(genes: DataFrame) -> DataFrame:
 
 def outside_gene_span(variants: DataFrame, genes: DataFrame, gene_variants: DataFrame) -> DataFrame:
     """Listed gene members that do not lie inside their gene: two equi-joins, then a filter."""
-    placed = gene_variants.join(variants, "variant_id").join(
+    placed = gene_variants.join(sizing.broadcast_within(variants, variants), "variant_id").join(
         genes.select("symbol", F.col("chrom").alias("g_chrom"), "start", "end"), "symbol"
     )
     inside = (F.col("chrom") == F.col("g_chrom")) & F.col("pos").between(F.col("start"), F.col("end"))
     return placed.filter(~F.coalesce(inside, F.lit(False)))
 
 
-def containing_spans(loci: DataFrame, spans: DataFrame, bin_size: int = POSITION_BIN) -> DataFrame:
+def containing_spans(
+    loci: DataFrame, spans: DataFrame, bin_size: int = POSITION_BIN, task_pairs: int = TASK_PAIRS
+) -> DataFrame:
     """Interval join: each locus with every span on its contig that holds its position.
 
     Spans are copied to each position bin they touch, so the join is an equi-join on
-    (chrom, bin) and a span of any length meets a locus exactly once.
+    the bin and a span of any length meets a locus exactly once. A few megabytes of loci and
+    spans can make millions of pairs, so tasks are dealt by the pairs of the bins, which are counted
+    first, and not by the bytes that come in.
     """
-    binned = spans.withColumn(
-        "_bin",
-        F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor(F.col("end") / bin_size))),
-    )
-    keyed = loci.withColumn("_bin", F.floor(F.col("pos") / bin_size))
-    joined = keyed.join(binned, ["chrom", "_bin"])
+
+    def bin_of(number: Column) -> Column:
+        return F.concat("chrom", F.lit(":"), number.cast("string"))
+
+    touched = F.sequence(F.floor(F.col("start") / bin_size), F.floor(F.col("end") / bin_size))
+    binned = spans.withColumn("_bin", F.explode(touched)).withColumn("_bin", bin_of(F.col("_bin"))).drop("chrom")
+    keyed = loci.withColumn("_bin", bin_of(F.floor(F.col("pos") / bin_size)))
+    per_bin = [rows.groupBy("_bin").agg(F.count(F.lit(1)).alias(name)) for rows, name in ((keyed, "n"), (binned, "m"))]
+    pairs = per_bin[0].join(sizing.shuffled(per_bin[1]), "_bin").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    if pairs > task_pairs:
+        tasks = 1 + pairs // task_pairs
+        keyed, binned = keyed.repartition(tasks, "_bin"), sizing.shuffled(binned.repartition(tasks, "_bin"))
+    joined = keyed.join(binned, "_bin")
     return joined.filter(F.col("pos").between(F.col("start"), F.col("end"))).drop("_bin")
 
 
 def _as_requests(members: DataFrame, variants: DataFrame) -> DataFrame:
     """Catalogue variants in request form, with the catalogue's fixed build and definition."""
-    return members.join(variants, "variant_id").withColumns({
+    return members.join(sizing.broadcast_within(variants, variants), "variant_id").withColumns({
         "build": F.lit("GRCh38"),
         "carrier_definition": F.lit("het_and_homalt"),
     })

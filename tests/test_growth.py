@@ -9,7 +9,7 @@ from oracle_check import TABLES, compare, connect
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cohortgate.operators import requests, sizing
+from cohortgate.operators import catalogue, requests, sizing
 from cohortgate.plans import driver_views as dv
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -55,3 +55,16 @@ def test_a_position_listed_with_several_bases(spark, tmp_path):
     query, sql = entry.queries()["build_and_strand"], entry.oracle_sql()["build_and_strand"]
     assert compare(spark, connect(sf_dir), query, sql, sf_dir) == ""
     assert query(spark, sf_dir).count() == items.count()
+
+
+def test_pairs_of_an_interval_join_are_dealt_to_tasks(spark):
+    """A few thousand bytes that make many pairs; every locus meets every span that holds it."""
+    loci = spark.range(600).select(F.lit("1").alias("chrom"), (F.col("id") * 5_000).alias("pos"))
+    spans = spark.range(300).select(
+        F.col("id").alias("span"), F.lit("1").alias("chrom"), (F.col("id") * 7_000).alias("start"), (F.col("id") * 7_000 + 900_000).alias("end")
+    )
+    found = catalogue.containing_spans(loci, spans, task_pairs=10_000)
+    got = sorted((r.pos, r.span) for r in found.collect())
+    want = sorted((5_000 * i, k) for i in range(600) for k in range(300) if 7_000 * k <= 5_000 * i <= 7_000 * k + 900_000)
+    assert got == want
+    assert found.select(F.spark_partition_id()).distinct().count() >= 3
