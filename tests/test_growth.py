@@ -9,6 +9,7 @@ from oracle_check import TABLES, compare, connect
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from cohortgate.functions import numbers
 from cohortgate.operators import catalogue, requests, sizing
 from cohortgate.plans import driver_views as dv
 
@@ -68,3 +69,10 @@ def test_pairs_of_an_interval_join_are_dealt_to_tasks(spark):
     want = sorted((5_000 * i, k) for i in range(600) for k in range(300) if 7_000 * k <= 5_000 * i <= 7_000 * k + 900_000)
     assert got == want
     assert found.select(F.spark_partition_id()).distinct().count() >= 3
+
+
+def test_texts_of_numbers_are_rounded_once(spark):
+    """The digits of a number are found once per row, not again for every part of the text that shows them."""
+    rows = spark.range(5).select(numbers.significant(F.col("id") / 7).alias("short"), numbers.decimal_text(F.col("id") / 7).alias("long"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("format_string") == 1 and "regexp" not in plan
