@@ -76,3 +76,25 @@ def test_texts_of_numbers_are_rounded_once(spark):
     rows = spark.range(5).select(numbers.significant(F.col("id") / 7).alias("short"), numbers.decimal_text(F.col("id") / 7).alias("long"))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("format_string") == 1 and "regexp" not in plan
+
+
+def test_held_rows_are_read_from_what_was_written(spark):
+    """A result is not computed a second time to find that it is small or large."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    for limit in (10, 100):
+        before = seen.value
+        sizing.held(spark.range(50).mapInArrow(counted, "id long"), limit)
+        assert seen.value - before == 50
+
+
+def test_rows_of_a_small_file_are_dealt_by_count(spark, tmp_path):
+    """A million parts in a few megabytes of one file are worked on by more tasks than the file has splits."""
+    spark.range(300_000).coalesce(1).write.parquet(f"{tmp_path}/rows")
+    assert sizing.spread(spark.read.parquet(f"{tmp_path}/rows")).rdd.getNumPartitions() == 7
+    assert "Exchange" not in sizing.spread(dv.table(spark, SF_DIR, "part"))._jdf.queryExecution().executedPlan().toString()
