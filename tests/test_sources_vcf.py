@@ -94,6 +94,20 @@ def test_files_of_different_samples(spark, monkeypatch):
         vcf.parse_array(short, None, allow_full_scan=True).collect()
 
 
+def test_calls_are_named_line_by_line(spark):
+    """Names meet a line before it is opened: no join runs over the calls. A header without names lets no call pass."""
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"])
+    fixed = "1\t5\t1:5:A:C\tA\tC\t.\t.\t.\tGT:GP"
+    lines = cohorts.table(spark, [("one", f"{head}\tA\tB"), ("one", f"{fixed}\t0/1:0.1,0.8,0.1\t0/0")], "file string, value string")
+    got = vcf.parse_imputed(lines, None, allow_full_scan=True)
+    assert {tuple(r) for r in got.collect()} == {("A", "1:5:A:C", 1.0, 0.8), ("B", "1:5:A:C", None, None)}
+    above_opening, opening, _ = got._jdf.queryExecution().executedPlan().toString().partition("Generate")
+    assert opening and "Join" not in above_opening
+    unnamed = cohorts.table(spark, [("none", head), ("none", f"{fixed}\t0/1:0.1,0.8,0.1")], "file string, value string")
+    with pytest.raises(Exception, match="differ in number"):
+        vcf.parse_imputed(unnamed, None, allow_full_scan=True).collect()
+
+
 def test_junk_numbers_stop(spark):
     from cohortgate.functions import coerce
 
