@@ -79,8 +79,10 @@ def even_parts(texts: list[str], most: int) -> list[str]:
     return [part[i] for i in range(len(texts)) if part[i]]
 
 
-def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
-    """Transitions of every state; the root is state 0."""
+def suffix_automaton(symbols: np.ndarray, size: int | None = None) -> list[dict[int, int]]:
+    """Transitions of every state; the root is state 0. Where ``size`` is given, a symbol not below it is refused."""
+    if size is not None and len(symbols) and symbols.max() >= size:
+        raise ValueError(f"symbol {symbols.max()} in an alphabet of {size}")
     links, lengths, nexts = [-1], [0], [{}]
     last = 0
     for c in symbols.tolist():
@@ -152,7 +154,7 @@ class CrossParser:
         full, sparse, costs = [], [], {}
         self.sparse: list[SparseMoves] = []
         for lang in learned:
-            nexts = suffix_automaton(self.symbols(lowered[lang])[0])
+            nexts = suffix_automaton(self.symbols(lowered[lang])[0], self.size)
             costs[lang] = np.log2(max(2, len(nexts)))
             if (base + len(nexts)) * self.size > DENSE_CELLS:
                 sparse.append(lang)
