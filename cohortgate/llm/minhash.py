@@ -160,8 +160,11 @@ def _by_root(crowd: DataFrame, roots: DataFrame) -> DataFrame:
     return labelled.withColumn("root", F.coalesce("root", "set_key"))
 
 
-def _hub_pairs(crowd: DataFrame, turn: int, percent: int, most: int) -> DataFrame:
-    """Pairs of each group's hub of this turn with the members of other components that agree with it."""
+def _hub_pairs(crowd: DataFrame, sets: DataFrame, turn: int, percent: int, most: int) -> DataFrame:
+    """Pairs of each group's hub of this turn with the members of other components that agree with it.
+
+    A pair that several bands make is told once, and only then is sent the sketches of its two sets.
+    """
     least = least_agreement(percent)
 
     def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +173,13 @@ def _hub_pairs(crowd: DataFrame, turn: int, percent: int, most: int) -> DataFram
             yield batch.select(["a", "b"]).filter(pa.array((one == other).sum(axis=1) >= least))
 
     order = F.xxhash64("set_key", F.lit(turn))
-    hubs = crowd.groupBy("band").agg(F.min(F.struct(order.alias("order"), "set_key", "n", "root", "coords")).alias("hub"))
+    hubs = crowd.groupBy("band").agg(F.min(F.struct(order.alias("order"), "set_key", "n", "root")).alias("hub"))
     met = crowd.join(kept(hubs, "hubs", most), "band").filter((F.col("root") != F.col("hub.root")) & _fits(F.col("n"), F.col("hub.n"), percent))
-    pairs = met.select(F.greatest("hub.set_key", "set_key").alias("a"), F.least("hub.set_key", "set_key").alias("b"), F.col("hub.coords").alias("x"), F.col("coords").alias("y"))
-    return pairs.mapInArrow(agreeing, "a binary, b binary").distinct()
+    pairs = met.select(F.greatest("hub.set_key", "set_key").alias("a"), F.least("hub.set_key", "set_key").alias("b")).distinct()
+    left = sets.select(F.col("set_key").alias("a"), F.col("coords").alias("x"))
+    right = sets.select(F.col("set_key").alias("b"), F.col("coords").alias("y"))
+    sketched = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return sketched.mapInArrow(agreeing, "a binary, b binary")
 
 
 def _full_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -274,7 +280,7 @@ def _forest(crowd: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent
                     out.append((max(keys[at], keys[spot]), min(keys[at], keys[spot])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
-    crowd = crowd.join(sets.select("set_key", "bands"), "set_key")
+    crowd = crowd.join(sets.select("set_key", "bands", "coords"), "set_key")
     some = _dealt(crowd).groupBy("band", "i", "j").applyInArrow(partnered, "band long, set_key binary")
     some = kept(some.distinct(), "partnered")
     full = _full_sets(texts.join(some.select("set_key").distinct(), "set_key", "left_semi"), k)
@@ -299,7 +305,8 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
         ),
         "sets",
     )
-    members = sets.select(F.explode("bands").alias("band"), "set_key", "n", "coords")
+    # A row for each band of a set: the sketches stay in ``sets``.
+    members = sets.select(F.explode("bands").alias("band"), "set_key", "n")
     most = band_count(percent) * sets.count()
     crowded = kept(members.groupBy("band").count().filter("count > 1").select("band"), "crowded", most)
     crowd = kept(members.join(crowded, "band"), "crowd", most).withColumn("root", F.col("set_key"))
@@ -310,7 +317,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
     repeated = signed.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count()
     texts = kept(texts.dropDuplicates(["set_key"]) if repeated else texts, "texts")
 
-    met = kept(_hub_pairs(crowd, 0, percent, most), "pairs", most)
+    met = kept(_hub_pairs(crowd, sets, 0, percent, most), "pairs", most)
     links = confirmed(met, texts, k, percent)
     roots = components(links)
     for turn in range(1, HUB_ROUNDS + 2):
@@ -323,7 +330,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
             if not found.isEmpty():
                 roots = components(links.unionByName(found))
             break
-        pairs = kept(_hub_pairs(crowd, turn, percent, most).join(met, ["a", "b"], "left_anti"), "pairs")
+        pairs = kept(_hub_pairs(crowd, sets, turn, percent, most).join(met, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             found = confirmed(pairs, texts, k, percent)
             met = met.unionByName(pairs)

@@ -191,6 +191,23 @@ def test_many_documents_around_a_passage_are_linked_by_a_forest(spark, monkeypat
     assert len(set(got.values())) == 60
 
 
+def test_rows_of_bands_carry_no_sketch(spark, monkeypatch):
+    """A set has 32 rows of bands, so what they carry is written and shuffled 32 times."""
+    written = {}
+
+    def recorded(df, name, rows=None):
+        written.setdefault(name, set(df.columns))
+        return plain(df, name, rows)
+
+    plain = minhash.kept
+    monkeypatch.setattr(minhash, "kept", recorded)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, f"own{i}"]), None) for i in range(30)]
+    assert {r.component_id for r in minhash.near_duplicates(frame(spark, rows), 2).collect()} == {0}
+    assert "coords" in written["sets"]
+    assert written["crowd"] == {"band", "set_key", "n"} and written["hubs"] == {"band", "hub"}
+
+
 def test_one_row_of_a_component_stays_without_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     near = [(None, f"{text} {x}", None) for x in ("a", "b", "c")]
