@@ -47,7 +47,8 @@ class CohortLayout:
             twice = checks.duplicate_keys(rows, keys).select(F.lit(f"{name}: repeated").alias("fault"), "participant_id", "rows")
             if name != "participants":
                 known = self.table(spark, "participants").select("participant_id").hint("merge")
-                unknown = rows.join(known, "participant_id", "left_anti").groupBy("participant_id").agg(F.count(F.lit(1)).alias("rows"))
+                # Counted before they meet the known ones: a row per participant is sorted for the join, not all calls.
+                unknown = rows.groupBy("participant_id").agg(F.count(F.lit(1)).alias("rows")).join(known, "participant_id", "left_anti")
                 twice = twice.unionByName(unknown.select(F.lit(f"{name}: unknown participant").alias("fault"), "participant_id", "rows"))
             found = twice if found is None else found.unionByName(twice)
         return found

@@ -44,6 +44,19 @@ def test_faults_of_a_stored_cohort(spark):
     }
 
 
+def test_calls_are_counted_before_they_meet_the_participants(spark):
+    run = cohorts.tiny(spark)
+    stored = layout.store(spark, run.inputs.participants, run.inputs.sample_qc, run.inputs.genotypes, buckets=2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = stored.faults(spark)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    under = [plan[i + 1] for i, line in enumerate(plan) if "Join LeftAnti" in line]
+    assert len(under) == 2 and all("Aggregate" in line for line in under)
+
+
 def test_union_and_overlap_of_many_variants(spark):
     """Bitmaps against sets, with numbers far apart, equal variants under two sources, and empty ones."""
     rng = random.Random(4)
