@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 
+import pytest
 from oracle_check import TABLES, compare, connect
 from pyspark.sql import functions as F
 
@@ -58,6 +59,26 @@ def test_a_position_listed_with_several_bases(spark, tmp_path):
     assert query(spark, sf_dir).count() == items.count()
 
 
+@pytest.fixture(scope="module")
+def several_bases(spark, tmp_path_factory) -> str:
+    """Every part three times, 375,325 keys apart, and calls of all of them: positions on MT have several bases."""
+    again = spark.range(3).select((F.col("id") * 375_325).alias("by"))
+    parts, items = dv.table(spark, SF_DIR, "part").join(again), dv.table(spark, SF_DIR, "lineitem")
+    moved = items.withColumn("l_partkey", F.col("l_partkey") + F.col("l_orderkey") % 3 * 375_325)
+    return with_tables(
+        tmp_path_factory.mktemp("bases"), lineitem=moved,
+        part=parts.withColumn("p_partkey", F.col("p_partkey") + F.col("by")).drop("by"),
+    )
+
+
+@pytest.mark.parametrize("name", [
+    "ancestry_strata",
+])
+def test_queries_where_a_position_has_several_bases(spark, several_bases, name):
+    query, sql = entry.queries()[name], entry.oracle_sql()[name]
+    assert compare(spark, connect(several_bases), query, sql, several_bases) == ""
+
+
 def test_pairs_of_an_interval_join_are_dealt_to_tasks(spark):
     """A few thousand bytes that make many pairs; every locus meets every span that holds it."""
     loci = spark.range(600).select(F.lit("1").alias("chrom"), (F.col("id") * 5_000).alias("pos"))
