@@ -79,6 +79,7 @@ def several_bases(spark, tmp_path_factory) -> str:
     "candidate_table_colocated",
     "classified_carriers",
     "client_totals",
+    "decision_breakdown",
 ])
 def test_queries_where_a_position_has_several_bases(spark, several_bases, name):
     query, sql = entry.queries()[name], entry.oracle_sql()[name]
