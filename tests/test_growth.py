@@ -81,6 +81,7 @@ def several_bases(spark, tmp_path_factory) -> str:
     "client_totals",
     "decision_breakdown",
     "decision_tiers",
+    "disclosure_view",
 ])
 def test_queries_where_a_position_has_several_bases(spark, several_bases, name):
     query, sql = entry.queries()[name], entry.oracle_sql()[name]
