@@ -82,6 +82,7 @@ def several_bases(spark, tmp_path_factory) -> str:
     "decision_breakdown",
     "decision_tiers",
     "disclosure_view",
+    "epi_handoff",
 ])
 def test_queries_where_a_position_has_several_bases(spark, several_bases, name):
     query, sql = entry.queries()[name], entry.oracle_sql()[name]
