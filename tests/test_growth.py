@@ -72,17 +72,9 @@ def several_bases(spark, tmp_path_factory) -> str:
 
 
 @pytest.mark.parametrize("name", [
-    "ancestry_strata",
-    "ancestry_verdicts",
-    "build_and_strand",
-    "candidate_table",
-    "candidate_table_colocated",
-    "classified_carriers",
-    "client_totals",
-    "decision_breakdown",
-    "decision_tiers",
-    "disclosure_view",
-    "epi_handoff",
+    "ancestry_strata", "ancestry_verdicts", "build_and_strand", "candidate_table", "candidate_table_colocated",
+    "classified_carriers", "client_totals", "decision_breakdown", "decision_tiers", "disclosure_view", "epi_handoff",
+    "evaluation_cells",
 ])
 def test_queries_where_a_position_has_several_bases(spark, several_bases, name):
     query, sql = entry.queries()[name], entry.oracle_sql()[name]
