@@ -81,6 +81,18 @@ def test_queries_where_a_position_has_several_bases(spark, several_bases, name):
     assert compare(spark, connect(several_bases), query, sql, several_bases) == ""
 
 
+@pytest.mark.parametrize("name", [
+    "final_notes",
+])
+def test_no_join_broadcasts_a_table_that_grows(spark, monkeypatch, name):
+    """With all tables beyond the row limits, no side of a join passes through the driver."""
+    few, held = 10, sizing.held
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(sizing, "held", lambda df: held(df, few))
+    plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_pairs_of_an_interval_join_are_dealt_to_tasks(spark):
     """A few thousand bytes that make many pairs; every locus meets every span that holds it."""
     loci = spark.range(600).select(F.lit("1").alias("chrom"), (F.col("id") * 5_000).alias("pos"))
