@@ -82,7 +82,7 @@ def test_queries_where_a_position_has_several_bases(spark, several_bases, name):
 
 
 @pytest.mark.parametrize("name", [
-    "final_notes",
+    "final_notes", "batch_export_files",
 ])
 def test_no_join_broadcasts_a_table_that_grows(spark, monkeypatch, name):
     """With all tables beyond the row limits, no side of a join passes through the driver."""
