@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import os
 
 import pytest
@@ -13,6 +14,8 @@ import __spark_entry__ as entry
 from cohortgate.functions import numbers
 from cohortgate.operators import catalogue, requests, sizing
 from cohortgate.plans import driver_views as dv
+from cohortgate.plans import queries
+from cohortgate.sources import vcf
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -133,3 +136,22 @@ def test_rows_of_a_small_file_are_dealt_by_count(spark, tmp_path):
     spark.range(300_000).coalesce(1).write.parquet(f"{tmp_path}/rows")
     assert sizing.spread(spark.read.parquet(f"{tmp_path}/rows")).rdd.getNumPartitions() == 7
     assert "Exchange" not in sizing.spread(dv.table(spark, SF_DIR, "part"))._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["vcf_array_export", "vcf_imputed_export"])
+def test_export_of_several_blocks_is_the_whole_line(spark, name):
+    """A cohort beyond one block: no line holds more samples than a block may, and the blocks of a variant, put
+    together, are the line over all samples that the SQL has."""
+    export = {"vcf_array_export": vcf.array_export, "vcf_imputed_export": vcf.imputed_export}[name]
+    heads, data = export(dv.chip_genotypes(spark, SF_DIR), queries._sites(spark, SF_DIR), per_block=40)
+    names = [r["value"].split("\t")[9:] for r in heads.orderBy("block").collect()]
+    listed = [n for block in names for n in block]
+    assert len(names) > 2 and max(len(block) for block in names) <= 40
+    assert listed == sorted(set(listed))
+    lines: dict[str, list[str]] = {}
+    for row in data.orderBy("block").collect():
+        fields = row["value"].split("\t")
+        assert len(fields) == 9 + len(names[row["block"]])
+        lines.setdefault(row["cpra"], fields[:9]).extend(fields[9:])
+    got = {(cpra, hashlib.sha256("\t".join(fields).encode()).hexdigest()) for cpra, fields in lines.items()}
+    assert got == set(connect(SF_DIR).execute(entry.oracle_sql()[name]).fetchall())

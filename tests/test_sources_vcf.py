@@ -64,6 +64,18 @@ def test_pvcf_round_trip_on_disk(spark, tmp_path, per_block, region_bases):
         vcf.parse_array(lines, None)
 
 
+def test_array_call_without_a_code_keeps_its_place(spark):
+    """A call with no code, or with one that has no text, is absent and does not move the samples behind it."""
+    from cohortgate import schemas
+
+    codes = [("A", 0.0), ("B", None), ("C", 2.0), ("D", 3.0), ("E", float("nan")), ("F", 1.0)]
+    calls = [(name, "2:50:A:G", "array", code, 40.0, 0.99, None, None) for name, code in codes]
+    sites = cohorts.table(spark, [site("2:50:A:G")], SITES)
+    _, data = vcf.array_export(cohorts.table(spark, calls, schemas.GENOTYPES), sites)
+    [line] = data.collect()
+    assert line["value"].split("\t")[9:] == ["0/0", "./.", "1/1", "./.", "./.", "0/1"]
+
+
 def test_files_of_different_samples(spark, monkeypatch):
     """Each file's calls get its own names, also where names are too many to be sent to all tasks."""
     head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"])
