@@ -155,3 +155,17 @@ def test_export_of_several_blocks_is_the_whole_line(spark, name):
         lines.setdefault(row["cpra"], fields[:9]).extend(fields[9:])
     got = {(cpra, hashlib.sha256("\t".join(fields).encode()).hexdigest()) for cpra, fields in lines.items()}
     assert got == set(connect(SF_DIR).execute(entry.oracle_sql()[name]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["vcf_imputed_export", "vcf_imputed_scan"])
+def test_imputed_calls_without_dosage_or_probability(spark, tmp_path, name):
+    """A call that lacks its dosage or max GP is written as its SQL says, not as a homozygous carrier or with a GP cut short."""
+    items = dv.table(spark, SF_DIR, "lineitem").withColumns({
+        "l_tax": F.expr("CASE WHEN l_orderkey % 3 <> 0 THEN l_tax END"),
+        "l_discount": F.expr("CASE WHEN l_orderkey % 5 <> 0 THEN l_discount END"),
+    })
+    sf_dir = with_tables(tmp_path, lineitem=items)
+    calls = dv.chip_genotypes(spark, sf_dir).filter("source = 'imputed'")
+    lacking = calls.selectExpr("count_if(dosage IS NULL)", "count_if(dosage > 0.5 AND max_gp IS NULL)").first()
+    assert min(lacking) > 0
+    assert compare(spark, connect(sf_dir), entry.queries()[name], entry.oracle_sql()[name], sf_dir) == ""

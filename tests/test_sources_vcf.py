@@ -76,6 +76,20 @@ def test_array_call_without_a_code_keeps_its_place(spark):
     assert line["value"].split("\t")[9:] == ["0/0", "./.", "1/1", "./.", "./.", "0/1"]
 
 
+def test_imputed_call_without_dosage_or_probability(spark):
+    """What a call lacks is that of a sample without a call: no carrier is made of it, and GP keeps three entries."""
+    from cohortgate import schemas
+
+    given = [("A", None, None), ("B", 1.0, 0.9), ("C", None, 0.9), ("D", float("nan"), float("nan")), ("E", 1.0, None)]
+    calls = [(name, "2:50:A:G", "imputed", None, None, None, dosage, max_gp) for name, dosage, max_gp in given]
+    sites = cohorts.table(spark, [site("2:50:A:G")], SITES)
+    _, data = vcf.imputed_export(cohorts.table(spark, calls, schemas.GENOTYPES), sites)
+    [line] = data.collect()
+    assert line["value"].split("\t")[9:] == [
+        "0/0:1.0,0.0,0.0", "0/1:0.1,0.9,0.0", "0/0:0.9,0.1,0.0", "0/0:1.0,0.0,0.0", "0/1:0.0,1.0,0.0",
+    ]
+
+
 def test_files_of_different_samples(spark, monkeypatch):
     """Each file's calls get its own names, also where names are too many to be sent to all tasks."""
     head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"])
